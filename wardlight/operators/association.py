@@ -16,6 +16,7 @@ from wardlight.operators.distributions import QUARTILES, numeric_cells
 from wardlight.operators.ordered import average_ranks, quantiles, running_totals, value_counts
 from wardlight.operators.outcomes import union_rows
 from wardlight.operators.quality import null_counts, top_per_group
+from wardlight.session import stage
 
 COHORT_PAIRS = (("all", "first"), ("all", "repeated"), ("first", "repeated"))
 
@@ -106,6 +107,8 @@ def corr_kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         .groupBy("pair", "x", "y", "levels")
         .agg(F.count(F.lit(1)).alias("w"))
     )
+    # read by five aggregates below, so written once
+    counts = stage(counts)
     leveled = counts.select("pair", "x", "y", "w", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
     sides = leveled.select(
         "pair", "level", F.expr("shiftright(x, level + 1)").alias("prefix"),
