@@ -24,16 +24,23 @@ def local_session(name: str = "wardlight", cores: str = "8") -> SparkSession:
     return spark
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in reliable storage and cut its lineage.
+def scratch_path(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    Used in front of loops that fit many models on the same rows, so that a lost
-    executor re-reads files instead of repeating joins and windows. The folder is
-    the one the session names in ``spark.checkpoint.dir``; only where none is set
-    (tests) a scratch folder is made.
+    Only where none is set (tests) a local folder is made and used from then on.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wardlight-"))
+    return context.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in reliable storage and cut its lineage.
+
+    Used where a result is read many times (model searches, pair statistics), so that a
+    lost executor re-reads files instead of repeating joins and windows.
+    """
+    scratch_path(df.sparkSession)
     return df.checkpoint()
