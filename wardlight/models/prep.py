@@ -26,23 +26,37 @@ def _shuffled(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     return numbered.drop("__hash", "__slot")
 
 
-def stratified_split(df: DataFrame, label: str, key: str, fractions: Mapping[str, float], seed: int = 42, split: str = "split") -> DataFrame:
-    """Exact split per label; the last name takes what the cumulated fractions leave.
-
-    Repeatable for a given key and seed, however the table is partitioned.
-    """
+def _part(fractions: Mapping[str, float]) -> Column:
     names = list(fractions)
     bounds = list(accumulate(fractions.values()))
     part: Column = F.lit(names[-1])
     for name, bound in reversed(list(zip(names[:-1], bounds[:-1]))):
         part = F.when(F.col("__ordinal") <= F.col("__total") * F.lit(bound), F.lit(name)).otherwise(part)
-    return _shuffled(df, label, key, seed).withColumn(split, part).drop("__ordinal", "__total")
+    return part
+
+
+def _fold(k: int) -> Column:
+    return ((F.col("__ordinal") - 1) % k).cast("int")
+
+
+def stratified_split(df: DataFrame, label: str, key: str, fractions: Mapping[str, float], seed: int = 42, split: str = "split") -> DataFrame:
+    """Exact split per label; the last name takes what the cumulated fractions leave.
+
+    Repeatable for a given key and seed, however the table is partitioned.
+    """
+    return _shuffled(df, label, key, seed).withColumn(split, _part(fractions)).drop("__ordinal", "__total")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, fold: str = "fold") -> DataFrame:
     """Fold number 0..k-1, evenly filled within each label."""
-    numbered = _shuffled(df, label, key, seed)
-    return numbered.withColumn(fold, ((F.col("__ordinal") - 1) % k).cast("int")).drop("__ordinal", "__total")
+    return _shuffled(df, label, key, seed).withColumn(fold, _fold(k)).drop("__ordinal", "__total")
+
+
+def split_and_fold(
+    df: DataFrame, label: str, key: str, fractions: Mapping[str, float], k: int = 5, seed: int = 42, split: str = "split", fold: str = "fold"
+) -> DataFrame:
+    """Split and folds from one numbering of the rows (one shuffle instead of two)."""
+    return _shuffled(df, label, key, seed).withColumns({split: _part(fractions), fold: _fold(k)}).drop("__ordinal", "__total")
 
 
 def standardize(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str]) -> list[DataFrame]:

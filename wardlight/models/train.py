@@ -221,7 +221,7 @@ def halving_search(
 
     By default as many candidates start as let the last round use ``high`` trees at most.
     """
-    rounds = int(math.log(high / low, factor)) + 1
+    rounds = int(math.log(high / low, factor) + 1e-9) + 1
     candidates = draw(space, n or high // low, seed)
     found = Search()
     trees = low

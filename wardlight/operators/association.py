@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.tails import chi2_p, f_p, kolmogorov_p, normal_p, t_p, tukey_critical, tukey_p
 from wardlight.operators.distributions import QUARTILES, numeric_cells
-from wardlight.operators.ordered import average_ranks, quantiles, running_totals, value_counts
+from wardlight.operators.ordered import average_ranks, long_values, quantiles, running_totals, value_counts
 from wardlight.operators.outcomes import union_rows
 from wardlight.operators.quality import null_counts, top_per_group
 from wardlight.session import stage
@@ -365,10 +365,8 @@ def compare_categories(tagged: DataFrame, features: Sequence[str], n: int = 10)
 
 def cohort_value_counts(tagged: DataFrame, features: Sequence[str], cohorts: Sequence[str]) -> DataFrame:
     """One row per feature and distinct value with one count column per cohort."""
-    counts = value_counts(tagged, features, ["cohort"])
-    return counts.groupBy("feature", "range", "value").agg(
-        *[F.coalesce(F.sum(F.when(F.col("cohort") == c, F.col("n"))), F.lit(0)).alias(c) for c in cohorts]
-    )
+    long = long_values(tagged, features, extra=["cohort"])
+    return long.groupBy("feature", "range", "value").agg(*[F.count_if(F.col("cohort") == c).alias(c) for c in cohorts])
 
 
 def ks_two_sample(

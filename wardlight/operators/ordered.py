@@ -28,7 +28,7 @@ QUANTILE_RANGE = 5_000
 def value_cuts(
     df: DataFrame,
     columns: Sequence[str],
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
     max_ranges: int = MAX_RANGES,
 ) -> dict[str, list[float]]:
     """Cut points per column, fewer than ``max_ranges`` numbers each (one action).
@@ -36,6 +36,7 @@ def value_cuts(
     A coarse sketch gives evenly filled ranges; where the table needs more of them, each
     is split again at equal widths.
     """
+    rows_per_range = rows_per_range or ROWS_PER_RANGE
     probs = [i / SKETCH_MARKS for i in range(1, SKETCH_MARKS)]
     sketch = df.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
@@ -76,7 +77,7 @@ def long_values(
     columns: Sequence[str],
     by: Sequence[str] = (),
     extra: Sequence[str] = (),
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """``(by, extra, feature, range, value)`` rows, nulls dropped, one row per cell."""
     narrow = df.select(*by, *extra, *[c for c in columns if c not in by])
