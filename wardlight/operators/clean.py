@@ -38,6 +38,8 @@ def drop_sparse(df: DataFrame, max_missing: float) -> DataFrame:
 
 def drop_low_variance(df: DataFrame, ids: Sequence[str], threshold: float = 0.01) -> DataFrame:
     """Drop columns where one value (null included) covers more than ``1 - threshold`` of the rows."""
+    if not 0 <= threshold < 0.5:
+        raise ValueError("threshold must be below one half")
     flagged = [
         p.column for p in dominant_shares(df, ids) if p.count == p.total or p.count > (1 - threshold) * p.total
     ]

@@ -41,8 +41,9 @@ def outcome_distribution(
     """Share of each outcome within each category; empty when there are too many categories."""
     counts = outcome_counts(df, feature, outcome)
     shares = counts.withColumn("probability", F.col("n") / group_total(counts, "n", [feature]))
-    few = counts.select(feature).distinct().limit(max_categories + 1).agg(F.count(F.lit(1)).alias("k"))
-    return shares.filter(few.scalar() <= max_categories)
+    # counts the categories from the same grouped table, so its shuffle is reused
+    categories = counts.groupBy(feature).agg(F.sum("n").alias("n")).agg(F.count_if(F.col("n") > 0).alias("k"))
+    return shares.filter(categories.scalar() <= max_categories)
 
 
 def outcome_pivot(
@@ -131,22 +132,19 @@ def group_overview(
     df: DataFrame, group: str, min_rows: int = 50, outcome: str = "readmitted", negative: str = "NO"
 ) -> DataFrame:
     """Most common group, its share, number of groups, overall rate, riskiest well-supported group."""
-    rows = df.filter(F.col(group).isNotNull()).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(outcome) != negative).alias("hits")
-    )
-    every = df.agg(
-        F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(outcome) != negative).alias("hits"))
-    ).scalar()
-    supported = F.when(F.col("n") >= min_rows, F.col("hits") * 100.0 / F.col("n"))
+    rows = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(outcome) != negative).alias("hits"))
+    named = F.col(group).isNotNull()
+    rate_of = F.when(named & (F.col("n") >= min_rows), F.col("hits") * 100.0 / F.col("n"))
     return rows.agg(
-        F.min_by(group, F.struct(-F.col("n"), F.col(group))).alias("top_group"),
-        F.max("n").alias("top_count"),
-        F.count(F.lit(1)).alias("groups"),
-        F.min_by(group, F.struct(-F.coalesce(supported, F.lit(-1.0)), F.col(group))).alias("riskiest_group"),
-        F.max(supported).alias("riskiest_rate"),
+        F.min_by(group, F.when(named, F.struct(-F.col("n"), F.col(group)))).alias("top_group"),
+        F.max(F.when(named, F.col("n"))).alias("top_count"),
+        F.sum("n").alias("all_n"), F.sum("hits").alias("all_hits"),
+        F.count_if(named).alias("groups"),
+        F.min_by(group, F.when(rate_of.isNotNull(), F.struct(-rate_of, F.col(group)))).alias("riskiest_group"),
+        F.max(rate_of).alias("riskiest_rate"),
     ).select(
-        "top_group", "top_count", share(F.col("top_count"), every["n"]).alias("top_pct"), "groups",
-        share(every["hits"], every["n"]).alias("overall_rate"), "riskiest_group", "riskiest_rate",
+        "top_group", "top_count", share(F.col("top_count"), F.col("all_n")).alias("top_pct"), "groups",
+        share(F.col("all_hits"), F.col("all_n")).alias("overall_rate"), "riskiest_group", "riskiest_rate",
     )
 
 
@@ -176,10 +174,12 @@ def risk_scores(
 def risk_ranking(df: DataFrame, group: str, stay: str, procedures: str, top: int = 10, **options) -> DataFrame:
     """Groups by falling risk score with the medians that split the risk quadrants."""
     scored = risk_scores(df, group, stay, procedures, **options)
-    # one row per group here, so the medians run over a table the size of the group list
-    middle = scored.agg(F.struct(F.median("rate").alias("rate"), F.median("urgent_rate").alias("urgent"))).scalar()
+    # one row per group here; a window keeps the rows from being aggregated a second time
+    every = W.partitionBy()
     return (
-        scored.withColumns({"median_rate": middle["rate"], "median_urgent_rate": middle["urgent"]})
+        scored.withColumns(
+            {"median_rate": F.median("rate").over(every), "median_urgent_rate": F.median("urgent_rate").over(every)}
+        )
         .orderBy(F.desc("risk_score"), group)
         .limit(top)
     )
@@ -238,23 +238,22 @@ def status_combinations(
     The empty set takes part in the top ``n`` and is dropped afterwards. Whether a column
     is read as Yes/No is decided by whether any Yes occurs in it.
     """
-    has_yes = df.agg(*[F.max(F.col(c).isin("Yes", "yes")).alias(c) for c in cols]).first()
+    statuses = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(outcome) != negative).alias("hits"))
+    # from here on at most one row per combination of status words
+    every = W.partitionBy()
 
     def used(c: str) -> Column:
-        if has_yes[c]:
-            return F.coalesce(F.col(c).isin("Yes", "yes"), F.lit(False))
-        return F.coalesce(~F.col(c).isin("No", "no"), F.lit(False))
+        yes = F.coalesce(F.col(c).isin("Yes", "yes"), F.lit(False))
+        other = F.coalesce(~F.col(c).isin("No", "no"), F.lit(False))
+        return F.when(F.max(yes).over(every), yes).otherwise(other)
 
-    sets = (
-        df.groupBy(*[used(c).alias(c) for c in cols])
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(outcome) != negative).alias("hits"))
-    )
-    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    marked = statuses.select("n", "hits", F.sum("n").over(every).alias("rows"), *[used(c).alias(c) for c in cols])
+    sets = marked.groupBy(*cols).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.first("rows").alias("rows"))
     label = join_labels([F.when(F.col(c), label_text(F.lit(c))) for c in cols])
     top = sets.orderBy(F.desc("n"), *[F.desc(c) for c in cols]).limit(n)
     return top.filter(" or ".join(f"`{c}`" for c in cols)).select(
         label.alias("medications"), "n",
-        share(F.col("n"), rows).alias("pct"),
+        share(F.col("n"), F.col("rows")).alias("pct"),
         share(F.col("hits"), F.col("n")).alias("outcome_rate"),
     )
 
@@ -302,7 +301,7 @@ def top_k(df: DataFrame, by: str, k: int, tie: str, absolute: bool = False) -> D
 def top_with_other(df: DataFrame, col: str, n: int = 9, limit: int = 10, other: str = "Other") -> DataFrame:
     """Category counts; with more than ``limit`` categories all but the first ``n`` are summed."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    categories = counts.agg(F.count(F.lit(1)).alias("k")).scalar()
+    categories = counts.agg(F.count_if(F.col("n") > 0).alias("k")).scalar()
     leading = counts.orderBy(F.desc("n"), "category").limit(n).select("category", F.lit(True).alias("__top"))
     marked = counts.join(leading, "category", "left")
     label = F.when(F.col("__top") | (categories <= limit), F.col("category")).otherwise(F.lit(other))

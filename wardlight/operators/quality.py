@@ -183,10 +183,11 @@ class Dominant:
 
 
 def dominant_shares(df: DataFrame, ids: Sequence[str] = ()) -> list[Dominant]:
-    """Most frequent value per column, exact for every value held by over a tenth of the rows.
+    """Most frequent value per column, exact wherever one value fills over half the rows.
 
-    A frequent-items sketch names the candidate and a second pass counts it, so the
-    distinct values of wide columns are never shuffled. Null counts as a value.
+    A frequent-items sketch names the candidates and a second pass counts them, so the
+    distinct values of wide columns are never shuffled. Null counts as a value. The sketch
+    is off by less than a hundredth of the rows, so it cannot miss a majority value.
     """
     cols = [c for c in df.columns if c not in set(ids)]
     if not cols:
@@ -218,6 +219,8 @@ def string_cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def low_variance(df: DataFrame, ids: Sequence[str] = (), threshold: float = 0.01) -> DataFrame:
     """Zero and near-zero variance columns with dominant value, share and distinct count."""
+    if not 0 <= threshold < 0.5:
+        raise ValueError("threshold must be below one half")
     schema = "feature string, type string, dominant_value string, dominant_pct double"
     found = []
     for p in dominant_shares(df, ids):

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from wardlight.functions import scalars
 from wardlight.operators import distributions
 from wardlight.plans.outcome_queries import rep2
 from wardlight.plans.registry import query
@@ -100,21 +101,36 @@ def kde(spark, folder):
     return rounded(rounded(df, 6, "x"), 9, "density")
 
 
-# Positions and sample values are checked; the quantile expression has its own unit test.
-@query("qq_points", with_views("e1", """
-SELECT row_number() OVER (ORDER BY amount) AS position, amount AS sample FROM e1"""))
-def qq_points(spark, folder):
-    return distributions.qq_points(e1(spark, folder), "amount").select("position", "sample")
+def _horner(x: str, coefficients) -> str:
+    text = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + ({c!r})::DOUBLE)"
+    return text
+
 
+def _quantile_sql(p: str) -> str:
+    """The inverse normal distribution by the same published approximation."""
+    low, high, mid = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"({p} - 0.5)"
+    a, b, c, d = scalars._ACKLAM_A, scalars._ACKLAM_B, scalars._ACKLAM_C, scalars._ACKLAM_D
+    return (
+        f"CASE WHEN {p} < 0.02425 THEN {_horner(low, c)} / {_horner(low, d)} "
+        f"WHEN {p} > 0.97575 THEN -{_horner(high, c)} / {_horner(high, d)} "
+        f"ELSE {_horner(f'({mid} * {mid})', a)} * {mid} / {_horner(f'({mid} * {mid})', b)} END"
+    )
 
-@query("qq_theoretical")
-def qq_theoretical(spark, folder):
-    return distributions.qq_points(e1(spark, folder), "amount")
+
+@query("qq_points", with_views("e1", f"""
+, r AS (SELECT row_number() OVER (ORDER BY amount) AS position, amount AS sample, (row_number() OVER (ORDER BY amount) - 0.5::DOUBLE) / count(*) OVER () AS p FROM e1)
+SELECT position, round({_quantile_sql('p')}, 6) AS theoretical, sample FROM r"""))
+def qq_points(spark, folder):
+    return rounded(distributions.qq_points(e1(spark, folder), "amount"), 6, "theoretical")
 
 
-@query("qq_line")
+@query("qq_line", with_views("e1", f"""
+, s AS (SELECT 0.5::DOUBLE / count(amount) AS p, avg(amount) AS m, stddev_samp(amount) AS d FROM e1), q AS (SELECT m, d, {_quantile_sql('p')} AS z FROM s)
+SELECT round(z, 6) AS from_x, round(m + d * z, 4) AS from_y, round(-z, 6) AS to_x, round(m - d * z, 4) AS to_y FROM q"""))
 def qq_line(spark, folder):
-    return distributions.qq_line(e1(spark, folder), "amount")
+    return rounded(rounded(distributions.qq_line(e1(spark, folder), "amount"), 6, "from_x", "to_x"), 4, "from_y", "to_y")
 
 
 def balances(spark, folder):
@@ -130,6 +146,19 @@ def shapiro_wilk(spark, folder):
     return distributions.shapiro_wilk(df, cols)
 
 
-@query("anderson_darling")
+def _anderson(c: str) -> str:
+    """The normal distribution function by its power series in odd powers over double factorials."""
+    series = ("list_sum(list_transform(range(120), lambda k: exp((2 * k + 1) * ln(abs(z)) - lgamma(2.0 * k + 2) + k * ln(2.0) + lgamma(k + 1.0))))")
+    return f"""
+SELECT '{c}' AS feature, max(i) AS rows, -max(i) - sum((2 * i - 1) * ln(f) + (2 * (n - i) + 1) * ln(1 - f)) / max(i) AS statistic
+FROM (SELECT i, n, 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * {series} AS f
+      FROM (SELECT row_number() OVER (ORDER BY {c}) AS i, count(*) OVER () AS n, ({c} - m) / s AS z
+            FROM e1, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM e1)))"""
+
+
+@query("anderson_darling", with_views("e1", f"""
+, a AS ({' UNION ALL '.join(_anderson(c) for c in ('amount', 'balance'))}),
+c AS (SELECT *, round_even(0.787 / (1 + 4.0 / rows - 25.0 / (rows * rows)), 3)::DOUBLE AS critical_5pct FROM a)
+SELECT feature, rows, round(statistic, 4) AS statistic, critical_5pct, statistic < critical_5pct AS normal FROM c"""))
 def anderson_darling(spark, folder):
-    return distributions.anderson_darling(e1(spark, folder), ["amount", "balance"])
+    return rounded(distributions.anderson_darling(e1(spark, folder), ["amount", "balance"]), 4, "statistic")
