@@ -18,6 +18,7 @@ from wardlight.operators.outcomes import union_rows
 from wardlight.operators.quality import null_counts, top_per_group
 from wardlight.session import stage
 
+DIGIT_BITS = 3
 COHORT_PAIRS = (("all", "first"), ("all", "repeated"), ("first", "repeated"))
 
 
@@ -82,16 +83,16 @@ def corr_kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Kendall's tau-b of every pair, exact and pairwise complete.
 
     Rows are collapsed to counts of distinct (x, y) cells. Concordant pairs are counted
-    level by level over the bits of x's dense rank: two cells belong to the level of the
-    highest bit in which their ranks differ, and there the cell with the 0 bit has the
-    smaller x. Within a level and prefix it remains to add, for every cell with the 1
-    bit, the weight of the 0-bit cells with a smaller y, a running total in y order. So
-    no pair of rows is ever formed; the work is n log(distinct x).
+    level by level over the octal digits of x's dense rank: two cells belong to the level
+    of the highest digit in which their ranks differ, and there the cell with the smaller
+    digit has the smaller x. Within a level and prefix it remains to add, for every cell,
+    the weight of the cells with a smaller digit and a smaller y, which are running
+    totals in y order. So no pair of rows is ever formed; the work is n log(distinct x).
     """
     narrow = df.select(*cols)
     distinct = narrow.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cols]).first()
     # one spare level covers the error of the estimate
-    levels = {c: ceil(log2(max(2, distinct[c]))) + 1 for c in cols}
+    levels = {c: ceil((log2(max(2, distinct[c])) + 1) / DIGIT_BITS) for c in cols}
     pairs = []
     for i, (a, b) in enumerate(combinations(cols, 2)):
         x, y = (a, b) if levels[a] <= levels[b] else (b, a)
@@ -111,15 +112,21 @@ def corr_kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     counts = stage(counts)
     leveled = counts.select("pair", "x", "y", "w", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
     sides = leveled.select(
-        "pair", "level", F.expr("shiftright(x, level + 1)").alias("prefix"),
+        "pair", "level", F.expr(f"shiftright(x, {DIGIT_BITS} * (level + 1))").alias("prefix"),
         F.expr("shiftright(y, 12)").alias("range"), F.col("y").alias("value"), "w",
-        F.expr("shiftright(x, level) & 1").alias("bit"),
+        F.expr(f"shiftright(x, {DIGIT_BITS} * level) & {2**DIGIT_BITS - 1}").alias("digit"),
     )
+    weights = [f"w{d}" for d in range(2**DIGIT_BITS)]
     merged = sides.groupBy("pair", "level", "prefix", "range", "value").agg(
-        F.sum(F.col("bit") * F.col("w")).alias("high"), F.sum((1 - F.col("bit")) * F.col("w")).alias("low")
+        *[F.coalesce(F.sum(F.when(F.col("digit") == d, F.col("w"))), F.lit(0)).alias(name) for d, name in enumerate(weights)]
     )
-    running = running_totals(merged, ["pair", "level", "prefix"], ["low"])
-    concordant = running.groupBy("pair").agg(F.sum(F.col("high").cast("double") * F.col("before_low")).alias("c"))
+    running = running_totals(merged, ["pair", "level", "prefix"], weights[:-1])
+    smaller = F.lit(0)
+    product = F.lit(0.0)
+    for low, high in zip(weights, weights[1:]):
+        smaller = smaller + F.col(f"before_{low}")
+        product = product + F.col(high).cast("double") * smaller
+    concordant = running.groupBy("pair").agg(F.sum(product).alias("c"))
 
     def ties(grouped: DataFrame, name: str) -> DataFrame:
         w = F.col("w").cast("double")
