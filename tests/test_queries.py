@@ -12,7 +12,7 @@ ORACLES = driver.oracle_sql()
 
 
 def norm(value):
-    return f"{value:.9g}" if isinstance(value, float) else repr(value)
+    return f"{value + 0.0:.9g}" if isinstance(value, float) else repr(value)
 
 
 @pytest.fixture(scope="module")

@@ -90,7 +90,7 @@ def corr_pairs_test(spark, folder):
 
 
 @query("linear_fit", with_views("e2", " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(regr_slope({b}, {a}), 6) AS slope, round(regr_intercept({b}, {a}), 6) AS intercept, "
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, 0.0 + round(regr_slope({b}, {a}), 6) AS slope, 0.0 + round(regr_intercept({b}, {a}), 6) AS intercept, "
     f"min({a}) AS from_x, max({a}) AS to_x FROM e2" for a, b in combinations(COLS, 2))))
 def linear_fit(spark, folder):
     return rounded(association.linear_fit(e2(spark, folder), list(combinations(COLS, 2))))

@@ -35,7 +35,7 @@ def _entropy(c: str) -> str:
     return f"""
 SELECT '{c}' AS feature, count(*) AS "unique", min(v) FILTER (n = top) AS mode, max(n) AS mode_count,
        CAST((SELECT count(*) - count({c}) FROM e4) AS BIGINT) AS missing,
-       round(-sum((n / tot) * log2(n / tot + 1e-10)), 6) AS entropy
+       0.0 + round(-sum((n / tot) * log2(n / tot + 1e-10)), 6) AS entropy
 FROM (SELECT {c} AS v, count(*) AS n, sum(count(*)) OVER () * 1.0 AS tot, max(count(*)) OVER () AS top
       FROM e4 WHERE {c} IS NOT NULL GROUP BY 1)"""
 
