@@ -201,3 +201,20 @@ def test_lowess(spark):
     means = spark.createDataFrame([("f", float(v), 2.0 * v) for v in range(10)], "feature string, value double, mean_score double")
     smooth = explain.lowess_by_feature(means, 0.5).collect()
     assert all(r["smoothed"] == pytest.approx(r["mean_score"]) for r in smooth)
+
+
+def test_pruning_alpha_is_searched_without_refitting(spark, rows):
+    space = train.with_alphas({"max_depth": [4]}, 0.01)
+    found = train.grid_search(rows, "tree", space)
+    assert [s["params"]["alpha"] for s in found.scores] == [0.0, 0.005, 0.01, 0.02]
+    assert found.scores[0]["score"] == pytest.approx(np.mean(train.fold_scores(rows, "tree", {"max_depth": 4})))
+    model = train.best_fit(rows, "tree", found)
+    alphas = [0.0, 0.01, 10.0]
+    scored = explain.pruned_scores(model, rows, alphas)
+    sizes = {r["alpha"]: r["k"] for r in scored.groupBy("alpha").agg(F.count_distinct("score").alias("k")).collect()}
+    assert sizes[0.0] >= sizes[0.01] >= sizes[10.0] == 1
+    f2 = {r["alpha"]: r["f2"] for r in evaluate.f2_by(scored, ("alpha",)).collect()}
+    assert f2[0.0] == pytest.approx(train.F2Evaluator().evaluate(model.transform(rows)))
+    assert len(train.expand(train.with_alphas(train.TREE_SPACE, 0.1))) == 288
+    drawn = train.draw(train.FOREST_TIGHT_SPACE, 20, 1)
+    assert all(d["feature_share"] == "sqrt" or 0.15 <= d["feature_share"] <= 0.65 for d in drawn)

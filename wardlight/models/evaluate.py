@@ -213,6 +213,15 @@ def compare_models(scored: Mapping[str, tuple[DataFrame, float]]) -> DataFrame:
     return union_rows(*rows)
 
 
+def f2_by(scored: DataFrame, by: tuple[str, ...], threshold: float = 0.5) -> DataFrame:
+    """F2 of the positive class per group at a threshold."""
+    hit, positive = F.col("score") >= threshold, F.col("label") == 1
+    counts = scored.groupBy(*by).agg(
+        F.count_if(positive & hit).alias("tp"), F.count_if(~positive & hit).alias("fp"), F.count_if(positive & ~hit).alias("fn")
+    )
+    return counts.select(*by, ratio(5 * F.col("tp"), 5 * F.col("tp") + 4 * F.col("fn") + F.col("fp")).alias("f2"))
+
+
 class F2Evaluator(Evaluator):
     """F2 of the positive class at a fixed threshold, for ``pyspark.ml`` tuning."""
 

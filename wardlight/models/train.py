@@ -19,16 +19,38 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.models.evaluate import F2Evaluator
+from wardlight.models.evaluate import F2Evaluator, f2_by, roc_auc
+from wardlight.models.explain import pruned_scores
 from wardlight.models.prep import with_class_weight
 
 MAX_DEPTH = 30
+
+# The searched spaces. Lists are choices; (low, high) of integers excludes high.
+CLASS_WEIGHTS = ["balanced", {0: 1.0, 1: 1.5}, {0: 1.0, 1: 2.0}, {0: 1.0, 1: 5.0}, {0: 1.0, 1: 6.0}, {0: 1.5, 1: 1.0}, {0: 2.0, 1: 1.0}]
+LOGISTIC_SPACE = {"c": [0.01, 0.02, 0.05, 0.1, 0.2], "class_weight": CLASS_WEIGHTS}
+TREE_SPACE = {"max_depth": [3, 5, 7, 10], "min_split": [5, 10, 20], "min_leaf": [2, 4, 8], "criterion": ["gini", "entropy"]}
+FOREST_SPACE = {"trees": (100, 500), "max_depth": (5, 20), "feature_share": (0.1, 0.8), "min_leaf": (2, 10), "min_split": (2, 10)}
+FOREST_HALVING_SPACE = {"max_depth": (5, 12), "feature_share": (0.1, 0.9), "min_leaf": (2, 10), "min_split": (2, 10)}
+FOREST_TIGHT_SPACE = {
+    "max_depth": (6, 12), "feature_share": [(0.15, 0.65), "sqrt"], "min_leaf": (5, 12), "min_split": (4, 12),
+    "class_weight": ["balanced", {0: 1, 1: 4}, {0: 1, 1: 5}, {0: 1, 1: 6}],
+}
+
+
+def with_alphas(space: Mapping[str, object], best: float) -> dict:
+    """Search space with no pruning and half, once and twice a known good alpha."""
+    return {**space, "alpha": [0.0, best / 2, best, best * 2]}
+
+
 ClassWeight = str | Mapping[int, float]
 
 
 def auc_evaluator() -> Evaluator:
-    """ROC-AUC over all distinct scores (no binning)."""
-    return BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
+    """ROC-AUC of the probabilities over all distinct scores (no binning).
+
+    The raw prediction of a tree is a class count, which does not rank rows.
+    """
+    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
 
 
 EVALUATORS: dict[str, Callable[[], Evaluator]] = {"roc_auc": auc_evaluator, "f2": F2Evaluator}
@@ -160,7 +182,10 @@ def search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]],
 
     ``CrossValidator`` runs the fits of all candidates side by side on the given folds.
     Class weights become weight columns, so they are ordinary parameters of the grid.
+    Candidates with a pruning ``alpha`` are scored by :func:`pruned_search` instead.
     """
+    if any("alpha" in c for c in candidates):
+        return pruned_search(df, kind, candidates, metric)
     specs: list[ClassWeight | None] = []
     for params in candidates:
         if params.get("class_weight") not in specs:
@@ -189,6 +214,34 @@ def search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]],
     return found
 
 
+def pruned_search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]], metric: str = "roc_auc") -> Search:
+    """Cross-validated scores of tree or forest candidates that differ in pruning ``alpha``.
+
+    Candidates equal but for alpha share their fits: each model is fitted once per fold,
+    pruned at every alpha, and all levels are scored in one pass over the held-out rows.
+    """
+    groups: dict[str, list[int]] = {}
+    for i, params in enumerate(candidates):
+        groups.setdefault(repr(sorted((k, repr(v)) for k, v in params.items() if k != "alpha")), []).append(i)
+    folds = sorted(r["fold"] for r in df.select("fold").distinct().collect())
+    totals = [0.0] * len(candidates)
+    for members in groups.values():
+        params = {k: v for k, v in candidates[members[0]].items() if k != "alpha"}
+        rows = weighted(df, params.pop("class_weight", None))
+        alphas = sorted({float(candidates[i].get("alpha", 0.0)) for i in members})
+        for fold in folds:
+            model = MAKERS[kind](**params).fit(rows.filter(F.col("fold") != fold))
+            scored = pruned_scores(model, rows.filter(F.col("fold") == fold), alphas)
+            by_alpha = roc_auc(scored, ("alpha",)) if metric == "roc_auc" else f2_by(scored, ("alpha",))
+            values = {r["alpha"]: r[metric] for r in by_alpha.collect()}
+            for i in members:
+                totals[i] += values[float(candidates[i].get("alpha", 0.0))] / len(folds)
+    found = Search()
+    for params, score in zip(candidates, totals):
+        found.add(params, score)
+    return found
+
+
 def grid_search(df: DataFrame, kind: str, space: Mapping[str, Sequence], metric: str = "roc_auc", parallelism: int = 4) -> Search:
     """Every combination of the listed values."""
     return search(df, kind, expand(space), metric, parallelism)
@@ -200,10 +253,12 @@ def draw(space: Mapping[str, object], n: int, seed: int) -> list[dict]:
     source = random.Random(seed)
 
     def one(values):
+        if isinstance(values, list):
+            values = source.choice(values)  # a choice may itself be a range
         if isinstance(values, tuple):
             low, high = values
             return source.randrange(low, high) if isinstance(low, int) and isinstance(high, int) else round(source.uniform(low, high), 4)
-        return source.choice(list(values))
+        return values
 
     return [{name: one(values) for name, values in space.items()} for _ in range(n)]
 
@@ -239,8 +294,9 @@ def halving_search(
 
 
 def best_fit(df: DataFrame, kind: str, found: Search) -> Model:
-    """Refit the best candidate on all rows."""
+    """Refit the best candidate on all rows, unpruned; score it with ``pruned_scores`` at its alpha."""
     params = dict(found.best["params"])
+    params.pop("alpha", None)
     rows = weighted(df, params.pop("class_weight", None))
     total = weight_sum(rows) if kind == "logistic" else 1.0
     return _estimator(kind, params, total).fit(rows)

@@ -85,6 +85,12 @@ def tree_grid(spark, folder):
     return train.grid_search(training(parts(spark, folder)), "tree", space, "f2").table(spark)
 
 
+@query("tree_alpha_grid")
+def tree_alpha_grid(spark, folder):
+    space = train.with_alphas({"max_depth": [5], "class_weight": ["balanced"]}, 0.001)
+    return train.grid_search(training(parts(spark, folder)), "tree", space, "roc_auc").table(spark)
+
+
 @query("forest_fit")
 def forest_fit(spark, folder):
     model = train.fit_forest(training(parts(spark, folder)), trees=10, max_depth=6, feature_share=0.5)
