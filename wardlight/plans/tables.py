@@ -8,7 +8,7 @@ from wardlight.operators import clean, cohorts, lookup, quality
 from wardlight.functions import scalars
 from wardlight.plans.registry import query
 from wardlight.plans.views import e1, e2, e3, e4, e5, e6, table, with_views
-from wardlight.sources.readers import read_encounters, read_model_table
+from wardlight.sources.readers import read_model_table
 
 
 def rounded(df, digits=6, *cols):
