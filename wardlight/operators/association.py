@@ -19,6 +19,7 @@ from wardlight.operators.quality import null_counts, top_per_group
 from wardlight.session import stage
 
 DIGIT_BITS = 3
+PAIRS_PER_PASS = 300
 COHORT_PAIRS = (("all", "first"), ("all", "repeated"), ("first", "repeated"))
 
 
@@ -28,8 +29,16 @@ def _pair_rows(one: DataFrame, pairs: Sequence[tuple[str, str]], cell) -> DataFr
 
 
 def corr_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(feature_a, feature_b, n, correlation)`` for a < b in column order, pairwise complete, one pass."""
+    """``(feature_a, feature_b, n, correlation)`` for a < b in column order, pairwise complete.
+
+    All pairs share one pass; only very wide tables take a further pass per ``PAIRS_PER_PASS`` pairs.
+    """
     pairs = list(combinations(cols, 2))
+    chunks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    return union_rows(*[_pearson_pass(df, chunk) for chunk in chunks])
+
+
+def _pearson_pass(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     one = df.agg(
         *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
         *[F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"n{i}") for i, (a, b) in enumerate(pairs)],
