@@ -27,12 +27,18 @@ def local_session(name: str = "wardlight", cores: str = "8") -> SparkSession:
 def scratch_path(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only where none is set (tests) a local folder is made and used from then on.
+    Only a session on one machine (``local``, as in tests) may do without: it gets a folder
+    of its own. On a cluster a machine-local folder would be unreadable elsewhere, so a
+    missing setting is an error there.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wardlight-"))
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="wardlight-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
