@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import simhash
+from wardlight.llm import bpe, contamination, imatch, langid, simhash, surrogates, token_files
 from wardlight.llm.common import read_table
 
 LLM_QUERIES = {}
 LLM_ORACLES: dict[str, str] = {}
 
+BYTE_BPE = "byte_bpe_50k.json"
+END_ID = 2
+SURROGATE_KEY = "corpus release 1"
+
 
 def llm_query(fn):
     """Register ``(spark, folder) -> DataFrame`` under the function's name."""
@@ -17,6 +22,37 @@ def llm_query(fn):
     return fn
 
 
+@llm_query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.languages(read_table(spark, folder, "documents"))
+
+
+@llm_query
+def op2_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprints(read_table(spark, folder, "documents"))
+
+
+@llm_query
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@llm_query
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_table(read_table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), END_ID)
+
+
+@llm_query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@llm_query
+def op8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, SURROGATE_KEY)
+
+
 @llm_query
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
