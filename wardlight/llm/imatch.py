@@ -2,11 +2,11 @@
 
 1. Document frequencies of all words of all documents; the lexicon keeps words inside a band
    of inverse document frequency.
-2. Each subset takes the lexicon words whose hash falls into its share of the hash range.
-   Subsets of several sizes serve short and long documents.
+2. Randomised subsets: a word's hash puts it into one of many subsets. Large ones tell that
+   documents are nearly equal, small ones that they share a part.
 3. A document's distinct lexicon words are sorted and hashed for each subset. The
    fingerprint is the row of these hashes; two fingerprints are alike by the share of equal
-   hashes among subsets that hold a word of either document.
+   hashes among the subsets that hold a word of either document.
 
 The lexicon is broadcast. Its size is bounded: the sum of document frequencies is known, so
 fewer than ``lexicon_bound`` words can each have more than that share of it, and the
@@ -25,9 +25,9 @@ from wardlight.operators.ordered import value_cuts, with_ranges
 #: Inverse document frequencies ln(N / df) of the band: from 10 % down to 0.1 % of documents.
 IDF_BAND = (2.3, 6.91)
 LEXICON_BOUND = 65_536
-#: Sizes of the subsets in 256ths of the lexicon; they do not overlap.
-SUBSETS = (16,) * 4 + (4,) * 8 + (1,) * 16
-HASH_RANGE = 256
+#: Sizes of the subsets in 1024ths of the lexicon; together they cover it and do not overlap.
+SUBSETS = (64,) * 2 + (16,) * 16 + (8,) * 32 + (4,) * 64 + (1,) * 128
+HASH_RANGE = sum(SUBSETS)
 DOCS_PER_RANGE = 1000
 
 
@@ -38,24 +38,20 @@ def distinct_words(text: Column) -> Column:
 
 
 def subset_of(word: Column) -> Column:
-    """Number of the subset that holds a lexicon word, null for words of none."""
-    slot = F.pmod(F.xxhash64(F.lit("lexicon subset"), word), F.lit(HASH_RANGE)).cast("int")
-    column, low = F.lit(None).cast("int"), 0
-    for number, share in enumerate(SUBSETS):
-        column = F.when((slot >= low) & (slot < low + share), F.lit(number)).otherwise(column)
-        low += share
-    return column
+    """Number of the subset that holds a lexicon word."""
+    numbers = F.array(*[F.lit(n) for n, size in enumerate(SUBSETS) for _ in range(size)])
+    return F.element_at(numbers, F.pmod(F.xxhash64(F.lit("lexicon subset"), word), F.lit(HASH_RANGE)).cast("int") + 1)
 
 
 def lexicon(texts: DataFrame, text_col: str, band: tuple[float, float] = IDF_BAND, bound: int = LEXICON_BOUND) -> DataFrame:
-    """``(word, subset)``: words of the band that belong to a subset. Frequencies cover all documents."""
+    """``(word, subset)`` for the words of the band. Frequencies cover all documents."""
     counts = texts.select(F.explode(distinct_words(F.col(text_col))).alias("word")).groupBy("word").count().filter("count > 1")
     counts = written(counts, "frequencies")
     total = counts.agg(F.sum("count")).first()[0] or 0
     documents = texts.count()
     idf = F.log(F.lit(float(max(documents, 1))) / F.col("count"))
     kept = counts.filter((idf >= band[0]) & (idf <= band[1]) & (F.col("count") * bound >= total))
-    return kept.select("word", subset_of(F.col("word")).alias("subset")).filter("subset IS NOT NULL")
+    return kept.select("word", subset_of(F.col("word")).alias("subset"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,29 +86,28 @@ def half_replaced(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(F.coalesce(other, F.lit("")), F.lit(1), half))
 
 
-def prints_of(terms: Column, whole: Column) -> Column:
-    """Hash of each subset's words, sorted; 0 for none. A text without any takes the hash of all its words."""
+def subset_hash(words: Column) -> Column:
+    """Subset number and hash of its sorted words in one long; null for no words."""
+    low = F.xxhash64(F.array_join(F.sort_array(words), " ")).bitwiseAND(0xFFFFFF)
+    return F.when(F.size(words) > 0, F.col("subset").cast("long") * (1 << 24) + low)
 
-    def one(number: Column) -> Column:
-        mine = F.transform(F.filter(terms, lambda t: t["subset"] == number), lambda t: t["word"])
-        return F.when(F.size(mine) > 0, F.xxhash64(F.array_join(mine, " ")).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(0).cast("long"))
 
-    numbers = F.sequence(F.lit(0), F.lit(len(SUBSETS) - 1))
-    return F.when(F.size(terms) > 0, F.transform(numbers, one)).otherwise(
-        F.array_repeat(whole.bitwiseAND(0xFFFFFFFF), len(SUBSETS))
+def or_whole(hashes: Column, whole: Column) -> Column:
+    """The hashes, or for a text without lexicon words the hash of all its words, under a subset of its own."""
+    return F.when(F.size(hashes) > 0, F.sort_array(hashes)).otherwise(
+        F.array(F.lit(len(SUBSETS)).cast("long") * (1 << 24) + whole.bitwiseAND(0xFFFFFF))
     )
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among subsets that are not empty on both sides; 1 for equal rows."""
-    both = F.arrays_zip(a.alias("a"), b.alias("b"))
-    used = F.filter(both, lambda x: (x["a"] != 0) | (x["b"] != 0))
-    same = F.filter(used, lambda x: x["a"] == x["b"])
-    return F.when(a == b, F.lit(1.0)).otherwise(F.size(same) / F.greatest(F.size(used), F.lit(1)))
+    """Share of equal hashes among the subsets that hold words of either text."""
+    subsets = lambda x: F.transform(x, lambda h: F.shiftright(h, 24))
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(subsets(a), subsets(b)))
 
 
-def hex_print(prints: Column) -> Column:
-    return F.array_join(F.transform(prints, lambda p: F.lpad(F.lower(F.hex(p)), 8, "0")), "")
+def hex_print(hashes: Column) -> Column:
+    """Eight hex digits for each subset with words: its number and its hash."""
+    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> DataFrame:
@@ -138,16 +133,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "range", "place", "guard", "doc_id", "n_chars", F.xxhash64(F.array_join("own", " ")).alias("own_whole"),
         F.xxhash64(F.array_join("edited", " ")).alias("edited_whole"), F.explode(items).alias("item"),
     ).select("*", "item.*").drop("item")
-    # The rows of a range stay in their task: the window, this grouping and the next window share one shuffle.
+    # The rows of a range stay in their task: the window, both groupings and the last window share one shuffle.
     known = long_rows.join(words, "word", "left").filter("subset IS NOT NULL OR side = 2")
-    term = F.struct("subset", "word")
-    grouped = known.groupBy("range", "place").agg(
-        *[F.first(c).alias(c) for c in ("guard", "doc_id", "n_chars", "own_whole", "edited_whole")],
-        F.max(F.when(F.col("side") == 2, F.col("word"))).alias("edited_sha256"),
-        F.sort_array(F.collect_list(F.when(F.col("side") == 0, term))).alias("own"),
-        F.sort_array(F.collect_list(F.when(F.col("side") == 1, term))).alias("edited"),
+    kept = ("guard", "doc_id", "n_chars", "own_whole", "edited_whole")
+    by_subset = known.groupBy("range", "place", "subset").agg(
+        *[F.first(c).alias(c) for c in kept],
+        F.max(F.when(F.col("side") == 2, F.col("word"))).alias("sha"),
+        F.collect_list(F.when(F.col("side") == 0, F.col("word"))).alias("own"),
+        F.collect_list(F.when(F.col("side") == 1, F.col("word"))).alias("edited"),
     )
-    printed = grouped.withColumns({"own": prints_of(F.col("own"), F.col("own_whole")), "edited": prints_of(F.col("edited"), F.col("edited_whole"))})
+    printed = by_subset.groupBy("range", "place").agg(
+        *[F.first(c).alias(c) for c in kept],
+        F.max("sha").alias("edited_sha256"),
+        F.collect_list(subset_hash(F.col("own"))).alias("own"),
+        F.collect_list(subset_hash(F.col("edited"))).alias("edited"),
+    )
+    printed = printed.withColumns({side: or_whole(F.col(side), F.col(f"{side}_whole")) for side in ("own", "edited")})
     following = printed.withColumn("next", F.lead("own").over(W.partitionBy("range").orderBy("place")))
     return following.filter(~F.col("guard")).select(
         F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", hex_print(F.col("own")).alias("fingerprint"),

@@ -205,10 +205,9 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     rows = known.join(best.select("id").distinct().hint("broadcast"), F.col(id_col) == F.col("id"), "left_semi")
     room = F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1
     spots = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda k: F.pmod(F.xxhash64(F.col(id_col), k), room).cast("int") + 1)
-    windows = rows.select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.explode(spots).alias("spot")
-    ).select("lang", "id", "spot", F.substring(F.col("text"), F.col("spot"), F.lit(WINDOW)).alias("window"))
-    # Bounded: documents x windows for each language; repeated ids are cut off by the order.
+    cut = lambda spot: F.substring(F.col(text_col), spot, F.lit(WINDOW))
+    windows = rows.select(F.col(lang_col).alias("lang"), F.explode(F.transform(spots, cut)).alias("window"))
+    # Bounded: documents x windows for each language.
     found = sorted(windows.distinct().collect())
     return [r.window.encode() for r in found], [r.lang for r in found]
 

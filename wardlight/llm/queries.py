@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import bpe, contamination, imatch, langid, simhash, surrogates, token_files
+from wardlight.llm import bpe, contamination, imatch, langid, secrets, simhash, substrings, surrogates, token_files, toxicity
 from wardlight.llm.common import read_table
 
 LLM_QUERIES = {}
@@ -32,6 +32,11 @@ def op2_imatch(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprints(read_table(spark, folder, "documents"))
 
 
+@llm_query
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_findings(read_table(spark, folder, "documents"))
+
+
 @llm_query
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
@@ -47,12 +52,22 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+@llm_query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 @llm_query
 def op8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     return surrogates.pseudonymise(docs, SURROGATE_KEY)
 
 
+@llm_query
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeated_passages(read_table(spark, folder, "documents"))
+
+
 @llm_query
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
