@@ -150,6 +150,23 @@ def decode_column(ids: Column, path: str) -> Column:
     return bpe_decode(ids)
 
 
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_tokens, ids (binary, little-endian 32-bit), and whether the ids decode to the text.
+
+    Null counts as the empty text. Repeated rows each keep a row; other columns are not read.
+    """
+
+    @F.pandas_udf("n_tokens long, ids binary, round_trip boolean")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pairs = loaded(path)
+        for texts in batches:
+            ids = [pairs.encode(t) for t in texts]
+            same = [pairs.decode(i) == (t or "") for i, t in zip(ids, texts)]
+            yield pd.DataFrame({"n_tokens": [len(i) // 4 for i in ids], "ids": ids, "round_trip": same})
+
+    return docs.select(id_col, encode(F.col(text_col)).alias("d")).select(id_col, "d.*")
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, sha256 of the ids and of the decoded text.
 

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import fresh
+
 UNKNOWN = "und"
 HIDDEN = 8
 BLOCK, LEAD, LANES = 192, 12, 2048
@@ -199,14 +201,15 @@ class Reader:
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column) -> tuple[list[bytes], list[str]]:
     """Windows of at most ``SAMPLE_DOCS`` documents for each language, picked by a hash of their ids."""
-    known = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    keys = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"))
-    best = keys.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("order", "id"))).filter(F.col("place") <= SAMPLE_DOCS)
-    rows = known.join(best.select("id").distinct().hint("broadcast"), F.col(id_col) == F.col("id"), "left_semi")
-    room = F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1
-    spots = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda k: F.pmod(F.xxhash64(F.col(id_col), k), room).cast("int") + 1)
-    cut = lambda spot: F.substring(F.col(text_col), spot, F.lit(WINDOW))
-    windows = rows.select(F.col(lang_col).alias("lang"), F.explode(F.transform(spots, cut)).alias("window"))
+    known = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = known.filter("id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
+    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    best = known.select("id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
+    rows = known.join(F.broadcast(best.select("id").distinct()), "id", "left_semi")
+    room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    spots = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda k: F.pmod(F.xxhash64("id", k), room).cast("int") + 1)
+    cut = lambda spot: F.substring(F.col("text"), spot, F.lit(WINDOW))
+    windows = rows.select("lang", F.explode(F.transform(spots, cut)).alias("window"))
     # Bounded: documents x windows for each language.
     found = sorted(windows.distinct().collect())
     return [r.window.encode() for r in found], [r.lang for r in found]
@@ -254,8 +257,6 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def with_known_language(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows of ``docs``, all columns, whose language is found with at least ``min_score``."""
     model = fit(docs, F.col(id_col).isNotNull() & ~held_out(id_col), id_col, text_col, lang_col)
-    name = "found_language"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "found_language")
     found = docs.withColumn(name, predict_column(F.col(text_col), model))
     return found.filter((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= min_score)).select(*docs.columns)

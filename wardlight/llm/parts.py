@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 #: Parts kept by each of the two generations of a task's table.
-TABLE_PARTS = 400_000
+TABLE_PARTS = 700_000
 #: Longer parts are encoded each time, so the table stays small.
 PART_LENGTH = 64
+LOOSE_SPACE = re.compile(r" (?:\s|\Z)|\0")
 
 
 def cut_at_spaces(text: str) -> list[str] | None:
@@ -16,11 +18,10 @@ def cut_at_spaces(text: str) -> list[str] | None:
     A space between two characters that are no white space always starts a piece of the
     tokenizer, and no piece sees beyond it, so parts can be encoded one by one.
     """
-    parts = text.split(" ")
-    for p in parts[1:]:
-        if not p or p[0].isspace():
-            return None
-    return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
+    if LOOSE_SPACE.search(text):
+        return None
+    parts = text.replace(" ", "\0 ").split("\0")
+    return parts if parts[0] else parts[1:]
 
 
 class PartTable:
@@ -32,17 +33,22 @@ class PartTable:
     def look_up(self, parts: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         """Ids of each part; ``encode`` gets the distinct unknown ones."""
         found = list(map(self.young.get, parts))
-        if None not in found:
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        if not holes:
             return found
         missing: dict[str, bytes | None] = {}
-        for part, ids in zip(parts, found):
-            if ids is None:
+        for i in holes:
+            part = parts[i]
+            if part not in missing:
                 missing[part] = self.old.get(part)
         unknown = [p for p, ids in missing.items() if ids is None]
         missing.update(zip(unknown, encode(unknown)))
-        for part, ids in missing.items():
-            if len(part) <= PART_LENGTH:
-                self.young[part] = ids
+        for i in holes:
+            found[i] = missing[parts[i]]
+        self.remember(missing)
+        return found
+
+    def remember(self, known: dict[str, bytes]) -> None:
+        self.young.update((p, ids) for p, ids in known.items() if len(p) <= PART_LENGTH)
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
-        return [missing[p] if ids is None else ids for p, ids in zip(parts, found)]

@@ -265,9 +265,8 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Of rows that share that id one stays. Rows with a null id stay, as they cannot be told apart.
     """
     linked = near_duplicates(docs.select(id_col, text_col), id_col, text_col, words, max_bits)
-    kept = linked.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("kept_id")).count()
+    kept = linked.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n_rows"))
     kept = written(kept, "kept")
-    on = docs[id_col] == F.col("kept_id")
-    once = docs.join(kept.filter("count = 1"), on, "left_semi")
-    again = docs.join(kept.filter("count > 1"), on, "left_semi").dropDuplicates([id_col])
+    once = docs.join(kept.filter("n_rows = 1").select(id_col), id_col, "left_semi")
+    again = docs.join(kept.filter("n_rows > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
     return once.unionByName(again).unionByName(docs.filter(docs[id_col].isNull()))

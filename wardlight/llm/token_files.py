@@ -24,6 +24,7 @@ from wardlight.llm.common import shared_folder
 from wardlight.llm.parts import PartTable, cut_at_spaces
 
 ROWS_AT_ONCE = 128
+PARTS_AT_ONCE = 20_000
 
 
 class LibraryEncoder:
@@ -36,18 +37,58 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.parts = PartTable()
 
     def plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text by the library."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers. Null is the empty text."""
-        text = text or ""
-        parts = None if any(s in text for s in self.special) else cut_at_spaces(text)
-        return self.plain([text])[0] if parts is None else b"".join(self.parts.look_up(parts, self.plain))
+    def joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without special tokens: many in one call, a special token between them."""
+        if not self.special:
+            return self.plain(parts)
+        mark, number = next(iter(self.special.items()))
+        out = []
+        for at in range(0, len(parts), PARTS_AT_ONCE):
+            some = parts[at : at + PARTS_AT_ONCE]
+            ids = np.frombuffer(self.plain([mark.join(some)])[0], "<u4")
+            cuts = np.flatnonzero(ids == number)
+            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+            out += [ids[a:b].tobytes() for a, b in zip(starts, ends)]
+        return out
+
+    def unknown(self, parts: list[str]) -> list[bytes]:
+        """Ids of unknown parts. A mark after a letter is a piece of its own, so the word before it may be known."""
+        stems = [p[:-1] if p[-1] in ".,;:" and p[-2:-1].isalpha() else p for p in parts]
+        table = self.parts
+        known = {s: table.young.get(s) or table.old.get(s) for s in stems}
+        rest = [s for s, ids in known.items() if ids is None]
+        new = dict(zip(rest, self.joined(rest)))
+        known.update(new)
+        table.remember({s: ids for s, ids in new.items()})
+        return [known[s] + (self.ending(p[-1]) if len(s) < len(p) else b"") for s, p in zip(stems, parts)]
+
+    def ending(self, mark: str) -> bytes:
+        return self.parts.look_up([mark], self.joined)[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers. Null is the empty text."""
+        parts, sizes, whole = [], [], {}
+        for i, text in enumerate(texts):
+            cut = None
+            if text and not any(s in text for s in self.special):
+                cut = cut_at_spaces(text)
+            if text and cut is None:
+                whole[i] = self.plain([text])[0]
+            parts += cut or []
+            sizes.append(len(cut or []))
+        found, at, out = self.parts.look_up(parts, self.unknown), 0, []
+        for i, size in enumerate(sizes):
+            out.append(whole[i] if i in whole else b"".join(found[at : at + size]))
+            at += size
+        return out
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -78,7 +119,7 @@ def write_token_files(
     """
     ordered = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+        .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -89,7 +130,7 @@ def write_token_files(
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
-                found = [tokens.encode(t) + end for t in batch.column("text").to_pylist()]
+                found = [ids + end for ids in tokens.encode_all(batch.column("text").to_pylist())]
                 counts = np.array([len(x) // 4 for x in found], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 ids = pa.ListArray.from_arrays(bounds.astype(np.int32), np.frombuffer(b"".join(found), "<i4"))
@@ -112,16 +153,21 @@ def write_token_files(
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of token files with ``start``: the ids of all documents before it.
+    """Rows of token files: ``doc_id``, ``part``, ``part_start``, ``n_tokens``, ``ids``.
 
     Filters on ``doc_id`` reach the files' indexes and Bloom filters.
     """
-    files = spark.read.orc(folder)
+    return spark.read.orc(folder)
+
+
+def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` of token ``files`` with ``start``, the ids of all documents before, instead of the part's."""
     # One row for each file's range, however many documents there are.
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    return files.join(bases, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    keep = [c for c in rows.columns if c not in ("part", "part_start")]
+    return rows.join(bases, "part").select(*keep, (F.col("base") + F.col("part_start")).alias("start"))
 
 
 def checked_ids(tokens: DataFrame) -> DataFrame:
@@ -146,4 +192,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     """Write the token files of ``docs`` to the shared folder and read ``(doc_id, start, n_tokens, ids_crc32)`` back."""
     folder = shared_folder(docs.sparkSession, "tokens")
     write_token_files(docs, folder, tokenizer_path, end_id, id_col, text_col)
-    return checked_ids(read_token_files(docs.sparkSession, folder)).withColumnRenamed("doc_id", id_col)
+    files = read_token_files(docs.sparkSession, folder)
+    # The ids are summed up before the join, so they are never shuffled.
+    found = with_starts(checked_ids(files), files)
+    return found.select(F.col("doc_id").alias(id_col), "start", "n_tokens", "ids_crc32")
