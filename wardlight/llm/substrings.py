@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import shared_folder, written
-from wardlight.llm.suffix_sort import MULTIPLIERS, PrefixHashes, SuffixSort, mixed
+from wardlight.llm.suffix_sort import PrefixHashes, equal_groups, mixed
 
 SIZE, ANCHOR = 50, 16
 PLACE_BITS = 24
@@ -45,6 +45,24 @@ class Limits:
     units: int = 30_000  # units resolved together (one anchor's units are never parted)
 
 
+CHUNK = 1 << 18
+LOW = np.uint64((1 << PLACE_BITS) - 1)
+
+
+def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``data``: the place of its anchor, and 48 bits of the anchor's hash."""
+    code = mixed(PrefixHashes(data).grams(ANCHOR))
+    # The place in the low bits breaks ties: the leftmost of equal anchors in a window.
+    least = (code & ~LOW) | np.arange(len(code), dtype=np.uint64)
+    span, wanted = 1, SIZE - ANCHOR + 1
+    while 2 * span <= wanted:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    if span < wanted:
+        least = np.minimum(least[: span - wanted], least[wanted - span :])
+    place = (least & LOW).astype(np.int64)
+    return place, code[place] >> np.uint64(16)
+
+
 class Block:
     """Units of many pieces of text. A unit is a run of windows with one anchor."""
 
@@ -52,32 +70,21 @@ class Block:
         sizes = np.array([len(p) for p in pieces], np.int64)
         self.begin = np.cumsum(sizes) - sizes
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
-        self.first = self.last = self.owner = self.anchor = np.zeros(0, np.int64)
-        self.code = np.zeros(0, np.uint64)
-        if len(self.data) < SIZE:
-            return
-        hashes = PrefixHashes(self.data)
-        starts = np.arange(len(self.data) - ANCHOR + 1)
-        code = mixed(hashes.of(starts, ANCHOR))
-        # The place in the low bits breaks ties: the leftmost of equal anchors in a window.
-        low = np.uint64((1 << PLACE_BITS) - 1)
-        least, span, wanted = (code & ~low) | starts.astype(np.uint64), 1, SIZE - ANCHOR + 1
-        while 2 * span <= wanted:
-            least, span = np.minimum(least[:-span], least[span:]), 2 * span
-        if span < wanted:
-            least = np.minimum(least[: span - wanted], least[wanted - span :])
-        inside = np.zeros(len(least), bool)
-        for b, n in zip(self.begin.tolist(), sizes.tolist()):
-            inside[b : max(b, b + n - SIZE + 1)] = True
-        window = np.flatnonzero(inside)
-        anchor = (least[window] & low).astype(np.int64)
-        owner = np.searchsorted(self.begin, window, side="right") - 1
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])[: len(window)]
-        at = np.flatnonzero(new)
-        self.first, self.last = window[at], window[np.concatenate([at[1:], [len(window)]]) - 1] if len(at) else window
-        self.owner, self.anchor = owner[at], anchor[at]
-        #: 48 bits of the anchor's hash.
-        self.code = code[self.anchor] >> np.uint64(16)
+        windows = np.maximum(sizes - SIZE + 1, 0)
+        found = [np.zeros((4, 0), np.int64)]
+        # Chunks that fit the processor's caches; a unit cut by a chunk's end is two units.
+        for at in range(0, len(self.data) - SIZE + 1, CHUNK):
+            place, code = window_anchors(self.data[at : at + CHUNK + SIZE - 1])
+            owner = np.repeat(np.arange(len(sizes)), np.clip(self.begin + sizes, at, at + len(place)) - np.clip(self.begin, at, at + len(place)))
+            window = np.arange(at, at + len(place))
+            inside = window < self.begin[owner] + windows[owner]
+            window, place, owner, code = window[inside], place[inside], owner[inside], code[inside]
+            if len(window):
+                new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]))
+                last = np.concatenate([new[1:], [len(window)]]) - 1
+                found.append(np.stack([window[new], window[last], owner[new], code[new].view(np.int64)]))
+        self.first, self.last, self.owner, code = np.concatenate(found, axis=1)
+        self.code = np.ascontiguousarray(code).view(np.uint64)
 
 
 def pieces_of(text: bytes, size: int) -> list[tuple[int, bytes]]:
@@ -124,7 +131,7 @@ def steps(values: np.ndarray) -> np.ndarray:
 
 
 def batch_of(**columns: list) -> pa.RecordBatch:
-    kinds = {"key": pa.int32(), "row": pa.int64(), "count": pa.int64(), "known": pa.bool_()}
+    kinds = {"key": pa.int32(), "row": pa.int64(), "block": pa.int64(), "count": pa.int64(), "known": pa.bool_()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in columns.items()], names=list(columns))
 
 
@@ -137,6 +144,7 @@ def by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 MANY = -1
+ENTRIES = "key int, block long, count long, known boolean, body binary"
 
 
 def anchor_entries(parts: int, limits: Limits):
@@ -151,49 +159,57 @@ def anchor_entries(parts: int, limits: Limits):
             code, rows = code[new], rows[new]
             _, start, times = np.unique(code, return_index=True, return_counts=True)
             shared = np.repeat(times > 1, times)
+            name = held[0][0]
             keys, bodies, counts, known = [], [], [], []
-            for row, at in by_value(rows[shared]):
-                found = code[shared][at]
-                keys.append(int(row) % parts), counts.append(len(found)), known.append(True)
-                bodies.append(packed(np.full(len(found), row, np.int64), found))
+            if shared.any():
+                keys.append(name % parts), counts.append(int(shared.sum())), known.append(True)
+                bodies.append(packed(rows[shared], code[shared]))
             sent_code, sent_row = code[start], np.where(times > 1, MANY, rows[start])
             for part, at in by_value(sent_code % np.uint64(parts)):
                 at = at[np.argsort(sent_row[at], kind="stable")]
                 keys.append(int(part)), counts.append(len(at)), known.append(False)
                 bodies.append(packed(steps(sent_row[at]), sent_code[at]))
-            yield batch_of(key=keys, count=counts, known=known, body=bodies)
+            yield batch_of(key=keys, block=[name] * len(keys), count=counts, known=known, body=bodies)
 
     return run
 
 
 def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, reduce: ``(row, codes)`` for the anchors that occur in two texts."""
-    all_rows, all_codes = [], []
-
-    def answers(rows: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        found = [(int(row), codes[at].tobytes()) for row, at in by_value(rows)]
-        return batch_of(row=[r for r, _ in found], codes=[c for _, c in found])
-
+    """Step 1, reduce: for each block the ``(row, code)`` of anchors that occur in two texts."""
+    names, all_rows, all_codes = [], [], []
     for batch in batches:
-        for count, known, body in zip(*(batch.column(c).to_pylist() for c in ("count", "known", "body"))):
-            rows, codes = unpacked(body, count, "<i8", "<u8")
+        for name, count, known, body in zip(*(batch.column(c).to_pylist() for c in ("block", "count", "known", "body"))):
             if known:
-                yield answers(rows, codes)
-            else:
-                all_rows.append(np.cumsum(rows))
-                all_codes.append(codes)
-    if all_rows:
-        rows, codes = np.concatenate(all_rows), np.concatenate(all_codes)
-        order = np.argsort(codes, kind="stable")
-        rows, codes = rows[order], codes[order]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        size = np.diff(np.concatenate([first, [len(codes)]]))
-        # A code is sent once for each block and row, so two entries, or one for many, are two texts
-        # (or two blocks that hold pieces of one long text: a harmless candidate).
-        many = np.minimum.reduceat(rows, first) == MANY
-        keep = np.repeat(many | (size > 1), size) & (rows != MANY)
-        if keep.any():
-            yield answers(rows[keep], codes[keep])
+                yield batch_of(block=[name], count=[count], body=[body])
+                continue
+            rows, codes = unpacked(body, count, "<i8", "<u8")
+            names.append(np.full(count, name, np.int64))
+            all_rows.append(np.cumsum(rows))
+            all_codes.append(codes)
+    if not names:
+        return
+    names, rows, codes = np.concatenate(names), np.concatenate(all_rows), np.concatenate(all_codes)
+    order = np.argsort(codes, kind="stable")
+    names, rows, codes = names[order], rows[order], codes[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    size = np.diff(np.concatenate([first, [len(codes)]]))
+    # A code is sent once for each block and row, so two entries, or one for many, are two texts
+    # (or two blocks that hold pieces of one long text: a harmless candidate).
+    many = np.minimum.reduceat(rows, first) == MANY
+    keep = np.repeat(many | (size > 1), size) & (rows != MANY)
+    for name, at in by_value(names[keep]):
+        at = np.flatnonzero(keep)[at]
+        yield batch_of(block=[int(name)], count=[len(at)], body=[packed(rows[at], codes[at])])
+
+
+def codes_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(row, codes)`` of each text from its block's answers."""
+    for batch in batches:
+        for answers in batch.column("answers").to_pylist():
+            found = [unpacked(a["body"], a["count"], "<i8", "<u8") for a in answers]
+            rows, codes = (np.concatenate(x) for x in zip(*found))
+            out = [(int(row), codes[at].tobytes()) for row, at in by_value(rows)]
+            yield batch_of(row=[r for r, _ in out], codes=[c for _, c in out])
 
 
 def merged_spans(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,14 +220,14 @@ def merged_spans(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
     return first[new], reach[np.concatenate([np.flatnonzero(new)[1:], [len(first)]]) - 1]
 
 
-def span_rows(rows: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Removed intervals of each text as pairs of 64-bit numbers."""
-    out_rows, out = [], []
-    for row, at in by_value(rows):
-        a, b = merged_spans(first[at], end[at])
-        out_rows.append(int(row))
-        out.append(np.column_stack([a, b]).astype("<i8").tobytes())
-    return out_rows, out
+def spans_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(row, spans)``: removed intervals of each text of a block, merged, as pairs of 64-bit numbers."""
+    for batch in batches:
+        for answers in batch.column("answers").to_pylist():
+            found = [unpacked(a["body"], a["count"], "<i8", "<i8", "<i8") for a in answers]
+            rows, first, end = (np.concatenate(x) for x in zip(*found))
+            out = [(int(row), np.column_stack(merged_spans(first[at], end[at])).astype("<i8").tobytes()) for row, at in by_value(rows)]
+            yield batch_of(row=[r for r, _ in out], spans=[s for _, s in out])
 
 
 def unit_entries(parts: int, limits: Limits):
@@ -232,29 +248,35 @@ def unit_entries(parts: int, limits: Limits):
             rows = np.array([h[0] for h in held], np.int64)[owner]
             ids = np.array([h[1] for h in held], np.int64)[owner]
             place = first - block.begin[owner] + np.array([h[2] for h in held], np.int64)[owner]
-            group = SuffixSort(block.data, first, length).group
+            group = equal_groups(block.data, first, length)
             least = np.full(group.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, group, ids)
             gone = ids > least[group]
-            keys, bodies, counts, known, lengths = [], [], [], [], []
+            name = held[0][0]
+            keys, bodies, counts, known, texts = [], [], [], [], []
             if gone.any():
-                for row, spans in zip(*span_rows(rows[gone], place[gone], (place + length)[gone])):
-                    keys.append(row % parts), counts.append(row), known.append(True), bodies.append(spans), lengths.append(b"")
+                keys.append(name % parts), counts.append(int(gone.sum())), known.append(True), texts.append(b"")
+                bodies.append(packed(rows[gone], place[gone], (place + length)[gone]))
             left = np.flatnonzero(~gone)
             for part, at in by_value(block.code[unit[left]] % np.uint64(parts)):
                 at = left[at]
                 meta = (steps(rows[at]), steps(ids[at]), place[at], block.code[unit[at]], length[at].astype(np.uint8))
-                text = b"".join(block.data[a : a + n].tobytes() for a, n in zip(first[at].tolist(), length[at].tolist()))
                 keys.append(int(part)), counts.append(len(at)), known.append(False), bodies.append(packed(*meta))
-                lengths.append(zstandard.ZstdCompressor(level=3).compress(text))
-            yield batch_of(key=keys, count=counts, known=known, body=bodies, text=lengths)
+                texts.append(zstandard.ZstdCompressor(level=1).compress(block.data[stretches(first[at], length[at])].tobytes()))
+            yield batch_of(key=keys, block=[name] * len(keys), count=counts, known=known, body=bodies, text=texts)
 
     return run
 
 
+def stretches(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of the stretches, one after the other."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(int(length.sum()))
+
+
 def resolved(data: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(unit, first, end)`` of removed bytes, relative to the units, among units of whole anchor groups."""
-    group = SuffixSort(data, start, length).group
+    group = equal_groups(data, start, length)
     least = np.full(group.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, ids)
     gone = np.flatnonzero(ids > least[group])
@@ -269,13 +291,7 @@ def resolved(data: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.n
     unit = np.repeat(chosen, runs)
     offset = np.arange(len(unit)) - np.repeat(np.cumsum(runs) - runs, runs)
     at = start[unit] + offset
-    # Windows whose hash stands alone are no candidates; the rest are sorted and verified.
-    _, where, times = np.unique(mixed(PrefixHashes(data).of(at, SIZE)), return_inverse=True, return_counts=True)
-    twice = times[where] > 1
-    unit, offset, at = unit[twice], offset[twice], at[twice]
-    if not len(at):
-        return out
-    window = SuffixSort(data, at, np.full(len(at), SIZE)).group
+    window = equal_groups(data, at, np.full(len(at), SIZE))
     owner = least[group[unit]]
     first_doc = np.full(window.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(first_doc, window, owner)
@@ -294,42 +310,45 @@ def resolved(data: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.n
 
 
 def removed_spans(limits: Limits):
-    """Step 2, reduce: ``(row, spans)`` of the bytes that a smaller document holds too."""
+    """Step 2, reduce: for each block the ``(row, first, end)`` of bytes that a smaller document holds too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = []
         for batch in batches:
-            for count, known, body, text in zip(*(batch.column(c).to_pylist() for c in ("count", "known", "body", "text"))):
+            for name, count, known, body, text in zip(*(batch.column(c).to_pylist() for c in ("block", "count", "known", "body", "text"))):
                 if known:
-                    yield batch_of(row=[count], spans=[body])
+                    yield batch_of(block=[name], count=[count], body=[body])
                 else:
-                    kept.append((count, body, text))
+                    kept.append((name, count, body, text))
         if not kept:
             return
-        metas = [unpacked(body, count, "<i8", "<i8", "<i8", "<u8", "u1") for count, body, _ in kept]
+        metas = [unpacked(body, count, "<i8", "<i8", "<i8", "<u8", "u1") for _, count, body, _ in kept]
         rows, ids = (np.concatenate([np.cumsum(m[k]) for m in metas]) for k in (0, 1))
         place, code, length = (np.concatenate([m[k] for m in metas]) for k in (2, 3, 4))
+        names = np.repeat([name for name, _, _, _ in kept], [count for _, count, _, _ in kept])
         length = length.astype(np.int64)
-        data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(t) for _, _, t in kept), np.uint8)
+        data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(t) for _, _, _, t in kept), np.uint8)
         del kept, metas
         start = np.cumsum(length) - length
         order = np.argsort(code, kind="stable")
-        _, first, size = np.unique(code[order], return_index=True, return_counts=True)
+        _, size = np.unique(code[order], return_counts=True)
         open_ = size > 1
         order = order[np.repeat(open_, size)]
         ends = np.cumsum(size[open_])
-        at = 0
+        at, found = 0, []
         while at < len(order):
             # Whole anchor groups, about ``limits.units`` units together.
             stop = int(ends[min(np.searchsorted(ends, at + limits.units), len(ends) - 1)])
             some = order[at:stop]
             own = np.cumsum(length[some]) - length[some]
-            text = data[np.repeat(start[some] - own, length[some]) + np.arange(int(length[some].sum()))]
+            text = data[stretches(start[some], length[some])]
             for unit, a, b in resolved(text, own, length[some], code[some], ids[some]):
-                out_rows, spans = span_rows(rows[some][unit], place[some][unit] + a, place[some][unit] + b)
-                if out_rows:
-                    yield batch_of(row=out_rows, spans=spans)
+                found.append((some[unit], place[some][unit] + a, place[some][unit] + b))
             at = stop
+        if found:
+            unit, first, end = (np.concatenate(x) for x in zip(*found))
+            for name, at in by_value(names[unit]):
+                yield batch_of(block=[int(name)], count=[len(at)], body=[packed(rows[unit[at]], first[at], end[at])])
 
     return run
 
@@ -352,6 +371,11 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text_key", "n_removed", "n_spans", "kept_sha256"])
 
 
+def by_block(answers: DataFrame) -> DataFrame:
+    """Answers of all parts gathered for each block, whose text bounds their size."""
+    return answers.groupBy("block").agg(F.collect_list(F.struct("count", "body")).alias("answers"))
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()
 ) -> DataFrame:
@@ -373,15 +397,17 @@ def repeated_passages(
     texts.write.bucketBy(parts, "text_key").option("path", folder).option("compression", "zstd").saveAsTable(table)
     texts = spark.table(table)
 
-    entries = texts.select("row", "id", "text").mapInArrow(anchor_entries(parts, limits), "key int, count long, known boolean, body binary")
-    shared = entries.repartition(parts, "key").mapInArrow(shared_anchors, "row long, codes binary")
+    entries = texts.select("row", "id", "text").mapInArrow(anchor_entries(parts, limits), ENTRIES)
+    answers = entries.repartition(parts, "key").mapInArrow(shared_anchors, "block long, count long, body binary")
+    shared = by_block(answers).mapInArrow(codes_by_row, "row long, codes binary")
     shared = shared.groupBy("row").agg(F.collect_list("codes").alias("codes"))
     numbers = written(texts.select("row", "text_key"), "numbers")
     shared = written(shared.join(numbers, "row").select("text_key", "codes"), "anchors")
 
     units = texts.join(shared, "text_key").select("row", "id", "text", "codes")
-    entries = units.mapInArrow(unit_entries(parts, limits), "key int, count long, known boolean, body binary, text binary")
-    spans = entries.repartition(parts, "key").mapInArrow(removed_spans(limits), "row long, spans binary")
+    entries = units.mapInArrow(unit_entries(parts, limits), f"{ENTRIES}, text binary")
+    answers = entries.repartition(parts, "key").mapInArrow(removed_spans(limits), "block long, count long, body binary")
+    spans = by_block(answers).mapInArrow(spans_by_row, "row long, spans binary")
     spans = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
     spans = written(spans.join(numbers, "row").select("text_key", "spans"), "spans")
 

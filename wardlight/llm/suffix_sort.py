@@ -14,29 +14,44 @@ import numpy as np
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F]
 
 
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(multiplier: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``size`` powers of the multiplier and of its inverse modulo 2^64, kept for the next call."""
+    known = _tables.get(multiplier)
+    if known is None or len(known[0]) < size:
+        room = 1 << max(size - 1, 1).bit_length()
+        made = []
+        for base in (multiplier, pow(multiplier, -1, 1 << 64)):
+            table = np.full(room, base, np.uint64)
+            table[0] = 1
+            made.append(np.cumprod(table, dtype=np.uint64))
+        known = _tables[multiplier] = made[0], made[1]
+    return known[0][:size], known[1][:size]
+
+
 class PrefixHashes:
     """Hashes modulo 2^64 of all stretches of ``data``."""
 
     def __init__(self, data: np.ndarray, multiplier: int = MULTIPLIERS[0]):
         size = len(data)
-        with np.errstate(over="ignore"):
-            power = np.ones(size + 1, np.uint64)
-            power[1:] = np.cumprod(np.full(size, multiplier, np.uint64))
-            self.sums = np.zeros(size + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:size], out=self.sums[1:])
-            self.inverse = np.ones(size + 1, np.uint64)
-            self.inverse[1:] = np.cumprod(np.full(size, pow(multiplier, -1, 1 << 64), np.uint64))
+        power, self.inverse = powers(multiplier, size + 1)
+        self.sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * power[:size], out=self.sums[1:])
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
+        return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
+
+    def grams(self, length: int) -> np.ndarray:
+        """Hashes of all stretches of one length, in order."""
+        return (self.sums[length:] - self.sums[:-length]) * self.inverse[: len(self.sums) - length]
 
 
 def mixed(hashes: np.ndarray) -> np.ndarray:
     """Hashes with all bits spread."""
-    with np.errstate(over="ignore"):
-        for _ in range(2):
-            hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(MULTIPLIERS[1])
+    for _ in range(2):
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(MULTIPLIERS[1])
     return hashes ^ (hashes >> np.uint64(32))
 
 
@@ -152,3 +167,17 @@ class SuffixSort:
             if not len(open_):
                 return True
         return bool(equal[open_].all())
+
+
+def equal_groups(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Class of equal stretches, numbered from 0; only stretches whose hash occurs twice are sorted."""
+    hashes = mixed(PrefixHashes(data).of(start, length)) ^ length.astype(np.uint64)
+    _, group, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(times[group] > 1)
+    if len(twice):
+        # The sort decides: stretches that only share a hash come apart again.
+        found = SuffixSort(data, start[twice], length[twice]).group
+        _, apart = np.unique(found, return_inverse=True)
+        group[twice] = len(times) + apart
+        _, group = np.unique(group, return_inverse=True)
+    return group
