@@ -64,15 +64,23 @@ def test_one_document_and_none(make):
 
 
 def test_fingerprint_is_the_plain_one(spark, make):
-    """Subset hashes of sorted distinct lexicon words, worked out by hand from the lexicon table."""
+    """Subset hashes of sorted distinct lexicon words, worked out by hand."""
     docs = make([(i, " ".join(f"t{k}" for k in range(40) if (i * 31 + k * k) % 11 == 0)) for i in range(60)])
-    words = {r.word: r.subset for r in imatch.lexicon(docs, "text", (0.0, 9.0)).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in imatch.fingerprints(docs, band=(0.0, 9.0)).collect():
-        subsets = {}
-        for w in sorted(set(texts[r.doc_id].split()) & set(words)):
-            subsets.setdefault(words[w], []).append(w)
-        hashes = [spark.range(1).selectExpr(f"xxhash64('{' '.join(ws)}') & 16777215").first()[0] for ws in subsets.values()] if r.doc_id < 4 else None
-        if hashes is not None and subsets:
-            want = sorted((s << 24) + h for s, h in zip(subsets, hashes))
-            assert r.fingerprint == "".join(f"{h:08x}" for h in want)
+    lexicon = imatch.lexicon(docs, "text", (0.0, 9.0))
+    marks = {r.word: r.mark for r in lexicon.withColumn("mark", imatch.subset_mark(lexicon.word)).collect()}
+    texts, seen = {r.doc_id: r.text for r in docs.collect()}, 0
+    for r in imatch.fingerprints(docs, band=(0.0, 9.0)).filter("doc_id < 20").collect():
+        runs = {}
+        for w in sorted(set(texts[r.doc_id].split()) & set(marks)):
+            runs[marks[w]] = runs.get(marks[w], "") + marks[w] + w
+        hashes = spark.createDataFrame([(m, t) for m, t in sorted(runs.items())], "m string, t string").selectExpr("m", "xxhash64(t) & 16777215 AS h").collect()
+        seen += bool(runs)
+        assert not runs or r.fingerprint == "".join(f"{((ord(x.m) - imatch.FIRST_MARK) << 24) + x.h:08x}" for x in hashes)
+    assert seen >= 3
+
+
+def test_subsets_part_the_lexicon_by_their_sizes(spark):
+    words = spark.range(40000).selectExpr("concat('w', id) AS word")
+    counts = {r.mark: r["count"] for r in words.groupBy(imatch.subset_mark(words.word).alias("mark")).count().collect()}
+    assert len(counts) == len(imatch.SUBSETS)
+    assert abs(counts[chr(imatch.FIRST_MARK)] - 40000 * imatch.SUBSETS[0] / imatch.HASH_RANGE) < 300

@@ -8,13 +8,16 @@
    fingerprint is the row of these hashes; two fingerprints are alike by the share of equal
    hashes among the subsets that hold a word of either document.
 
-The lexicon is broadcast. Its size is bounded: the sum of document frequencies is known, so
+The lexicon goes to the tasks as one value. Its size is bounded: the sum of document frequencies is known, so
 fewer than ``lexicon_bound`` words can each have more than that share of it, and the
 band's lower edge is never below that.
 """
 
 from __future__ import annotations
 
+import random
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +32,10 @@ LEXICON_BOUND = 65_536
 SUBSETS = (64,) * 2 + (16,) * 16 + (8,) * 32 + (4,) * 64 + (1,) * 128
 HASH_RANGE = sum(SUBSETS)
 DOCS_PER_RANGE = 1000
+#: Cells of the lexicon's hash table, the bits of a hash that name its cells, and the first subset's mark.
+TABLE_CELLS = 1 << 17
+CELL_SHIFTS = (0, 17, 34)
+FIRST_MARK = 0xE000
 
 
 def distinct_words(text: Column) -> Column:
@@ -37,21 +44,54 @@ def distinct_words(text: Column) -> Column:
     return F.array_remove(F.array_distinct(parts), "")
 
 
-def subset_of(word: Column) -> Column:
-    """Number of the subset that holds a lexicon word."""
-    numbers = F.array(*[F.lit(n) for n, size in enumerate(SUBSETS) for _ in range(size)])
-    return F.element_at(numbers, F.pmod(F.xxhash64(F.lit("lexicon subset"), word), F.lit(HASH_RANGE)).cast("int") + 1)
+def subset_mark(word: Column) -> Column:
+    """The subset that holds a word, as one character of the private use area, which no word contains."""
+    marks = F.array(*[F.lit(chr(FIRST_MARK + n)) for n, size in enumerate(SUBSETS) for _ in range(size)])
+    return F.element_at(marks, F.pmod(F.xxhash64(F.lit("lexicon subset"), word), F.lit(HASH_RANGE)).cast("int") + 1)
 
 
 def lexicon(texts: DataFrame, text_col: str, band: tuple[float, float] = IDF_BAND, bound: int = LEXICON_BOUND) -> DataFrame:
-    """``(word, subset)`` for the words of the band. Frequencies cover all documents."""
+    """Words of the band (column ``word``). Frequencies cover all documents."""
     counts = texts.select(F.explode(distinct_words(F.col(text_col))).alias("word")).groupBy("word").count().filter("count > 1")
     counts = written(counts, "frequencies")
     total = counts.agg(F.sum("count")).first()[0] or 0
     documents = texts.count()
     idf = F.log(F.lit(float(max(documents, 1))) / F.col("count"))
-    kept = counts.filter((idf >= band[0]) & (idf <= band[1]) & (F.col("count") * bound >= total))
-    return kept.select("word", subset_of(F.col("word")).alias("subset"))
+    return counts.filter((idf >= band[0]) & (idf <= band[1]) & (F.col("count") * bound >= total)).select("word")
+
+
+def cells_of(number: int) -> list[int]:
+    """The cells of a table in which a hash may stand."""
+    return [(number >> shift) & (TABLE_CELLS - 1) for shift in CELL_SHIFTS]
+
+
+def lexicon_table(words: DataFrame) -> Column:
+    """The words' hashes as a constant array in which each stands in one of its three cells.
+
+    At most ``LEXICON_BOUND`` hashes come to the driver. A new hash pushes out whatever stands in
+    its cell, which then moves on to another of its own cells.
+    """
+    table, order = [0] * TABLE_CELLS, random.Random(0)
+    for row in words.select(F.xxhash64("word").alias("hash")).collect():
+        held = row.hash & (2**64 - 1)
+        for _ in range(500):
+            cells = cells_of(held)
+            cell = next((c for c in cells if not table[c]), None)
+            if cell is None:
+                cell = order.choice(cells)
+            held, table[cell] = table[cell], held
+            if not held:
+                break
+        else:
+            raise RuntimeError("the lexicon's table is too full")
+    signed = ",".join(str(h - 2**64 if h >> 63 else h) for h in table)
+    return F.split(F.lit(signed), ",").cast("array<long>")
+
+
+def in_lexicon(table: Column, number: Column) -> Column:
+    """Whether a word with this hash is in the lexicon."""
+    cells = [F.shiftrightunsigned(number, shift).bitwiseAND(TABLE_CELLS - 1).cast("int") + 1 for shift in CELL_SHIFTS]
+    return F.exists(F.array(*cells), lambda cell: F.element_at(table, cell) == number)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,17 +126,30 @@ def half_replaced(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(F.coalesce(other, F.lit("")), F.lit(1), half))
 
 
-def subset_hash(words: Column) -> Column:
-    """Subset number and hash of its sorted words in one long; null for no words."""
-    low = F.xxhash64(F.array_join(F.sort_array(words), " ")).bitwiseAND(0xFFFFFF)
-    return F.when(F.size(words) > 0, F.col("subset").cast("long") * (1 << 24) + low)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, also inside lambdas, where Spark shares nothing."""
+    return F.transform(F.array(value), body)[0]
 
 
-def or_whole(hashes: Column, whole: Column) -> Column:
-    """The hashes, or for a text without lexicon words the hash of all its words, under a subset of its own."""
-    return F.when(F.size(hashes) > 0, F.sort_array(hashes)).otherwise(
-        F.array(F.lit(len(SUBSETS)).cast("long") * (1 << 24) + whole.bitwiseAND(0xFFFFFF))
-    )
+def prints_of(text: Column, table: Column) -> Column:
+    """Subset number and hash of its sorted words, in one long for each subset with words, in order.
+
+    The sorted lexicon words, each behind its subset's mark, are sorted again by mark and joined;
+    a run of one mark is then a subset's sorted words, and is hashed. A text without lexicon words has
+    the hash of all its words under a subset of its own.
+    """
+    low, high = chr(FIRST_MARK), chr(FIRST_MARK + len(SUBSETS))
+    run = f"([{low}-{high}])[^{low}-{high}]++(?:\\1[^{low}-{high}]++)*+"
+
+    def runs(words: Column) -> Column:
+        hashed = F.transform(words, lambda w: F.struct(w.alias("word"), F.xxhash64(w).alias("hash")))
+        known = F.filter(hashed, lambda w: in_lexicon(table, w["hash"]))
+        marked = F.array_join(F.array_sort(F.transform(known, lambda w: F.concat(subset_mark(w["word"]), w["word"]))), "")
+        whole = F.array(F.concat(F.lit(high), F.array_join(words, " ")))
+        return let(marked, lambda m: F.when(F.length(m) > 0, F.regexp_extract_all(m, F.lit(run), 0)).otherwise(whole))
+
+    number = lambda r: (F.ascii(r) - FIRST_MARK).cast("long") * (1 << 24) + F.xxhash64(r).bitwiseAND(0xFFFFFF)
+    return F.transform(let(F.array_sort(distinct_words(text)), runs), number)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -118,37 +171,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows each keep a row; of equal ids the larger text comes first; null ids come last. One
     document alone follows itself. Other columns are not read. An empty table gives an empty table.
     """
-    words = F.broadcast(lexicon(docs.select(text_col), text_col, band))
+    table = lexicon_table(lexicon(docs.select(text_col), text_col, band))
     rows = with_next(docs, id_col, text_col)
-    rows = rows.withColumn("edited", half_replaced(F.col("text"), F.col("next_text")))
-    rows = rows.select(
-        "range", "place", "guard", "doc_id", F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("sha"), F.array_sort(distinct_words(F.col("text"))).alias("own"),
-        F.array_sort(distinct_words(F.col("edited"))).alias("edited"),
-    )
-    side = lambda n: lambda w: F.struct(F.lit(n).alias("side"), w.alias("word"))
-    head = F.array(F.struct(F.lit(2).alias("side"), F.col("sha").alias("word")))
-    items = F.concat(head, F.transform("own", side(0)), F.transform("edited", side(1)))
-    long_rows = rows.select(
-        "range", "place", "guard", "doc_id", "n_chars", F.xxhash64(F.array_join("own", " ")).alias("own_whole"),
-        F.xxhash64(F.array_join("edited", " ")).alias("edited_whole"), F.explode(items).alias("item"),
-    ).select("*", "item.*").drop("item")
-    # The rows of a range stay in their task: the window, both groupings and the last window share one shuffle.
-    known = long_rows.join(words, "word", "left").filter("subset IS NOT NULL OR side = 2")
-    kept = ("guard", "doc_id", "n_chars", "own_whole", "edited_whole")
-    by_subset = known.groupBy("range", "place", "subset").agg(
-        *[F.first(c).alias(c) for c in kept],
-        F.max(F.when(F.col("side") == 2, F.col("word"))).alias("sha"),
-        F.collect_list(F.when(F.col("side") == 0, F.col("word"))).alias("own"),
-        F.collect_list(F.when(F.col("side") == 1, F.col("word"))).alias("edited"),
-    )
-    printed = by_subset.groupBy("range", "place").agg(
-        *[F.first(c).alias(c) for c in kept],
-        F.max("sha").alias("edited_sha256"),
-        F.collect_list(subset_hash(F.col("own"))).alias("own"),
-        F.collect_list(subset_hash(F.col("edited"))).alias("edited"),
-    )
-    printed = printed.withColumns({side: or_whole(F.col(side), F.col(f"{side}_whole")) for side in ("own", "edited")})
+    edited = half_replaced(F.col("text"), F.col("next_text"))
+    # One shuffle: the documents' ranges hold what each needs of the next.
+    both = rows.withColumn("edited_text", edited)
+    printed = both.select(
+        "range", "place", "guard", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
+        F.transform(F.array("text", "edited_text"), lambda t: prints_of(t, table)).alias("prints"),
+    ).select("*", F.col("prints")[0].alias("own"), F.col("prints")[1].alias("edited"))
     following = printed.withColumn("next", F.lead("own").over(W.partitionBy("range").orderBy("place")))
     return following.filter(~F.col("guard")).select(
         F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", hex_print(F.col("own")).alias("fingerprint"),
