@@ -192,15 +192,65 @@ def test_representative_tree(spark, rows):
     assert got["tree"] == int(np.argmin(want)) and got["disagreement"] == pytest.approx(want.min())
 
 
-def test_lowess(spark):
-    x = np.arange(30.0)
-    assert explain.lowess(x, 2 * x + 1) == pytest.approx(2 * x + 1)
-    wavy = 2 * x + 0.3 * np.cos(3 * x)
-    bumpy = np.where(x == 15, 100.0, wavy)
-    assert abs(explain.lowess(x, bumpy, 0.4)[15] - 30) < 1
-    means = spark.createDataFrame([("f", float(v), 2.0 * v) for v in range(10)], "feature string, value double, mean_score double")
-    smooth = explain.lowess_by_feature(means, 0.5).collect()
-    assert all(r["smoothed"] == pytest.approx(r["mean_score"]) for r in smooth)
+def plain_lowess(x: np.ndarray, y: np.ndarray, fraction: float = 0.3, rounds: int = 3) -> np.ndarray:
+    """Locally weighted linear smoothing with robustness rounds; ``x`` must be sorted."""
+    n = len(x)
+    k = min(n, max(2, int(fraction * n + 1e-10)))
+    robust = np.ones(n)
+    fitted = y.astype(float).copy()
+    for step in range(rounds + 1):
+        start = 0
+        for i in range(n):
+            while start + k < n and x[i] - x[start] > x[start + k] - x[i]:
+                start += 1
+            window = slice(start, start + k)
+            reach = max(x[i] - x[start], x[start + k - 1] - x[i])
+            gap = np.abs(x[window] - x[i])
+            w = np.where(gap <= 0.999 * reach, (1 - (gap / reach) ** 3) ** 3, 0.0) if reach > 0 else np.ones(k)
+            w = w * robust[window]
+            total = w.sum()
+            if total <= 0:
+                fitted[i] = y[i]
+                continue
+            w = w / total
+            centre = w @ x[window]
+            spread = w @ (x[window] - centre) ** 2
+            tilt = (x[i] - centre) * (w * (x[window] - centre)) / spread if spread > 1e-12 * (1 + np.ptp(x)) ** 2 else 0.0
+            fitted[i] = (w + tilt) @ y[window]
+        if step < rounds:
+            residual = np.abs(y - fitted)
+            residual[residual <= 1e-12 * np.abs(y).max()] = 0.0  # rounding noise of an exact fit
+            scale = 6 * np.median(residual)
+            if scale > 0:
+                robust = np.where(residual < scale, (1 - (residual / scale) ** 2) ** 2, 0.0)
+            else:
+                robust = (residual == 0).astype(float)
+    return fitted
+
+
+def test_lowess_equals_the_plain_one(spark, tiny_ranges):
+    rng, frames, want = np.random.default_rng(8), [], {}
+    curves = {
+        "line": (np.arange(30.0), lambda x: 2 * x + 1), "wave": (np.unique(rng.normal(0, 4, 90)), lambda x: np.sin(x) + rng.normal(0, 0.2, len(x))),
+        "spike": (np.arange(40.0) ** 2, lambda x: np.where(x == 225, 100.0, x / 9)), "two": (np.array([1.0, 5.0]), lambda x: x), "one": (np.array([3.0]), lambda x: x),
+    }
+    for name, (x, curve) in curves.items():
+        y = curve(x)
+        frames += [(name, float(a), float(b)) for a, b in zip(x, y)]
+        want[name] = dict(zip(x, plain_lowess(x, y, 0.4)))
+    means = spark.createDataFrame(frames, "feature string, value double, mean_score double")
+    rows = explain.lowess_by_feature(means, 0.4).collect()
+    assert len(rows) == len(frames)
+    assert all(r["smoothed"] == pytest.approx(want[r["feature"]][r["value"]], abs=1e-6) for r in rows)
+
+
+def test_lowess_between_points_is_close(spark):
+    x = np.linspace(0, 10, 3000)
+    y = np.sin(x) + np.random.default_rng(1).normal(0, 0.1, len(x))
+    means = spark.createDataFrame([("f", float(a), float(b)) for a, b in zip(x, y)], "feature string, value double, mean_score double")
+    rows = sorted(explain.lowess_by_feature(means, 0.2).collect(), key=lambda r: r["value"])
+    assert np.abs(np.array([r["smoothed"] for r in rows]) - plain_lowess(x, y, 0.2)).max() < 0.01
+    assert explain.lowess_by_feature(means.limit(0)).count() == 0
 
 
 def test_pruning_alpha_is_searched_without_refitting(spark, rows):

@@ -110,8 +110,39 @@ def test_normality(spark, tiny_ranges):
     i = np.arange(1, 12)
     want = -11 - np.mean((2 * i - 1) * (np.log(cdf) + np.log(1 - cdf[::-1])))
     assert distributions.anderson_darling(df, ["x"]).first()["statistic"] == pytest.approx(want)
-    big = distributions.shapiro_wilk(spark.range(50).select(F.col("id").alias("x")), ["x"], max_rows=50).first()
-    assert big["rows"] == 50 and big["w"] is None
+
+
+def plain_shapiro(x):
+    """W by the published weights, value by value."""
+    x, n = np.sort(np.array(x, float)), len(x)
+    if n == 3:
+        weights = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        scores = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+        norm, u = float(scores @ scores), n**-0.5
+        ends = [np.polyval([*distributions._ROYSTON_LAST, scores[-1] / math.sqrt(norm)], u)]
+        if n > 5:
+            ends.append(np.polyval([*distributions._ROYSTON_NEXT, scores[-2] / math.sqrt(norm)], u))
+        outer = scores[-len(ends) :][::-1]
+        weights = scores / math.sqrt((norm - 2 * float(outer @ outer)) / (1 - 2 * sum(e * e for e in ends)))
+        for i, e in enumerate(ends):
+            weights[i], weights[-1 - i] = -e, e
+    return float(weights @ x) ** 2 / float(np.sum((x - x.mean()) ** 2))
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 40, 6000])
+def test_shapiro_statistic_at_every_size(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.exponential(3, n), 1 if n < 1000 else 3)
+    x[0] = 7.5
+    got = distributions.shapiro_wilk(frame(spark, x=x.tolist()), ["x"]).first()
+    assert got["w"] == pytest.approx(plain_shapiro(x), rel=1e-6) and got["rows"] == n and got["p_valid"] == (n < 5000)
+
+
+def test_shapiro_without_spread_or_values(spark):
+    df = frame(spark, x=[2.0, 2.0, 2.0, 2.0]).withColumn("y", F.lit(None).cast("double"))
+    rows = {r["feature"]: (r["rows"], r["w"], r["p"], r["normal"]) for r in distributions.shapiro_wilk(df, ["x", "y"]).collect()}
+    assert rows == {"x": (4, None, None, None), "y": (0, None, None, None)}
 
 
 def test_qq_points_cover_every_row(spark, tiny_ranges):

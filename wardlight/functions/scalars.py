@@ -9,9 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def code_number(col: Column) -> Column:
-    """Numeric reading of a code, null when it is not a number."""
-    return F.trim(col).try_cast("double")
+    """Numeric reading of a code, null when it is not a number.
+
+    A cast alone would also read a trailing type letter, as in ``250d``.
+    """
+    text = F.trim(col.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def half_even(col: Column, digits: int) -> Column:
@@ -77,7 +84,8 @@ def plogp(p: Column) -> Column:
     return -p * F.log2(p + F.lit(1e-10))
 
 
-def _horner(x: Column, coefficients: Sequence[float]) -> Column:
+def horner(x: Column, coefficients: Sequence[float]) -> Column:
+    """Polynomial of ``x``, highest power first."""
     return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
@@ -100,7 +108,7 @@ def normal_quantile(p: Column) -> Column:
     centre = p - 0.5
     square = centre * centre
     return (
-        F.when(p < _ACKLAM_LOW, _horner(low, _ACKLAM_C) / _horner(low, _ACKLAM_D))
-        .when(p > 1 - _ACKLAM_LOW, -_horner(high, _ACKLAM_C) / _horner(high, _ACKLAM_D))
-        .otherwise(_horner(square, _ACKLAM_A) * centre / _horner(square, _ACKLAM_B))
+        F.when(p < _ACKLAM_LOW, horner(low, _ACKLAM_C) / horner(low, _ACKLAM_D))
+        .when(p > 1 - _ACKLAM_LOW, -horner(high, _ACKLAM_C) / horner(high, _ACKLAM_D))
+        .otherwise(horner(square, _ACKLAM_A) * centre / horner(square, _ACKLAM_B))
     )

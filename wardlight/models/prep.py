@@ -18,9 +18,10 @@ def _shuffled(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     """Number the rows of each label in the order of a seeded hash of the key.
 
     The leading hash digits cut the order into evenly filled slots, so a label that holds
-    most of the table is numbered by many tasks.
+    most of the table is numbered by many tasks. Null labels are a label of their own and
+    null keys hash as empty text, so every row gets a place.
     """
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
+    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))))
     marked = df.withColumn("__hash", digest).withColumn("__slot", F.conv(F.substring("__hash", 1, HASH_DIGITS), 16, 10).cast("int"))
     numbered = row_ordinals(marked, [label], ["__hash", key], "__slot", "__ordinal", "__total")
     return numbered.drop("__hash", "__slot")

@@ -61,7 +61,7 @@ def l1_strength(c: float, weight_sum: float) -> float:
     return 1.0 / (c * weight_sum)
 
 
-def l1_logistic(c: float, weight_sum: float, weight: str = "weight", max_iter: int = 100) -> LogisticRegression:
+def l1_logistic(c: float, weight_sum: float, weight: str = "weight", max_iter: int = 1000) -> LogisticRegression:
     """L1 logistic regression estimator; the intercept is not penalised."""
     return LogisticRegression(
         labelCol="label", weightCol=weight, elasticNetParam=1.0, regParam=l1_strength(c, weight_sum), standardization=False, maxIter=max_iter
@@ -83,11 +83,18 @@ def fit_l1_logistic(df: DataFrame, c: float = 0.1, class_weight: ClassWeight | N
     return l1_logistic(c, weight_sum(rows)).fit(rows)
 
 
+def depth_of(max_depth: int | None) -> int:
+    """The asked depth, or Spark's limit where none is asked."""
+    if max_depth is not None and max_depth > MAX_DEPTH:
+        raise ValueError(f"max_depth is {max_depth}; trees go down to {MAX_DEPTH} levels")
+    return MAX_DEPTH if max_depth is None else max_depth
+
+
 def tree(criterion: str = "gini", max_depth: int | None = None, min_leaf: int = 1, min_split: int = 2, seed: int = 42, max_bins: int = 64) -> DecisionTreeClassifier:
-    """Decision tree estimator. Depth is capped at 30; a node of ``min_split`` rows can only
+    """Decision tree estimator. A depth above 30, Spark's limit, is an error; a node of ``min_split`` rows can only
     split into leaves of at least half of it, so that is the smallest leaf."""
     return DecisionTreeClassifier(
-        labelCol="label", weightCol="weight", impurity=criterion, maxDepth=min(MAX_DEPTH, max_depth or MAX_DEPTH),
+        labelCol="label", weightCol="weight", impurity=criterion, maxDepth=depth_of(max_depth),
         minInstancesPerNode=max(min_leaf, min_split // 2, 1), seed=seed, maxBins=max_bins, cacheNodeIds=False,
     )
 
@@ -99,7 +106,7 @@ def fit_tree(df: DataFrame, class_weight: ClassWeight | None = "balanced", **opt
 def forest(trees: int = 100, max_depth: int | None = 10, feature_share: float | str = "sqrt", min_leaf: int = 1, min_split: int = 2, seed: int = 42, max_bins: int = 64) -> RandomForestClassifier:
     """Random forest estimator; ``feature_share`` is a name or a fraction of the features."""
     return RandomForestClassifier(
-        labelCol="label", weightCol="weight", numTrees=trees, maxDepth=min(MAX_DEPTH, max_depth or MAX_DEPTH),
+        labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth_of(max_depth),
         featureSubsetStrategy=str(feature_share), minInstancesPerNode=max(min_leaf, min_split // 2, 1), seed=seed, maxBins=max_bins,
     )
 

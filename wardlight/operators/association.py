@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
-from math import ceil, log2
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -99,9 +99,9 @@ def corr_kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     totals in y order. So no pair of rows is ever formed; the work is n log(distinct x).
     """
     narrow = df.select(*cols)
-    distinct = narrow.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cols]).first()
-    # one spare level covers the error of the estimate
-    levels = {c: ceil((log2(max(2, distinct[c])) + 1) / DIGIT_BITS) for c in cols}
+    dense = stage(with_dense_ranks(narrow, cols))
+    largest = dense.agg(*[F.max(c).alias(c) for c in cols]).first()
+    levels = {c: max(1, ceil(int(largest[c] or 0).bit_length() / DIGIT_BITS)) for c in cols}
     pairs = []
     for i, (a, b) in enumerate(combinations(cols, 2)):
         x, y = (a, b) if levels[a] <= levels[b] else (b, a)
@@ -111,8 +111,7 @@ def corr_kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for i, _, _, x, y, n in pairs
     ]
     counts = (
-        with_dense_ranks(narrow, cols)
-        .select(F.inline(F.array(*cells)))
+        dense.select(F.inline(F.array(*cells)))
         .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy("pair", "x", "y", "levels")
         .agg(F.count(F.lit(1)).alias("w"))

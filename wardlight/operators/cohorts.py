@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlight.functions.scalars import rate
-from wardlight.operators.ordered import row_ordinals, value_cuts, with_ranges
+from wardlight.operators.ordered import row_ordinals, text_ranges, value_cuts, with_ranges
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """First row of each key by ``order``.
 
     ``min_by`` keeps one row per key and task before the shuffle, so a key that holds a
-    large part of the table costs no more than any other. Null keys form one group.
+    large part of the table costs no more than any other. Null keys form one group; a null
+    order comes last, so a key with nothing else keeps its row.
     """
     rest = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row"))
+    place = F.struct(F.col(order).isNull(), F.col(order))
+    picked = df.groupBy(key).agg(F.min_by(F.struct(*rest), place).alias("row"))
     return picked.select(key, "row.*").select(df.columns)
 
 
@@ -40,11 +43,21 @@ def timeline(df: DataFrame, key: str, order: str) -> DataFrame:
     """Every row with its 1-based position within its key.
 
     Rows are spread over ranges of ``order``, so one very active key is numbered by many
-    tasks.
+    tasks. Numbers, dates, timestamps and text order alike; null orders come last, and null
+    keys are numbered as one key.
     """
-    cuts = value_cuts(df, [order])
-    ranged = with_ranges(df, cuts).withColumnRenamed(f"{order}__range", "__slot")
-    return row_ordinals(ranged, [key], [order], "__slot").drop("__slot")
+    kind = df.schema[order].dataType
+    if isinstance(kind, T.NumericType):
+        axis = F.col(order).cast("double")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        axis = F.col(order).cast("timestamp").cast("double")
+    else:
+        return row_ordinals(text_ranges(df, [order], "__slot"), [key], [F.col(order).asc_nulls_last()], "__slot").drop("__slot")
+    marked = df.withColumn("__axis", axis)
+    ranged = with_ranges(marked, value_cuts(marked, ["__axis"]))
+    slot = F.coalesce(F.col("__axis__range"), F.lit(float("inf")))
+    placed = ranged.withColumn("__slot", slot).drop("__axis", "__axis__range")
+    return row_ordinals(placed, [key], [F.col(order).asc_nulls_last()], "__slot").drop("__slot")
 
 
 def key_outcome_rate(df: DataFrame, key: str, outcome: str = "readmitted", negative: str = "NO") -> DataFrame:

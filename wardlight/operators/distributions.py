@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -13,9 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlight.functions.scalars import normal_quantile, plogp
+from wardlight.functions.scalars import horner, normal_quantile, plogp
 from wardlight.functions.tails import log_normal_cdf, royston_p
-from wardlight.operators.ordered import broadcast_if_small, quantiles, running_totals, value_counts
+from wardlight.operators.ordered import quantiles, running_totals, value_counts
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -131,7 +130,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Dat
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = box.withColumns({"__low": F.col("q1") - reach, "__high": F.col("q3") + reach})
     rows = numeric_cells(df.na.drop(subset=list(by)) if by else df, cols, by).filter(F.col("value").isNotNull())
-    placed = rows.join(broadcast_if_small(fences), [*by, "feature"])
+    placed = rows.join(fences, [*by, "feature"])
     x = F.col("value")
     inside = x.between(F.col("__low"), F.col("__high"))
     return placed.groupBy(*by, "feature").agg(
@@ -164,7 +163,7 @@ def kde(df: DataFrame, col: str, points: int = 200, by: Sequence[str] = ()) -> D
     spread = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.stddev_samp("value").alias("std"))
     width = spread.select(*by, "rows", (F.col("std") * F.pow("rows", F.lit(-0.2))).alias("h")).filter(F.col("h") > 0)
     if by:
-        joined = counts.join(broadcast_if_small(width), list(by))
+        joined = counts.join(width, list(by))
     else:
         one = width.select(F.struct("rows", "h").alias("w")).scalar()
         joined = counts.withColumns({"rows": one["rows"], "h": one["h"]})
@@ -188,18 +187,24 @@ def kde(df: DataFrame, col: str, points: int = 200, by: Sequence[str] = ()) -> D
     return partial.groupBy(*by, "point").agg(F.sum("density").alias("density")).select(*by, "point", place.alias("x"), "density")
 
 
-def qq_points(df: DataFrame, col: str, chunk: int = 100_000) -> DataFrame:
-    """Every sorted sample point against the normal quantile of ``(i - 0.5) / n``.
+def sorted_positions(df: DataFrame, cols: Sequence[str], chunk: int = 100_000) -> DataFrame:
+    """``(feature, total_n, position, value)``: every value of each column at its 1-based place in order.
 
-    Positions come from running counts over distinct values; a value that fills many
-    positions is unrolled in chunks spread over tasks.
+    Places come from running counts over distinct values; a value that fills many places is
+    unrolled in chunks spread over tasks.
     """
-    placed = running_totals(value_counts(df, [col]), ["feature"])
+    placed = running_totals(value_counts(df, cols), ["feature"])
     first = F.col("before_n") + 1
     last = F.col("before_n") + F.col("n")
-    chunks = placed.select("value", "total_n", last.alias("last"), F.explode(F.sequence(first, last, F.lit(chunk))).alias("from"))
+    chunks = placed.select("feature", "value", "total_n", last.alias("last"), F.explode(F.sequence(first, last, F.lit(chunk))).alias("from"))
     upto = F.least(F.col("last"), F.col("from") + (chunk - 1))
-    rows = chunks.repartition("from").select("value", "total_n", F.explode(F.sequence(F.col("from"), upto)).alias("position"))
+    spread = chunks.repartition("feature", "from")
+    return spread.select("feature", "total_n", F.explode(F.sequence(F.col("from"), upto)).alias("position"), "value")
+
+
+def qq_points(df: DataFrame, col: str, chunk: int = 100_000) -> DataFrame:
+    """Every sorted sample point against the normal quantile of ``(i - 0.5) / n``."""
+    rows = sorted_positions(df, [col], chunk)
     p = (F.col("position") - 0.5) / F.col("total_n")
     return rows.select("position", normal_quantile(p).alias("theoretical"), F.col("value").alias("sample"))
 
@@ -220,45 +225,48 @@ _ROYSTON_LAST = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157)
 _ROYSTON_NEXT = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981)
 
 
-def _shapiro_weights(n: int) -> np.ndarray:
-    """Order-statistic weights of a sample of ``n`` values."""
-    if n == 3:
-        return np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    scores = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    norm = float(scores @ scores)
-    u = n**-0.5
-    ends = [np.polyval([*_ROYSTON_LAST, scores[-1] / math.sqrt(norm)], u)]
-    if n > 5:
-        ends.append(np.polyval([*_ROYSTON_NEXT, scores[-2] / math.sqrt(norm)], u))
-    k = len(ends)
-    outer = scores[-k:][::-1]
-    inner = (norm - 2 * float(outer @ outer)) / (1 - 2 * sum(e * e for e in ends))
-    weights = scores / math.sqrt(inner)
-    for i, e in enumerate(ends):
-        weights[i], weights[-1 - i] = -e, e
-    return weights
-
-
-def shapiro_wilk(df: DataFrame, cols: Sequence[str], max_rows: int = 5000) -> DataFrame:
-    """Shapiro-Wilk W and p for features with 3 to ``max_rows - 1`` values, null otherwise.
-
-    Larger features are left out before anything is grouped, so no group handed to a task
-    exceeds ``max_rows`` numbers.
+ROYSTON_ROWS = 5000
+
+
+def shapiro_wilk(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Shapiro-Wilk W and p of features with three or more values, however many; null below.
+
+    The weight of the i-th smallest value is its normal score ``q((i - 0.375) / (n + 0.25))``,
+    scaled, but for the two outermost at each end, which have polynomials in ``n``. So W needs
+    two sums over all places and the values at four of them. Royston's p is stated for fewer
+    than 5000 values; beyond, it is given all the same and ``p_valid`` is false.
     """
-    cells = numeric_cells(df, cols).filter(F.col("value").isNotNull())
-    sizes = cells.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
-    keep = [r["feature"] for r in sizes.filter(F.col("rows").between(3, max_rows - 1)).collect()]
-
-    def one_feature(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(rows["value"].to_numpy())
-        spread = float(np.sum((x - x.mean()) ** 2))
-        w = float(_shapiro_weights(len(x)) @ x) ** 2 / spread if spread else None
-        return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "w": [w]}).astype({"w": "float64"})
-
-    stat = cells.filter(F.col("feature").isin(keep)).groupBy("feature").applyInPandas(one_feature, "feature string, w double")
-    joined = sizes.join(stat, "feature", "left")
-    tested = joined.withColumn("p", royston_p("w", F.col("rows").cast("double")))
-    return tested.withColumn("normal", F.col("p") > 0.05)
+    n, i, x = F.col("n"), F.col("position"), F.col("value")
+    score = normal_quantile((i - 0.375) / (F.col("total_n") + 0.25))
+    rows = sorted_positions(df, cols).withColumn("m", score)
+    at = lambda place: F.max(F.when(i == place, x))
+    score_at = lambda place: F.max(F.when(i == place, F.col("m")))
+    last = F.col("total_n")
+    sums = rows.groupBy("feature").agg(
+        F.max(last).cast("double").alias("n"), (F.var_pop(x) * F.count(x)).alias("spread"),
+        F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * x).alias("mx"),
+        (at(last) - at(F.lit(1))).alias("outer"), (at(last - 1) - at(F.lit(2))).alias("next"),
+        score_at(last).alias("m1"), score_at(last - 1).alias("m2"),
+    )
+    u = 1 / F.sqrt(n)
+    end = horner(u, [*_ROYSTON_LAST, 0.0]) + F.col("m1") / F.sqrt("mm")
+    second = horner(u, [*_ROYSTON_NEXT, 0.0]) + F.col("m2") / F.sqrt("mm")
+    a1 = F.when(n == 3, F.lit(math.sqrt(0.5))).otherwise(end)
+    a2 = F.when(n > 5, second)
+    both = sums.withColumns({"a1": a1, "a2": a2})
+    inner = F.when(
+        F.col("a2").isNull(), (F.col("mm") - 2 * F.col("m1") ** 2) / (1 - 2 * F.col("a1") ** 2)
+    ).otherwise(
+        (F.col("mm") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2) / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2)
+    )
+    middle = F.col("mx") - F.col("m1") * F.col("outer") - F.when(F.col("a2").isNull(), 0.0).otherwise(F.col("m2") * F.col("next"))
+    ends = F.col("a1") * F.col("outer") + F.when(F.col("a2").isNull(), 0.0).otherwise(F.col("a2") * F.col("next"))
+    total = F.when(n == 3, ends).otherwise(middle / F.sqrt(inner) + ends)
+    w = F.when((n >= 3) & (F.col("spread") > 0), total * total / F.col("spread"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    stat = names.join(both.select("feature", n.cast("long").alias("rows"), w.alias("w")), "feature", "left")
+    tested = stat.withColumns({"rows": F.coalesce("rows", F.lit(0)), "p": royston_p("w", F.col("rows").cast("double"))})
+    return tested.withColumns({"normal": F.col("p") > 0.05, "p_valid": F.col("rows") < ROYSTON_ROWS})
 
 
 def anderson_darling(df: DataFrame, cols: Sequence[str]) -> DataFrame:

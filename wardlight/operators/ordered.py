@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardlight.session import stage
+
 ROWS_PER_RANGE = 100_000
 MAX_RANGES = 16_384
 SKETCH_MARKS = 256
@@ -31,10 +33,10 @@ def value_cuts(
     rows_per_range: int | None = None,
     max_ranges: int = MAX_RANGES,
 ) -> dict[str, list[float]]:
-    """Cut points per column, fewer than ``max_ranges`` numbers each (one action).
+    """Cut points per column, about ``max_ranges`` numbers each at most (one action, or two).
 
-    A coarse sketch gives evenly filled ranges; where the table needs more of them, each
-    is split again at equal widths.
+    A coarse sketch gives evenly filled ranges; where the table needs more of them, a second
+    sketch of the values inside each range, the outer ones too, splits it evenly again.
     """
     rows_per_range = rows_per_range or ROWS_PER_RANGE
     probs = [i / SKETCH_MARKS for i in range(1, SKETCH_MARKS)]
@@ -45,20 +47,52 @@ def value_cuts(
             for i, c in enumerate(columns)
         ],
     ).first()
-    cuts = {}
+    cuts, parts = {}, {}
     for i, c in enumerate(columns):
         wanted = min(max_ranges, max(1, math.ceil(sketch[f"n{i}"] / rows_per_range)))
         marks = [v for v in sketch[f"q{i}"] or [] if math.isfinite(v)]
         coarse = min(wanted, SKETCH_MARKS)
-        picked = sorted({marks[len(marks) * j // coarse] for j in range(1, coarse)} if marks else set())
-        parts = wanted // coarse
-        fine = {
-            low + (high - low) * k / parts for low, high in zip(picked, picked[1:]) for k in range(1, parts)
-        }
-        cuts[c] = sorted({*picked, *fine})
+        cuts[c] = sorted(_own_ranges([marks[len(marks) * j // coarse] for j in range(1, coarse)] if marks else []))
+        if wanted >= 2 * coarse and cuts[c]:
+            parts[c] = wanted // coarse
+    for c, inner in _inner_cuts(df, {c: cuts[c] for c in parts}, parts).items():
+        cuts[c] = sorted({*cuts[c], *inner})
     return cuts
 
 
+def _inner_cuts(df: DataFrame, cuts: dict[str, list[float]], parts: dict[str, int]) -> dict[str, set[float]]:
+    """Percentiles inside each range of ``cuts``: at most ``SKETCH_MARKS`` rows per column come back."""
+    found: dict[str, set[float]] = {c: set() for c in cuts}
+    if not cuts:
+        return found
+    names = list(cuts)
+    ranged = with_ranges(df.select(*names), cuts)
+    cells = [
+        F.struct(F.lit(i).alias("column"), F.col(f"{c}__range").alias("range"), F.col(c).cast("double").alias("value"))
+        for i, c in enumerate(names)
+    ]
+    pieces = max(parts.values())
+    probs = [k / pieces for k in range(1, pieces)]
+    inside = (
+        ranged.select(F.inline(F.array(*cells)))
+        .filter(F.col("value").isNotNull() & F.col("range").isNotNull())
+        .groupBy("column", "range")
+        .agg(F.percentile_approx("value", probs, 8 * pieces).alias("marks"))
+    )
+    for row in inside.collect():
+        found[names[row["column"]]].update(_own_ranges([v for v in row["marks"] if math.isfinite(v)]))
+    return found
+
+
+def _own_ranges(marks: Sequence[float]) -> set[float]:
+    """The marks, and a cut right after each value that holds several: it gets a range of its own.
+
+    Marks that are all one value cut nothing off but what lies below it.
+    """
+    again = {a for a, b in zip(marks, marks[1:]) if a == b}
+    return {*marks, *(math.nextafter(v, math.inf) for v in again)} if len(set(marks)) > 1 else set(marks)
+
+
 def with_ranges(df: DataFrame, cuts: dict[str, list[float]], suffix: str = "__range") -> DataFrame:
     """Add ``<column>__range``, a number that grows with the column's value."""
     columns = list(cuts)
@@ -164,7 +198,6 @@ def quantiles(
     wanted = [end(position(p)) for p in probs.values() for end in (F.floor, F.ceil)]
     needed = reduce(Column.__or__, [holds(i, "offset_n", "inside_n") for i in wanted])
     offsets = range_offsets(rows.withColumn("n", F.lit(1)), keys, ["n"]).filter(needed)
-    offsets = broadcast_if_small(offsets)
     counts = (
         rows.join(offsets, [*keys, "range"])
         .groupBy(*keys, "range", "value", "offset_n", "total_n")
@@ -185,14 +218,6 @@ def quantiles(
     return picked.select(*keys, *out)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """A broadcast copy of ``df`` when it has at most ``max_rows`` rows, else ``df`` itself."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def average_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rank of every distinct value, ties averaged: ``(by, feature, value, n, total_n, rank)``."""
     placed = running_totals(value_counts(df, columns, by), [*by, "feature"])
@@ -204,20 +229,39 @@ def average_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
 def row_ordinals(
     df: DataFrame,
     by: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     range_col: str,
     ordinal: str = "ordinal",
     total: str | None = None,
 ) -> DataFrame:
     """1-based position of each row within its key, however many rows the key has.
 
-    ``range_col`` must not decrease along ``order``; rows of one key are spread over it.
+    ``range_col`` must not decrease along ``order``; rows of one key are spread over it. Null
+    keys and ranges are values like others, so no row is lost.
     """
     offsets = range_offsets(df.select(*by, range_col, F.lit(1).alias("n")), by, ["n"], range_col)
     inside = W.partitionBy(*by, range_col).orderBy(*order)
-    out = df.join(offsets, [*by, range_col]).withColumn(
+    out = null_safe_join(df, offsets, [*by, range_col]).withColumn(
         ordinal, (F.col("offset_n") + F.row_number().over(inside)).cast("long")
     )
     if total:
         out = out.withColumnRenamed("total_n", total)
     return out.drop("offset_n", "inside_n", "total_n")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which nulls meet each other; the keys appear once."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(other, same).drop(*[f"__right_{k}" for k in keys])
+
+
+def text_ranges(df: DataFrame, columns: Sequence[str], range_col: str = "range") -> DataFrame:
+    """Rows with a range number that grows along ``columns``, of any type, nulls last.
+
+    Spark's range partitioner finds the cuts. The rows are written once, so the numbers stay
+    the same however often they are read.
+    """
+    order = [F.col(c).asc_nulls_last() for c in columns]
+    spread = df.repartitionByRange(*order).withColumn(range_col, F.spark_partition_id().cast("double"))
+    return stage(spread)

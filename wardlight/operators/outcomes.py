@@ -36,14 +36,11 @@ def group_total(df: DataFrame, col: str, by: Sequence[str]) -> Column:
 
 
 def outcome_distribution(
-    df: DataFrame, feature: str, outcome: str = "readmitted", max_categories: int = 20
+    df: DataFrame, feature: str, outcome: str = "readmitted"
 ) -> DataFrame:
-    """Share of each outcome within each category; empty when there are too many categories."""
+    """Share of each outcome within each category, however many categories there are."""
     counts = outcome_counts(df, feature, outcome)
-    shares = counts.withColumn("probability", F.col("n") / group_total(counts, "n", [feature]))
-    # counts the categories from the same grouped table, so its shuffle is reused
-    categories = counts.groupBy(feature).agg(F.sum("n").alias("n")).agg(F.count_if(F.col("n") > 0).alias("k"))
-    return shares.filter(categories.scalar() <= max_categories)
+    return counts.withColumn("probability", F.col("n") / group_total(counts, "n", [feature]))
 
 
 def outcome_pivot(
@@ -174,15 +171,10 @@ def risk_scores(
 def risk_ranking(df: DataFrame, group: str, stay: str, procedures: str, top: int = 10, **options) -> DataFrame:
     """Groups by falling risk score with the medians that split the risk quadrants."""
     scored = risk_scores(df, group, stay, procedures, **options)
-    # one row per group here; a window keeps the rows from being aggregated a second time
-    every = W.partitionBy()
-    return (
-        scored.withColumns(
-            {"median_rate": F.median("rate").over(every), "median_urgent_rate": F.median("urgent_rate").over(every)}
-        )
-        .orderBy(F.desc("risk_score"), group)
-        .limit(top)
-    )
+    # Rates have one digit, so their medians come from at most 1001 counted values.
+    middle = scored.agg(F.struct(F.median("rate").alias("rate"), F.median("urgent_rate").alias("urgent_rate"))).scalar()
+    first = scored.orderBy(F.desc("risk_score"), group).limit(top)
+    return first.withColumns({"median_rate": middle["rate"], "median_urgent_rate": middle["urgent_rate"]})
 
 
 def risk_flags(
@@ -196,12 +188,12 @@ def risk_flags(
         F.struct(F.lit("urgent").alias("flag"), F.col("urgent_rate").alias("value"), F.lit(float(high_urgent)).alias("over")),
     )
     long = scored.select(group, "risk_score", F.inline(lists)).filter(F.col("value") > F.col("over"))
-    order = W.partitionBy("flag").orderBy(F.desc("risk_score"), group)
-    return (
-        long.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= first)
-        .select("flag", "position", group, "value")
+    # Each list keeps its first rows in every task, so only those meet in one.
+    picked = union_rows(
+        *[long.filter(F.col("flag") == flag).orderBy(F.desc("risk_score"), group).limit(first) for flag in ("high_rate", "urgent")]
     )
+    order = W.partitionBy("flag").orderBy(F.desc("risk_score"), group)
+    return picked.withColumn("position", F.row_number().over(order)).select("flag", "position", group, "value")
 
 
 def status_usage(df: DataFrame, cols: Sequence[str], outcome: str = "readmitted") -> DataFrame:
@@ -239,15 +231,15 @@ def status_combinations(
     is read as Yes/No is decided by whether any Yes occurs in it.
     """
     statuses = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(outcome) != negative).alias("hits"))
-    # from here on at most one row per combination of status words
-    every = W.partitionBy()
+    # One row of totals: which columns hold a Yes, and the number of rows.
+    said = {c: F.coalesce(F.col(c).isin("Yes", "yes"), F.lit(False)) for c in cols}
+    whole = df.agg(F.struct(F.count(F.lit(1)).alias("__rows"), *[F.max(y).alias(c) for c, y in said.items()])).scalar()
 
     def used(c: str) -> Column:
-        yes = F.coalesce(F.col(c).isin("Yes", "yes"), F.lit(False))
         other = F.coalesce(~F.col(c).isin("No", "no"), F.lit(False))
-        return F.when(F.max(yes).over(every), yes).otherwise(other)
+        return F.when(whole[c], said[c]).otherwise(other)
 
-    marked = statuses.select("n", "hits", F.sum("n").over(every).alias("rows"), *[used(c).alias(c) for c in cols])
+    marked = statuses.select("n", "hits", whole["__rows"].alias("rows"), *[used(c).alias(c) for c in cols])
     sets = marked.groupBy(*cols).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.first("rows").alias("rows"))
     label = join_labels([F.when(F.col(c), label_text(F.lit(c))) for c in cols])
     top = sets.orderBy(F.desc("n"), *[F.desc(c) for c in cols]).limit(n)

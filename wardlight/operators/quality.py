@@ -115,11 +115,11 @@ def presence_matrix(df: DataFrame, cols: Sequence[str], key: str | None = None)
     )
 
 
-def missing_linkage(df: DataFrame, ids: Sequence[str] = (), max_features: int = 30) -> DataFrame:
+def missing_linkage(df: DataFrame, ids: Sequence[str] = (), max_features: int | None = None) -> DataFrame:
     """Average-linkage merges of columns by ``1 - |null correlation|``.
 
     All pair distances come from one Spark aggregate; the merge order is then worked out
-    on that k x k result, k being at most ``max_features``.
+    on that k x k result, k being the number of columns with gaps (at most ``max_features`` if given).
     """
     cols = gap_columns(df, ids, max_features)
     schema = "step int, left string, right string, distance double, size int"

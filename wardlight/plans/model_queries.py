@@ -178,7 +178,7 @@ def mean_contributions(spark, folder):
 def lowess_trend(spark, folder):
     rows = model_rows(spark, folder).fillna(0.0)
     model = train.fit_forest(prep.assemble(rows, FEATURES), trees=5, max_depth=5)
-    names = ["priority", "month", "weekday", "nation"]
+    names = FEATURES
     scaled = prep.min_max(prep.assemble(rows, FEATURES), names)
     with_score = model.transform(scaled).select(*names, evaluate.vector_to_array("probability")[1].alias("score"))
     return explain.lowess_by_feature(mean_score_by_value(with_score, names))
