@@ -8,7 +8,7 @@ from wardlight.llm import surrogates
 from wardlight.llm.queries import LLM_QUERIES
 
 MEDIUM = "/root/testdata/sf0.01"
-PLAIN = re.compile(r"[\w.+-]+@[\w.-]+\w|(?<![\d.])\d+\.\d+\.\d+\.\d+(?![\d.])|(?<!\d)\d{13,19}(?!\d)")
+PLAIN = re.compile(r"[\w.+-]+@[\w.-]+\w|(?<![\d.])\d+\.\d+\.\d+\.\d+(?![\d.])|(?<!\d)\d{13,19}(?!\d)|\+\d+ \(\d+\) \d+-\d+")
 
 
 def luhn(number):
@@ -50,6 +50,13 @@ def test_formats(make):
     assert low.upper() == high and low.endswith(".org") and "doe" not in low
 
 
+def test_neighbouring_entities_stay_apart(make):
+    text = "+1 (826) 555-4081 190.137.223.204 4283648832092189 was.91@mail6.example.com 7536784127813050 4845168114407329"
+    new, count = out_of(make([(1, text)]))[1]
+    assert count == 6 and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} \d+\.\d+\.\d+\.\d+ 4\d{15} \S+@\S+\.com 7\d{15} 4\d{15}", new)
+    assert not set(text.split()) & set(new.split()) - {"+1"}
+
+
 def test_people_keep_title_gender_script_and_identity(make):
     docs = make([(1, "Mr. Jan Berg met Mrs. Eva Berg and Frau KLARA STEIN."), (2, "Then Mr. Berg left Dr. Stein, Господин Иван Петров too.")])
     got = out_of(docs)

@@ -34,7 +34,7 @@ def test_savings_are_differences_of_compressed_lengths():
 
 
 def test_words_of_copies_count_once():
-    toxic = [toxicity.words_of(f"you fool number {i} here") for i in range(30)] + [toxicity.words_of("copied rarity text")] * 30
+    toxic = [toxicity.words_of(f"you{i} fool x{i} here") for i in range(30)] + [toxicity.words_of("copied rarity text")] * 30
     ordinary = [toxicity.words_of(f"nice number {i} here") for i in range(100)]
     found = toxicity.toxic_words(toxic, ordinary)
     assert b"fool" in found and b"rarity" not in found and b"here" not in found

@@ -242,7 +242,7 @@ class Forest:
             left = x[:, f][:, None] <= mids
             n = left.sum(axis=0)
             ones = (left & (y[:, None] == 1)).sum(axis=0)
-            a, b = ones / n, (y.sum() - ones) / (size - n)
+            a, b = ones / np.maximum(n, 1), (y.sum() - ones) / np.maximum(size - n, 1)
             impurity = (n * a * (1 - a) + (size - n) * b * (1 - b)) / size
             k = int(impurity.argmin())
             if impurity[k] < lowest:

@@ -42,7 +42,7 @@ PATTERNS = {
     "iban": "(?<![\\p{L}\\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}\\p{N}])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": "(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{5}|[0-9]{13,19})(?![0-9])",
-    "phone": "(?<![\\p{L}\\p{N}+])\\+[0-9]{1,3}(?:[ .-]?\\(?[0-9]{1,4}\\)?){2,5}(?![0-9])|(?<![\\p{N}])\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": "(?<![\\p{L}\\p{N}+])\\+[0-9]{1,3}(?:[ .-]?\\(?[0-9]{1,4}\\)?){2,5}(?![0-9]|[.-][0-9])|(?<![\\p{N}])\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "person": f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\\.? {NAME}(?: {NAME})?",
 }
 # Groups are numbered anew in the joint pattern: the card's separators are its first two.
