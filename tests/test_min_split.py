@@ -1,0 +1,52 @@
+"""A minimum split size forbids splits of smaller nodes and nothing else."""
+
+import numpy as np
+import pytest
+from pyspark.ml.linalg import Vectors
+
+from wardlight.models import explain, train
+
+
+def labelled(spark, x, y):
+    rows = [(float(b), Vectors.dense([float(v) for v in np.atleast_1d(a)])) for a, b in zip(x, y)]
+    return spark.createDataFrame(rows, ["label", "features"])
+
+
+@pytest.mark.parametrize("size", [19, 20])
+def test_lone_row_is_split_off_only_from_twenty(spark, size):
+    df = labelled(spark, range(size), [1.0] + [0.0] * (size - 1))
+    model = train.fit_tree(df, class_weight=None, min_split=20)
+    assert model.numNodes == (3 if size == 20 else 1)
+    scores = {r["features"][0]: r["prediction"] for r in model.transform(df).collect()}
+    assert scores[0.0] == (1.0 if size == 20 else 0.0) and scores[1.0] == 0.0
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    return labelled(spark, x, (x[:, 0] + rng.normal(size=400) > 0).astype(float))
+
+
+def test_cut_model_scores_as_its_cut_nodes(spark, noisy):
+    for fit in (train.fit_tree, lambda df, **o: train.fit_forest(df, trees=4, **o)):
+        whole, cut = fit(noisy, max_depth=8), fit(noisy, max_depth=8, min_split=60)
+        kept = [explain.without_small_splits(t, 60) for t in explain.load_trees(whole)]
+        trees = explain.load_trees(cut)
+        assert len(trees) == len(kept) and sum(len(t.left) for t in trees) < sum(len(t.left) for t in explain.load_trees(whole))
+        x = np.array([r["features"].toArray() for r in noisy.collect()])
+        for a, b in zip(trees, kept):
+            assert np.allclose(a.value[a.leaves_of(x)], b.value[b.leaves_of(x)])
+            assert (a.rows[a.left >= 0] >= 60).all()
+        mean = np.mean([t.value[t.leaves_of(x)] for t in trees], axis=0)
+        assert np.allclose([r["probability"][1] for r in cut.transform(noisy).collect()], mean)
+
+
+def test_search_shares_fits_between_minimum_splits(spark, noisy):
+    from pyspark.sql import functions as F
+
+    rows = noisy.withColumn("fold", F.pmod(F.xxhash64("features"), F.lit(3)).cast("int"))
+    found = train.grid_search(rows, "tree", {"max_depth": [6], "min_split": [2, 40, 400], "class_weight": ["balanced"]})
+    for s in found.scores:
+        params = {k: v for k, v in s["params"].items()}
+        assert s["score"] == pytest.approx(np.mean(train.fold_scores(rows, "tree", params)), abs=1e-9)

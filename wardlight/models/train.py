@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.models.evaluate import F2Evaluator, f2_by, roc_auc
-from wardlight.models.explain import pruned_scores
+from wardlight.models.explain import pruned_scores, remove_saved
 from wardlight.models.prep import with_class_weight
+from wardlight.session import scratch_path
 
 MAX_DEPTH = 30
 
@@ -91,28 +93,81 @@ def depth_of(max_depth: int | None) -> int:
 
 
 def tree(criterion: str = "gini", max_depth: int | None = None, min_leaf: int = 1, min_split: int = 2, seed: int = 42, max_bins: int = 64) -> DecisionTreeClassifier:
-    """Decision tree estimator. A depth above 30, Spark's limit, is an error; a node of ``min_split`` rows can only
-    split into leaves of at least half of it, so that is the smallest leaf."""
+    """Decision tree estimator. A depth above 30, Spark's limit, is an error.
+
+    ``min_split`` is no parameter of the growth: splits of smaller nodes are taken back on the
+    fitted model (:func:`split_from`), which gives the same tree.
+    """
     return DecisionTreeClassifier(
         labelCol="label", weightCol="weight", impurity=criterion, maxDepth=depth_of(max_depth),
-        minInstancesPerNode=max(min_leaf, min_split // 2, 1), seed=seed, maxBins=max_bins, cacheNodeIds=False,
+        minInstancesPerNode=max(min_leaf, 1), seed=seed, maxBins=max_bins, cacheNodeIds=False,
     )
 
 
 def fit_tree(df: DataFrame, class_weight: ClassWeight | None = "balanced", **options) -> Model:
-    return tree(**options).fit(weighted(df, class_weight))
+    return split_from(tree(**options).fit(weighted(df, class_weight)), options.get("min_split", 2))
 
 
 def forest(trees: int = 100, max_depth: int | None = 10, feature_share: float | str = "sqrt", min_leaf: int = 1, min_split: int = 2, seed: int = 42, max_bins: int = 64) -> RandomForestClassifier:
     """Random forest estimator; ``feature_share`` is a name or a fraction of the features."""
     return RandomForestClassifier(
         labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth_of(max_depth),
-        featureSubsetStrategy=str(feature_share), minInstancesPerNode=max(min_leaf, min_split // 2, 1), seed=seed, maxBins=max_bins,
+        featureSubsetStrategy=str(feature_share), minInstancesPerNode=max(min_leaf, 1), seed=seed, maxBins=max_bins,
     )
 
 
 def fit_forest(df: DataFrame, class_weight: ClassWeight | None = "balanced", **options) -> Model:
-    return forest(**options).fit(weighted(df, class_weight))
+    return split_from(forest(**options).fit(weighted(df, class_weight)), options.get("min_split", 2))
+
+
+def split_from(model: Model, min_split: int) -> Model:
+    """The fitted tree or forest without the splits of nodes that held fewer than ``min_split`` rows.
+
+    The nodes, which the driver holds anyway, are read from the saved model, cut and numbered
+    anew, and saved again for Spark to load.
+    """
+    if min_split <= 2:
+        return model
+    spark = SparkSession.getActiveSession()
+    old, new = (f"{scratch_path(spark)}/model-{uuid.uuid4().hex}" for _ in range(2))
+    for path in (old, new):
+        model.write().save(path)
+    data = spark.read.parquet(f"{old}/data")
+    in_forest = "nodeData" in data.columns
+    trees: dict[int, dict[int, dict]] = {}
+    for row in data.collect():
+        node = (row["nodeData"] if in_forest else row).asDict(recursive=True)
+        trees.setdefault(row["treeID"] if in_forest else 0, {})[node["id"]] = node
+    rows = []
+    for number, nodes in trees.items():
+        root = _cut(nodes, min_split)
+        rows += [{"treeID": number, "nodeData": n} if in_forest else n for n in root]
+    spark.createDataFrame(rows, data.schema).repartition(1).write.mode("overwrite").parquet(f"{new}/data")
+    cut = type(model).load(new)
+    for path in (old, new):
+        remove_saved(spark, path)
+    return cut
+
+
+def _cut(nodes: dict[int, dict], min_split: int) -> list[dict]:
+    """Nodes left of one tree, numbered in the order Spark saves them: parent, left side, right side."""
+    out, stack = [], [(0, None, "")]
+    while stack:
+        at, parent, side = stack.pop()
+        node = dict(nodes[at])
+        node["id"] = len(out)
+        if parent is not None:
+            parent[side] = node["id"]
+        out.append(node)
+        if nodes[at]["leftChild"] >= 0 and nodes[at]["rawCount"] >= min_split:
+            stack += [(nodes[at]["rightChild"], node, "rightChild"), (nodes[at]["leftChild"], node, "leftChild")]
+        else:
+            node.update(leftChild=-1, rightChild=-1, gain=-1.0, split=LEAF_SPLIT)
+    return out
+
+
+# Fixed value: what Spark saves as the split of a leaf.
+LEAF_SPLIT = {"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1}
 
 
 def tree_shape(spark: SparkSession, model: Model) -> DataFrame:
@@ -172,7 +227,7 @@ def fold_scores(df: DataFrame, kind: str, params: Mapping[str, object], metric:
     evaluator = EVALUATORS[metric]()
     scores = []
     for fold in folds:
-        model = estimator.fit(rows.filter(F.col("fold") != fold))
+        model = split_from(estimator.fit(rows.filter(F.col("fold") != fold)), params.get("min_split", 2))
         scores.append(evaluator.evaluate(model.transform(rows.filter(F.col("fold") == fold))))
     return scores
 
@@ -189,9 +244,9 @@ def search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]],
 
     ``CrossValidator`` runs the fits of all candidates side by side on the given folds.
     Class weights become weight columns, so they are ordinary parameters of the grid.
-    Candidates with a pruning ``alpha`` are scored by :func:`pruned_search` instead.
+    Candidates with a pruning ``alpha`` or a ``min_split`` are scored by :func:`pruned_search` instead.
     """
-    if any("alpha" in c for c in candidates):
+    if any("alpha" in c or c.get("min_split", 2) > 2 for c in candidates):
         return pruned_search(df, kind, candidates, metric)
     specs: list[ClassWeight | None] = []
     for params in candidates:
@@ -221,28 +276,37 @@ def search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]],
     return found
 
 
+#: Parameters that work on a fitted model.
+AFTER_FIT = ("alpha", "min_split")
+
+
 def pruned_search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]], metric: str = "roc_auc") -> Search:
-    """Cross-validated scores of tree or forest candidates that differ in pruning ``alpha``.
+    """Cross-validated scores of tree or forest candidates with pruning ``alpha`` or ``min_split``.
 
-    Candidates equal but for alpha share their fits: each model is fitted once per fold,
-    pruned at every alpha, and all levels are scored in one pass over the held-out rows.
+    Candidates equal but for these share their fits: each model is fitted once per fold, cut at
+    every ``min_split`` and pruned at every alpha; all levels are scored over the held-out rows.
     """
     groups: dict[str, list[int]] = {}
     for i, params in enumerate(candidates):
-        groups.setdefault(repr(sorted((k, repr(v)) for k, v in params.items() if k != "alpha")), []).append(i)
+        groups.setdefault(repr(sorted((k, repr(v)) for k, v in params.items() if k not in AFTER_FIT)), []).append(i)
     folds = sorted(r["fold"] for r in df.select("fold").distinct().collect())
     totals = [0.0] * len(candidates)
     for members in groups.values():
-        params = {k: v for k, v in candidates[members[0]].items() if k != "alpha"}
+        params = {k: v for k, v in candidates[members[0]].items() if k not in AFTER_FIT}
         rows = weighted(df, params.pop("class_weight", None))
-        alphas = sorted({float(candidates[i].get("alpha", 0.0)) for i in members})
+        levels: dict[int, list[int]] = {}
+        for i in members:
+            levels.setdefault(candidates[i].get("min_split", 2), []).append(i)
         for fold in folds:
             model = MAKERS[kind](**params).fit(rows.filter(F.col("fold") != fold))
-            scored = pruned_scores(model, rows.filter(F.col("fold") == fold), alphas)
-            by_alpha = roc_auc(scored, ("alpha",)) if metric == "roc_auc" else f2_by(scored, ("alpha",))
-            values = {r["alpha"]: r[metric] for r in by_alpha.collect()}
-            for i in members:
-                totals[i] += values[float(candidates[i].get("alpha", 0.0))] / len(folds)
+            held = rows.filter(F.col("fold") == fold)
+            for min_split, mine in levels.items():
+                alphas = sorted({float(candidates[i].get("alpha", 0.0)) for i in mine})
+                scored = pruned_scores(model, held, alphas, min_split)
+                by_alpha = roc_auc(scored, ("alpha",)) if metric == "roc_auc" else f2_by(scored, ("alpha",))
+                values = {r["alpha"]: r[metric] for r in by_alpha.collect()}
+                for i in mine:
+                    totals[i] += values[float(candidates[i].get("alpha", 0.0))] / len(folds)
     found = Search()
     for params, score in zip(candidates, totals):
         found.add(params, score)
@@ -306,4 +370,4 @@ def best_fit(df: DataFrame, kind: str, found: Search) -> Model:
     params.pop("alpha", None)
     rows = weighted(df, params.pop("class_weight", None))
     total = weight_sum(rows) if kind == "logistic" else 1.0
-    return _estimator(kind, params, total).fit(rows)
+    return split_from(_estimator(kind, params, total).fit(rows), params.get("min_split", 2))

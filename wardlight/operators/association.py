@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.tails import chi2_p, f_p, kolmogorov_p, normal_p, t_p, tukey_critical, tukey_p
 from wardlight.operators.distributions import QUARTILES, numeric_cells
+from wardlight.operators.gram import pair_moments
 from wardlight.operators.ordered import average_ranks, long_values, quantiles, running_totals, value_counts
 from wardlight.operators.outcomes import union_rows
 from wardlight.operators.quality import null_counts, top_per_group
 from wardlight.session import stage
 
 DIGIT_BITS = 3
-PAIRS_PER_PASS = 300
+#: Pairs that one aggregate still holds well.
+NATIVE_PAIRS = 300
 COHORT_PAIRS = (("all", "first"), ("all", "repeated"), ("first", "repeated"))
 
 
@@ -31,16 +33,29 @@ def _pair_rows(one: DataFrame, pairs: Sequence[tuple[str, str]], cell) -> DataFr
 def corr_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(feature_a, feature_b, n, correlation)`` for a < b in column order, pairwise complete.
 
-    All pairs share one pass; only very wide tables take a further pass per ``PAIRS_PER_PASS`` pairs.
+    A few dozen columns share one aggregate; wider tables take one pass of matrix products.
     """
     pairs = list(combinations(cols, 2))
-    chunks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    return union_rows(*[_pearson_pass(df, chunk) for chunk in chunks])
+    if len(pairs) <= NATIVE_PAIRS:
+        return _pearson_pass(df, pairs)
+    names = F.array(*[F.lit(c) for c in cols])
+    n = F.col("n")
+    mixed = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), n)
+    spread = (F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), n)) * (F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), n))
+    return pair_moments(df, cols).select(
+        names[F.col("a").cast("int")].alias("feature_a"), names[F.col("b").cast("int")].alias("feature_b"), n.cast("long").alias("n"),
+        F.when(spread > 0, F.try_divide(mixed, F.sqrt(spread))).alias("correlation"),
+    )
 
 
 def _pearson_pass(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    def correlation(a: str, b: str) -> Column:
+        """Null where one of the columns does not vary; ``corr`` would divide by zero there."""
+        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
     one = df.agg(
-        *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
+        *[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
         *[F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"n{i}") for i, (a, b) in enumerate(pairs)],
     )
     where = {p: i for i, p in enumerate(pairs)}
@@ -51,7 +66,7 @@ def _pearson_pass(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each column by its average rank, joined back by value."""
-    ranks = average_ranks(df, cols)
+    ranks = stage(average_ranks(df, cols))
     for c in cols:
         one = ranks.filter(F.col("feature") == c).select(F.col("value").alias(f"__{c}"), F.col("rank").alias(f"{c}__rank"))
         df = df.join(one, F.col(c).cast("double") == F.col(f"__{c}"), "left").drop(f"__{c}")
@@ -61,7 +76,8 @@ def with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def corr_spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair; ranks are taken among the rows complete for the pair.
 
-    Columns without nulls share one set of ranks; a pair with nulls is ranked on its own.
+    Columns without nulls share one set of ranks. Pairs with nulls are ranked together in one
+    long table of their complete rows, collapsed to distinct cells before the ranks are joined.
     """
     narrow = df.select(*cols)
     _, nulls = null_counts(narrow)
@@ -69,17 +85,33 @@ def corr_spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     frames = []
     if len(full) > 1:
         frames.append(corr_pearson(with_ranks(narrow, full), full))
-    for a, b in combinations(cols, 2):
-        if nulls[a] or nulls[b]:
-            pair = narrow.select(a, b).na.drop()
-            frames.append(corr_pearson(with_ranks(pair, [a, b]), [a, b]))
+    gaps = [(a, b) for a, b in combinations(cols, 2) if nulls[a] or nulls[b]]
+    if gaps:
+        frames.append(_spearman_of_pairs(narrow, gaps))
     return union_rows(*frames)
 
 
+def _spearman_of_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Spearman of each pair over its own complete rows, from one table keyed by pair."""
+    cells = [F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]
+    rows = df.select(F.inline(F.array(*cells))).na.drop(subset=["x", "y"])
+    counts = rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    ranks = stage(average_ranks(rows, ["x", "y"], by=["pair"]))
+    for side in ("x", "y"):
+        own = ranks.filter(F.col("feature") == side).select(
+            "pair", F.col("value").alias(side), (F.col("rank") - (F.col("total_n") + 1) / 2).alias(f"d{side}")
+        )
+        counts = counts.join(own, ["pair", side])
+    w, dx, dy = F.col("w").cast("double"), F.col("dx"), F.col("dy")
+    sums = counts.groupBy("pair").agg(F.sum("w").alias("n"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+    names = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for a, b in pairs])
+    return sums.select(names[F.col("pair")].alias("name"), "n", F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation")).select("name.*", "n", "correlation")
+
+
 def with_dense_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each column by the number of smaller distinct values."""
     counts = value_counts(df, cols).withColumn("one", F.lit(1))
-    dense = running_totals(counts, ["feature"], ["one"])
+    dense = stage(running_totals(counts, ["feature"], ["one"]))
     for c in cols:
         one = dense.filter(F.col("feature") == c).select(
             F.col("value").alias(f"__{c}"), F.col("before_one").alias(f"{c}__dense")

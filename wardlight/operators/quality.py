@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardlight.operators.gram import joint_nulls
+
 from wardlight.functions.scalars import measured_flag, share
 
 
@@ -77,8 +79,19 @@ def gap_columns(df: DataFrame, ids: Sequence[str] = (), max_features: int | None
     return gaps
 
 
+#: Columns whose pairs one aggregate still holds well.
+NATIVE_COLUMNS = 25
+
+
 def co_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column_a, column_b, n, n_a, n_b, n_ab)``: joint null counts of every pair, one pass."""
+    if len(cols) > NATIVE_COLUMNS:
+        names = F.array(*[F.lit(c) for c in cols])
+        # the later column of a pair comes first, as below
+        return joint_nulls(df, cols).select(
+            names[F.col("b").cast("int")].alias("column_a"), names[F.col("a").cast("int")].alias("column_b"),
+            *[F.col(s).cast("long").alias(t) for s, t in (("n", "n"), ("sb", "n_a"), ("sa", "n_b"), ("sab", "n_ab"))],
+        )
     nulls = {c: F.sum(F.col(c).isNull().cast("long")) for c in cols}
     pairs = [
         F.struct(

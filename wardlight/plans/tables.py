@@ -72,9 +72,18 @@ def filter_outcome(spark, folder):
     return clean.filter_in(e1(spark, folder), "readmitted", ["<30", ">30"])
 
 
-@query("detect_status_columns", """
-SELECT unnest(['med_a', 'med_b', 'med_c', 'const_col', 'rare_col']) AS "column"
-""")
+def _status_sql(view: str, columns: tuple[str, ...]) -> str:
+    """Text columns by name, or by few distinct values with a status word among them."""
+    words = ", ".join(f"'{w}'" for w in clean.STATUS_VALUES)
+    named = " OR ".join(f"contains('{{0}}', '{k}')" for k in clean.STATUS_KEYWORDS)
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\" FROM {view} HAVING {named.format(c)} OR (count(DISTINCT {c}) <= 5 AND count(*) FILTER ({c} IN ({words})) > 0)" for c in columns
+    )
+
+
+@query("detect_status_columns", with_views("e2 e4", f"""
+{_status_sql("e2", ("med_a", "med_b", "med_c"))}
+UNION ALL {_status_sql("e4", ("test_a", "test_b", "const_col", "rare_col"))}"""))
 def detect_status_columns(spark, folder):
     found = clean.detect_status_columns(e2(spark, folder)) + clean.detect_status_columns(e4(spark, folder))
     return spark.createDataFrame([(c,) for c in found], "column string")
