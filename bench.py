@@ -19,7 +19,7 @@ HEADLINE = [
     "completeness", "low_variance", "missing_correlation", "distinct_counts", "outcome_pivot", "summary_by_outcome", "risk_ranking",
     "status_usage", "status_combinations", "describe_numeric", "histogram", "kde", "box_stats", "corr_pearson", "corr_spearman", "corr_kendall",
     "anova", "chi_square", "ks_two_sample", "kruskal", "mutual_info", "stratified_split", "classification_report", "roc_auc", "threshold_sweep",
-    "logistic_l1", "tree_contributions",
+    "logistic_l1", "tree_contributions", "mutual_info_knn", "label_encode", "compare_numeric", "shapiro_statistic",
 ]
 
 

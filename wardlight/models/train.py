@@ -11,8 +11,10 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
+from multiprocessing.pool import ThreadPool
 from statistics import fmean
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
@@ -128,7 +130,7 @@ def split_from(model: Model, min_split: int) -> Model:
     """
     if min_split <= 2:
         return model
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()  # also from a thread of a search
     old, new = (f"{scratch_path(spark)}/model-{uuid.uuid4().hex}" for _ in range(2))
     for path in (old, new):
         model.write().save(path)
@@ -247,7 +249,7 @@ def search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]],
     Candidates with a pruning ``alpha`` or a ``min_split`` are scored by :func:`pruned_search` instead.
     """
     if any("alpha" in c or c.get("min_split", 2) > 2 for c in candidates):
-        return pruned_search(df, kind, candidates, metric)
+        return pruned_search(df, kind, candidates, metric, parallelism)
     specs: list[ClassWeight | None] = []
     for params in candidates:
         if params.get("class_weight") not in specs:
@@ -280,33 +282,35 @@ def search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]],
 AFTER_FIT = ("alpha", "min_split")
 
 
-def pruned_search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]], metric: str = "roc_auc") -> Search:
+def pruned_search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]], metric: str = "roc_auc", parallelism: int = 4) -> Search:
     """Cross-validated scores of tree or forest candidates with pruning ``alpha`` or ``min_split``.
 
-    Candidates equal but for these share their fits: each model is fitted once per fold, cut at
-    every ``min_split`` and pruned at every alpha; all levels are scored over the held-out rows.
+    Candidates equal but for these share their fits: each model is fitted once per fold, and
+    all levels are scored in one pass over the held-out rows. Fits run ``parallelism`` at a time.
     """
     groups: dict[str, list[int]] = {}
     for i, params in enumerate(candidates):
         groups.setdefault(repr(sorted((k, repr(v)) for k, v in params.items() if k not in AFTER_FIT)), []).append(i)
     folds = sorted(r["fold"] for r in df.select("fold").distinct().collect())
-    totals = [0.0] * len(candidates)
-    for members in groups.values():
+    level = lambda i: (float(candidates[i].get("alpha", 0.0)), int(candidates[i].get("min_split", 2)))
+
+    def one(job: tuple[list[int], object]) -> dict[int, float]:
+        members, fold = job
         params = {k: v for k, v in candidates[members[0]].items() if k not in AFTER_FIT}
         rows = weighted(df, params.pop("class_weight", None))
-        levels: dict[int, list[int]] = {}
-        for i in members:
-            levels.setdefault(candidates[i].get("min_split", 2), []).append(i)
-        for fold in folds:
-            model = MAKERS[kind](**params).fit(rows.filter(F.col("fold") != fold))
-            held = rows.filter(F.col("fold") == fold)
-            for min_split, mine in levels.items():
-                alphas = sorted({float(candidates[i].get("alpha", 0.0)) for i in mine})
-                scored = pruned_scores(model, held, alphas, min_split)
-                by_alpha = roc_auc(scored, ("alpha",)) if metric == "roc_auc" else f2_by(scored, ("alpha",))
-                values = {r["alpha"]: r[metric] for r in by_alpha.collect()}
-                for i in mine:
-                    totals[i] += values[float(candidates[i].get("alpha", 0.0))] / len(folds)
+        model = MAKERS[kind](**params).fit(rows.filter(F.col("fold") != fold))
+        alphas, splits = (sorted({level(i)[k] for i in members}) for k in (0, 1))
+        scored = pruned_scores(model, rows.filter(F.col("fold") == fold), alphas, splits)
+        keys = ("alpha", "min_split")
+        by_level = roc_auc(scored, keys) if metric == "roc_auc" else f2_by(scored, keys)
+        values = {(r["alpha"], r["min_split"]): r[metric] for r in by_level.collect()}
+        return {i: values[level(i)] for i in members}
+
+    totals = [0.0] * len(candidates)
+    with ThreadPool(parallelism) as pool:
+        for scores in pool.map(inheritable_thread_target(df.sparkSession)(one), [(m, fold) for m in groups.values() for fold in folds]):
+            for i, score in scores.items():
+                totals[i] += score / len(folds)
     found = Search()
     for params, score in zip(candidates, totals):
         found.add(params, score)

@@ -339,7 +339,12 @@ def chi_square_stats(cells: DataFrame) -> DataFrame:
 
 def chi_square(df: DataFrame, features: Sequence[str], outcome: str = "readmitted") -> DataFrame:
     """Chi-square test of independence of each categorical feature from the outcome."""
-    stats = chi_square_stats(contingency(df, features, outcome)).select("feature", "chi2", "dof")
+    return chi_square_test(contingency(df, features, outcome))
+
+
+def chi_square_test(cells: DataFrame) -> DataFrame:
+    """Statistic, degrees of freedom and p per feature of ``(feature, category, outcome, n)`` cells."""
+    stats = chi_square_stats(cells).select("feature", "chi2", "dof")
     tested = stats.withColumn("p", chi2_p("chi2", F.col("dof").cast("double")))
     return tested.withColumn("significant", F.col("p") < 0.05)
 
@@ -387,15 +392,56 @@ def mean_ci(df: DataFrame, features: Sequence[str], by: str = "readmitted") -> D
 
 
 # ---- cohort comparison; the cohorts overlap, so tests are descriptive ----
+#
+# Rows carry a ``cohort`` tag (stacked cohorts) or the flags of ``cohort_flags``; with flags each
+# encounter is one row, counted for every cohort it belongs to.
+
+COHORTS = ("all", "first", "repeated")
+FLAGS = ("is_first", "is_repeated")
+
+
+def in_cohort(df: DataFrame, cohort: str) -> Column:
+    """Whether a row belongs to the cohort."""
+    if "cohort" in df.columns:
+        return F.col("cohort") == cohort
+    return {"all": F.lit(True), "first": F.col("is_first"), "repeated": F.col("is_repeated")}[cohort]
+
+
+def _marks(df: DataFrame) -> list[str]:
+    return ["cohort"] if "cohort" in df.columns else list(FLAGS)
 
 
-def compare_numeric(tagged: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Count, mean, std, median and quartiles per cohort and feature."""
+def compare_numeric(rows: DataFrame, features: Sequence[str], cohorts: Sequence[str] = COHORTS) -> DataFrame:
+    """Count, mean, std, median and quartiles per cohort and feature.
+
+    Quartiles come from running counts of the distinct values, one per cohort, so all cohorts
+    share one ordering.
+    """
     x = F.col("value")
-    basic = numeric_cells(tagged, features, ["cohort"]).groupBy("cohort", "feature").agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")
+    cells = numeric_cells(rows, features, _marks(rows))
+    moments = cells.groupBy("feature").agg(
+        *[F.struct(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")).alias(f"m_{c}")
+          for c, v in ((c, F.when(in_cohort(rows, c), x)) for c in cohorts)]
+    )
+    placed = running_totals(cohort_value_counts(rows, features, cohorts), ["feature"], cohorts)
+
+    def quartile(c: str, p: float) -> Column:
+        position = (F.col(f"total_{c}") - 1) * F.lit(p)
+
+        def value_at(index: Column) -> Column:
+            held = (F.col(f"before_{c}") <= index) & (index < F.col(f"before_{c}") + F.col(c))
+            return F.max(F.when(held, x))
+
+        low, high = value_at(F.floor(position)), value_at(F.ceil(position))
+        return low + (high - low) * F.max(position - F.floor(position))
+
+    quartiles = placed.groupBy("feature").agg(
+        *[F.struct(*[quartile(c, p).alias(name) for name, p in QUARTILES.items()]).alias(f"q_{c}") for c in cohorts]
     )
-    return basic.join(quantiles(tagged, features, QUARTILES, by=["cohort"]), ["cohort", "feature"], "left")
+    one = moments.join(quartiles, "feature", "left")
+    names = ["count", "mean", "std", *QUARTILES]
+    both = [F.struct(F.lit(c).alias("cohort"), *[F.col(f"{'q' if n in QUARTILES else 'm'}_{c}.{n}").alias(n) for n in names]) for c in cohorts]
+    return one.select("feature", F.inline(F.array(*both))).filter(F.col("count") > 0).select("cohort", "feature", *names)
 
 
 def compare_categories(tagged: DataFrame, features: Sequence[str], n: int = 10) -> DataFrame:
@@ -410,18 +456,18 @@ def compare_categories(tagged: DataFrame, features: Sequence[str], n: int = 10)
     return top_per_group(counts, ["cohort", "feature"], ["category"], n)
 
 
-def cohort_value_counts(tagged: DataFrame, features: Sequence[str], cohorts: Sequence[str]) -> DataFrame:
+def cohort_value_counts(rows: DataFrame, features: Sequence[str], cohorts: Sequence[str]) -> DataFrame:
     """One row per feature and distinct value with one count column per cohort."""
-    long = long_values(tagged, features, extra=["cohort"])
-    return long.groupBy("feature", "range", "value").agg(*[F.count_if(F.col("cohort") == c).alias(c) for c in cohorts])
+    long = long_values(rows, features, extra=_marks(rows))
+    return long.groupBy("feature", "range", "value").agg(*[F.count_if(in_cohort(rows, c)).alias(c) for c in cohorts])
 
 
 def ks_two_sample(
-    tagged: DataFrame, features: Sequence[str], pairs: Sequence[tuple[str, str]] = COHORT_PAIRS
+    rows: DataFrame, features: Sequence[str], pairs: Sequence[tuple[str, str]] = COHORT_PAIRS
 ) -> DataFrame:
     """Largest distance of two cohorts' distribution functions, asymptotic p-value."""
     cohorts = sorted({c for p in pairs for c in p})
-    running = running_totals(cohort_value_counts(tagged, features, cohorts), ["feature"], cohorts)
+    running = running_totals(cohort_value_counts(rows, features, cohorts), ["feature"], cohorts)
 
     def ecdf(c: str) -> Column:
         return F.try_divide(F.col(f"before_{c}") + F.col(c), F.col(f"total_{c}"))
@@ -437,14 +483,14 @@ def ks_two_sample(
         )
         for i, (a, b) in enumerate(pairs)
     ]
-    rows = one.select("feature", F.inline(F.array(*cells)))
-    tested = rows.withColumn("p", kolmogorov_p(F.col("statistic") * F.col("scale"))).drop("scale")
+    tests = one.select("feature", F.inline(F.array(*cells)))
+    tested = tests.withColumn("p", kolmogorov_p(F.col("statistic") * F.col("scale"))).drop("scale")
     return tested.withColumn("significant", F.col("p") < 0.05)
 
 
-def kruskal(tagged: DataFrame, features: Sequence[str], cohorts: Sequence[str] = ("all", "first", "repeated")) -> DataFrame:
+def kruskal(rows: DataFrame, features: Sequence[str], cohorts: Sequence[str] = COHORTS) -> DataFrame:
     """Kruskal-Wallis H over the stacked cohorts with tie correction."""
-    counts = cohort_value_counts(tagged, features, cohorts)
+    counts = cohort_value_counts(rows, features, cohorts)
     counts = counts.withColumn("n", sum((F.col(c) for c in cohorts), F.lit(0)))
     placed = running_totals(counts, ["feature"])
     rank = F.col("before_n") + (F.col("n") + 1) / 2
@@ -464,18 +510,22 @@ def kruskal(tagged: DataFrame, features: Sequence[str], cohorts: Sequence[str] =
     return tested.withColumn("significant", F.col("p") < 0.05)
 
 
-def cohort_chi_square(tagged: DataFrame, features: Sequence[str]) -> DataFrame:
+def cohort_chi_square(rows: DataFrame, features: Sequence[str], cohorts: Sequence[str] = COHORTS) -> DataFrame:
     """Chi-square of category against cohort."""
-    return chi_square(tagged, features, "cohort")
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in features]
+    long = rows.select(*_marks(rows), F.inline(F.array(*cells))).filter(F.col("category").isNotNull())
+    counts = long.groupBy("feature", "category").agg(*[F.count_if(in_cohort(rows, c)).alias(c) for c in cohorts])
+    tall = [F.struct(F.lit(c).alias("outcome"), F.col(c).alias("n")) for c in cohorts]
+    return chi_square_test(counts.select("feature", "category", F.inline(F.array(*tall))).filter(F.col("n") > 0))
 
 
-def cohens_d(tagged: DataFrame, features: Sequence[str], pairs: Sequence[tuple[str, str]] = COHORT_PAIRS) -> DataFrame:
+def cohens_d(rows: DataFrame, features: Sequence[str], pairs: Sequence[tuple[str, str]] = COHORT_PAIRS) -> DataFrame:
     """Standardised mean difference of cohort pairs with its size label."""
     cohorts = sorted({c for p in pairs for c in p})
     x = F.col("value")
-    one = numeric_cells(tagged, features, ["cohort"]).groupBy("feature").agg(
-        *[F.avg(F.when(F.col("cohort") == c, x)).alias(f"mean_{c}") for c in cohorts],
-        *[F.var_samp(F.when(F.col("cohort") == c, x)).alias(f"var_{c}") for c in cohorts],
+    one = numeric_cells(rows, features, _marks(rows)).groupBy("feature").agg(
+        *[F.avg(F.when(in_cohort(rows, c), x)).alias(f"mean_{c}") for c in cohorts],
+        *[F.var_samp(F.when(in_cohort(rows, c), x)).alias(f"var_{c}") for c in cohorts],
     )
     cells = [
         F.struct(

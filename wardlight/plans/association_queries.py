@@ -8,7 +8,6 @@ from wardlight.operators import association, cohorts
 from wardlight.plans.registry import query
 from wardlight.plans.tables import rounded
 from wardlight.plans.views import e1, e2, with_views
-from wardlight.session import stage
 
 COLS = ["quantity", "price", "discount", "tax"]
 RANKS = ", ".join(
@@ -180,9 +179,9 @@ def tagged(spark, folder):
     return cohorts.cohort_union(e1(spark, folder), "patient_nbr", "encounter_id")
 
 
-def tagged_measures(spark, folder):
-    """The columns that several passes read, written once instead of joined again per pass."""
-    return stage(tagged(spark, folder).select("cohort", "amount", "balance"))
+def flagged(spark, folder):
+    """One row per encounter with its cohort flags."""
+    return cohorts.cohort_flags(e1(spark, folder), "patient_nbr", "encounter_id")
 
 
 @query("compare_numeric", with_views("cohorts", " UNION ALL ".join(f"""
@@ -190,7 +189,7 @@ SELECT cohort, '{c}' AS feature, count({c}) AS count, round(avg({c}), 6) AS mean
        round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3
 FROM cohorts GROUP BY 1""" for c in ("amount", "balance"))))
 def compare_numeric(spark, folder):
-    return rounded(association.compare_numeric(tagged_measures(spark, folder), ["amount", "balance"]))
+    return rounded(association.compare_numeric(flagged(spark, folder), ["amount", "balance"]))
 
 
 @query("compare_categories", with_views("cohorts", " UNION ALL ".join(f"""
@@ -219,7 +218,7 @@ z AS (SELECT *, d * scale AS z FROM d)
 SELECT feature, cohort_a, cohort_b, round(d, 6) AS statistic, CASE WHEN z <= 0.1 THEN 1.0 ELSE round({KS_TAIL}, 6) END AS p,
        CASE WHEN z <= 0.1 THEN false ELSE {KS_TAIL} < 0.05 END AS significant FROM z"""))
 def ks_two_sample(spark, folder):
-    return rounded(association.ks_two_sample(tagged_measures(spark, folder), ["amount", "balance"]))
+    return rounded(association.ks_two_sample(flagged(spark, folder), ["amount", "balance"]))
 
 
 # Three cohorts: two degrees of freedom, so the tail is exp(-H / 2).
@@ -230,14 +229,14 @@ FROM (SELECT cohort, count(*) * 1.0 AS n, sum(rk) AS r, any_value(t) AS t, any_v
                    (SELECT sum(k * k * k - k) FROM (SELECT count(*)::DOUBLE AS k FROM cohorts GROUP BY {c})) AS ties FROM cohorts) GROUP BY 1)"""
     for c in ("amount", "balance")) + ") SELECT feature, round(h, 6) AS statistic, round(exp(-h / 2), 6) AS p, exp(-h / 2) < 0.05 AS significant FROM h"))
 def kruskal(spark, folder):
-    return rounded(association.kruskal(tagged_measures(spark, folder), ["amount", "balance"]))
+    return rounded(association.kruskal(flagged(spark, folder), ["amount", "balance"]))
 
 
 @query("cohort_chi_square", with_views("cohorts", f"""
 , s AS ({' UNION ALL '.join(_chi_sql(c, 'cohort', 'cohorts') for c in ('segment', 'nation', 'grp'))})
 SELECT feature, round(chi2, 6) AS chi2, dof, round({CHI_TAIL}, 6) AS p, {CHI_TAIL} < 0.05 AS significant FROM s"""))
 def cohort_chi_square(spark, folder):
-    return rounded(association.cohort_chi_square(tagged(spark, folder), ["segment", "nation", "grp"]))
+    return rounded(association.cohort_chi_square(flagged(spark, folder), ["segment", "nation", "grp"]))
 
 
 @query("cohens_d", with_views("cohorts", ", d AS (" + " UNION ALL ".join(f"""
@@ -247,4 +246,4 @@ SELECT '{c}' AS feature, '{a}' AS cohort_a, '{b}' AS cohort_b,
     for c in ("amount", "balance") for a, b in association.COHORT_PAIRS) + """)
 SELECT feature, cohort_a, cohort_b, round(d, 6) AS d, CASE WHEN abs(d) < 0.5 THEN 'Small' WHEN abs(d) < 0.8 THEN 'Medium' ELSE 'Large' END AS effect FROM d"""))
 def cohens_d(spark, folder):
-    return rounded(association.cohens_d(tagged(spark, folder), ["amount", "balance"]))
+    return rounded(association.cohens_d(flagged(spark, folder), ["amount", "balance"]))

@@ -1,4 +1,4 @@
-"""Queries: fitted models. Grids are small here; full grids are arguments of the operators."""
+"""Queries: fitted models over five folds. Searches run parts of the spaces of ``train``; the whole spaces are arguments."""
 
 from __future__ import annotations
 
@@ -61,7 +61,7 @@ def logistic_l1(spark, folder):
 
 @query("logistic_grid")
 def logistic_grid(spark, folder):
-    space = {"c": [0.01, 0.1], "class_weight": ["balanced", {0: 1.0, 1: 2.0}]}
+    space = {"c": train.LOGISTIC_SPACE["c"], "class_weight": ["balanced", {0: 1.0, 1: 2.0}]}
     return train.grid_search(training(parts(spark, folder)), "logistic", space, "roc_auc").table(spark)
 
 
@@ -80,7 +80,7 @@ def prune_path(spark, folder):
 
 @query("tree_grid")
 def tree_grid(spark, folder):
-    space = {"criterion": ["gini", "entropy"], "max_depth": [3, 5], "class_weight": ["balanced"]}
+    space = {**train.TREE_SPACE, "max_depth": [5], "min_leaf": [4], "class_weight": ["balanced"]}
     return train.grid_search(training(parts(spark, folder)), "tree", space, "f2").table(spark)
 
 
@@ -92,20 +92,20 @@ def tree_alpha_grid(spark, folder):
 
 @query("forest_fit")
 def forest_fit(spark, folder):
-    model = train.fit_forest(training(parts(spark, folder)), trees=10, max_depth=6, feature_share=0.5)
+    model = train.fit_forest(training(parts(spark, folder)), trees=100, max_depth=6, feature_share=0.5)
     return train.tree_shape(spark, model)
 
 
 @query("random_search")
 def random_search(spark, folder):
-    space = {"trees": (3, 6), "max_depth": (2, 5), "feature_share": (0.3, 0.9), "min_leaf": [1, 5], "class_weight": ["balanced"]}
+    space = {**train.FOREST_SPACE, "trees": (10, 20), "max_depth": (4, 7), "class_weight": ["balanced"]}
     return train.random_search(training(parts(spark, folder)), "forest", space, 3, "f2").table(spark)
 
 
 @query("halving_search")
 def halving_search(spark, folder):
-    space = {"max_depth": (2, 5), "min_leaf": [1, 5], "class_weight": ["balanced"]}
-    return train.halving_search(training(parts(spark, folder)), space, 4, low=2, high=8).table(spark)
+    space = {**train.FOREST_HALVING_SPACE, "max_depth": (4, 7), "class_weight": ["balanced"]}
+    return train.halving_search(training(parts(spark, folder)), space, 4, low=3, high=12).table(spark)
 
 
 @query("cv_score")

@@ -54,12 +54,12 @@ def coded(spark, folder):
 
 @query("forest_importance")
 def forest_importance(spark, folder):
-    return importance.forest_importance(coded(spark, folder), ["quantity", "price", "discount", "tax"], "label", trees=20)
+    return importance.forest_importance(coded(spark, folder), ["quantity", "price", "discount", "tax"], "label", trees=100)
 
 
 @query("importance_compare")
 def importance_compare(spark, folder):
-    return importance.importance_compare(coded(spark, folder), ["quantity", "discount", "tax"], "label", trees=20)
+    return importance.importance_compare(coded(spark, folder), ["quantity", "discount", "tax"], "label", trees=100)
 
 
 @query("top_features", with_views("e1", f"""
