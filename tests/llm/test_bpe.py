@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,7 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     "", " ", "   ", "a", "a  b", "a \n b", "\n\n x\t\ty ", "it's we'll I'd 'tis ''s", "<|endoftext|>", "x <|endoftext|> y\n <|endoftext|>z  ",
-    "日本語 текст ñandú 😀😀 é", "a\x1cb \x1c c d   e", "1234567 12 ½ Ⅷ ²", "!!!??? --- ...", "\r\n\r\n", "a\0b \0 c", "It. it, It.. a1. é, '., .", "é" * 300, "ab" * 3000, " " * 2000 + "x",
+    "日本語 текст ñandú 😀😀 é", "a\x1cb \x1c c d   e", "1234567 12 ½ Ⅷ ²", "!!!??? --- ...", "\r\n\r\n", "a\0b \0 c", "l1\nl2\n\nl3\n", "\nl", "x.\n.y\n!z it's?\n's", "é.é!\né", "x.\ny z.\n w\nv\n\nu ²3 a²3\n1", "It. it, It.. a1. é, '., .", "é" * 300, "ab" * 3000, " " * 2000 + "x",
 ]
 
 
@@ -37,7 +38,14 @@ def noise(seed):
 @pytest.mark.parametrize("make_encoder", [bpe.BytePairs, token_files.LibraryEncoder])
 def test_ids_are_the_librarys(library, make_encoder):
     encoder = make_encoder(PATH)
-    encode = encoder.encode if make_encoder is bpe.BytePairs else lambda text: encoder.encode_all(["some other", text])[1]
+
+    def encode(text):
+        if make_encoder is bpe.BytePairs:
+            return encoder.encode(text)
+        ids, counts = encoder.encode_column(pa.array(["some other", text, None]), [2])
+        assert counts.sum() == len(ids) and ids[-1] == 2 and counts[2] == 1
+        return ids[counts[0] : counts[0] + counts[1] - 1].tobytes()
+
     for text in [*ODD, *map(noise, range(400))]:
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encode(text), "<u4").tolist() == want, text
@@ -57,6 +65,16 @@ def test_part_table_forgets_old_generations():
     assert len(table.young) <= 2 and asked.count("x" * 100) == 2
 
 
+def test_known_parts_survive_a_full_table(library):
+    encoder = token_files.LibraryEncoder(PATH)
+    encoder.known.limit = 40
+    for seed in range(30):
+        texts = [noise(seed * 7 + k).replace(" ", " w") for k in range(5)]
+        ids, counts = encoder.encode_column(pa.array(texts), [])
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
 def test_broken_bytes_decode_to_replacements():
     pairs = bpe.BytePairs(PATH)
     assert pairs.decode(np.array([pairs.byte_id[0xFF]], "<u4").tobytes()) == "�"

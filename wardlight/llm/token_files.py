@@ -11,24 +11,71 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import shared_folder
-from wardlight.llm.parts import PartTable, cut_at_spaces
 
-ROWS_AT_ONCE = 128
+ROWS_AT_ONCE = 2048
 PARTS_AT_ONCE = 20_000
 
 
+#: Parts that a task's table holds before it keeps only those of the last batch.
+TABLE_PARTS = 1_000_000
+# Texts with these are not cut at spaces, or not at line ends (RE2 syntax): pieces could span the cut.
+LOOSE_SPACE = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)|\x00"
+LOOSE_LINE = r"\n[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]\n|\A\n|\n\z"
+#: A letter before an ASCII mark always ends a piece.
+WORD_END = r"(\p{L})([!-/:-@\[-`{-~])"
+
+
+class KnownParts:
+    """Ids of parts as arrays; Arrow finds the parts of a batch among the known ones."""
+
+    def __init__(self, limit: int = TABLE_PARTS):
+        self.limit = limit
+        self.parts = pa.array([], pa.string())
+        self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def look_up(self, parts: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(start, size, ids)``: part i has ``ids[start[i] : start[i] + size[i]]``. ``encode`` gets the unknown ones."""
+        place = pc.index_in(parts, value_set=self.parts)
+        missing = place.is_null()
+        unknown = parts.filter(missing)
+        place = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(unknown):
+            place[missing.to_numpy(zero_copy_only=False)] = len(self.parts) + np.arange(len(unknown))
+            ids, size = encode(unknown.to_pylist())
+            self.parts = pa.concat_arrays([self.parts, unknown])
+            self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        start = np.cumsum(self.size) - self.size
+        found = start[place], self.size[place], self.ids
+        if len(self.parts) > self.limit:
+            self.parts, self.size = parts, found[1]
+            self.ids = self.ids[gathered(found[0], found[1])]
+        return found
+
+
+def gathered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the stretches, one after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
 class LibraryEncoder:
-    """The tokenizers library behind a table of parts already encoded."""
+    """The tokenizers library behind a table of parts already encoded.
+
+    Texts are cut where a piece of the tokenizer always starts: at spaces between other
+    characters, after a letter before a mark, after a single line end. Arrow finds the distinct
+    parts of a batch, the library encodes the unknown ones, and numpy puts the ids together.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,57 +85,52 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.parts = PartTable()
+        self.known = KnownParts()
 
-    def plain(self, texts: list[str]) -> list[bytes]:
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text by the library."""
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def joined(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts without special tokens: many in one call, a special token between them."""
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts without special tokens, and how many each has: many in one call, a special token between them."""
         if not self.special:
-            return self.plain(parts)
+            found = self.plain(parts)
+            return np.concatenate(found), np.array([len(f) for f in found], np.int64)
         mark, number = next(iter(self.special.items()))
-        out = []
+        all_ids, sizes = [], []
         for at in range(0, len(parts), PARTS_AT_ONCE):
-            some = parts[at : at + PARTS_AT_ONCE]
-            ids = np.frombuffer(self.plain([mark.join(some)])[0], "<u4")
-            cuts = np.flatnonzero(ids == number)
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            out += [ids[a:b].tobytes() for a, b in zip(starts, ends)]
-        return out
-
-    def unknown(self, parts: list[str]) -> list[bytes]:
-        """Ids of unknown parts. A mark after a letter is a piece of its own, so the word before it may be known."""
-        stems = [p[:-1] if p[-1] in ".,;:" and p[-2:-1].isalpha() else p for p in parts]
-        table = self.parts
-        known = {s: table.young.get(s) or table.old.get(s) for s in stems}
-        rest = [s for s, ids in known.items() if ids is None]
-        new = dict(zip(rest, self.joined(rest)))
-        known.update(new)
-        table.remember({s: ids for s, ids in new.items()})
-        return [known[s] + (self.ending(p[-1]) if len(s) < len(p) else b"") for s, p in zip(stems, parts)]
-
-    def ending(self, mark: str) -> bytes:
-        return self.parts.look_up([mark], self.joined)[0]
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers. Null is the empty text."""
-        parts, sizes, whole = [], [], {}
-        for i, text in enumerate(texts):
-            cut = None
-            if text and not any(s in text for s in self.special):
-                cut = cut_at_spaces(text)
-            if text and cut is None:
-                whole[i] = self.plain([text])[0]
-            parts += cut or []
-            sizes.append(len(cut or []))
-        found, at, out = self.parts.look_up(parts, self.unknown), 0, []
-        for i, size in enumerate(sizes):
-            out.append(whole[i] if i in whole else b"".join(found[at : at + size]))
-            at += size
-        return out
+            ids = self.plain([mark.join(parts[at : at + PARTS_AT_ONCE])])[0]
+            cuts = ids == number
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(cuts), [len(ids)]])) - 1)
+            all_ids.append(ids[~cuts])
+        return np.concatenate(all_ids), np.concatenate(sizes)
+
+    def encode_column(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, each followed by ``end``; and how many each has."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, LOOSE_SPACE)
+        for mark in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, mark))
+        cut = pc.replace_substring(pc.if_else(whole, "", texts), " ", "\0 ")
+        cut = pc.replace_substring_regex(cut, WORD_END, r"\1" + "\0" + r"\2")
+        cut = pc.if_else(pc.match_substring_regex(texts, LOOSE_LINE), cut, pc.replace_substring(cut, "\n", "\n\0"))
+        lists = pc.split_pattern(cut, "\0")
+        distinct = lists.flatten().dictionary_encode()
+        start, size, ids = self.known.look_up(distinct.dictionary, self.encode_parts)
+        # Further entries: the end, and texts that were not cut.
+        others = [np.array(end, "<u4"), *self.plain(texts.filter(whole).to_pylist())]
+        start = np.concatenate([start, len(ids) + np.cumsum([0, *map(len, others[:-1])])])
+        size = np.concatenate([size, [len(o) for o in others]]).astype(np.int64)
+        ids = np.concatenate([ids, *others])
+        # Each text is the numbers of its parts (or of itself) and of the end.
+        bounds, last = lists.offsets.to_numpy().astype(np.int64), len(distinct.dictionary)
+        number = distinct.indices.to_numpy().astype(np.int64)
+        alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        number[bounds[alone]] = last + 1 + np.arange(len(alone))
+        number = np.insert(number, bounds[1:], last)
+        edge = np.concatenate([[0], np.cumsum(size[number])])
+        counts = np.diff(edge[bounds + np.arange(len(bounds))])
+        return ids[gathered(start[number], size[number])], counts
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -122,20 +164,17 @@ def write_token_files(
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer_path)
         part, start = TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
-                found = [ids + end for ids in tokens.encode_all(batch.column("text").to_pylist())]
-                counts = np.array([len(x) // 4 for x in found], np.int64)
+                ids, counts = tokens.encode_column(batch.column("text"), [] if end_id is None else [end_id])
                 bounds = np.concatenate([[0], np.cumsum(counts)])
-                ids = pa.ListArray.from_arrays(bounds.astype(np.int32), np.frombuffer(b"".join(found), "<i4"))
+                lists = pa.ListArray.from_arrays(bounds.astype(np.int32), ids.view("<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([part] * batch.num_rows, pa.int32()), pa.array(start + bounds[:-1]), pa.array(counts), ids],
+                    [batch.column("doc_id"), pa.array([part] * batch.num_rows, pa.int32()), pa.array(start + bounds[:-1]), pa.array(counts), lists],
                     names=["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
                 start += int(bounds[-1])
@@ -143,7 +182,7 @@ def write_token_files(
     kind = docs.schema[id_col].dataType.simpleString()
     encoded = ordered.mapInArrow(encode, f"doc_id {kind}, part int, part_start long, n_tokens long, ids array<int>")
     (
-        encoded.write.option("compression", "zstd")
+        encoded.write.option("compression", "snappy")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(row_index_stride))
