@@ -69,9 +69,9 @@ def test_rank_correlations_with_ties_and_nulls(spark, tiny_ranges):
         assert rho[a, b] == pytest.approx(both[a].rank().corr(both[b].rank()))
 
 
-def test_wide_correlation_takes_several_passes(spark, monkeypatch):
+def test_wide_correlation_by_matrix_products(spark, monkeypatch):
     data = pd.DataFrame(np.random.default_rng(4).normal(size=(50, 4)), columns=list("abcd"))
-    monkeypatch.setattr(association, "PAIRS_PER_PASS", 2)
+    monkeypatch.setattr(association, "NATIVE_PAIRS", 2)
     got = {(r["feature_a"], r["feature_b"]): (r["n"], r["correlation"]) for r in association.corr_pearson(spark.createDataFrame(data), list("abcd")).collect()}
     assert got == {(a, b): (50, pytest.approx(data[a].corr(data[b]))) for a, b in combinations("abcd", 2)}
 
