@@ -47,6 +47,8 @@ PATTERNS = {
 }
 # Groups are numbered anew in the joint pattern: the card's separators are its first two.
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every entity holds, found much faster: a digit, an at sign or a title.
+HINT = f"[0-9@]|{'|'.join(t for ts in TITLES.values() for t in ts)}"
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя"}
 
 
@@ -229,7 +231,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     if not key:
         raise ValueError("a key is needed")
     base = docs.drop(*[c for c in docs.columns if c.lower() == count_col.lower()])
-    has = F.coalesce(F.col(text_col).rlike(ENTITY), F.lit(False))
+    has = F.coalesce(F.col(text_col).rlike(HINT) & F.col(text_col).rlike(ENTITY), F.lit(False))
     name = fresh(base, "entity_key")
     touched = base.filter(has).withColumn(name, F.sha2(F.col(text_col), 256))
     # Copies of a text are worked on once.
