@@ -267,6 +267,9 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     linked = near_duplicates(docs.select(id_col, text_col), id_col, text_col, words, max_bits)
     kept = linked.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n_rows"))
     kept = written(kept, "kept")
-    once = docs.join(kept.filter("n_rows = 1").select(id_col), id_col, "left_semi")
-    again = docs.join(kept.filter("n_rows > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(docs.filter(docs[id_col].isNull()))
+    # Both sides grow with the corpus, so the join is a shuffle at every size; the ids are hashed, the texts streamed.
+    stay = lambda rows: docs.join(rows.select(id_col).hint("shuffle_hash"), id_col, "left_semi")
+    out = stay(kept.filter("n_rows = 1")).unionByName(docs.filter(docs[id_col].isNull()))
+    if not kept.filter("n_rows > 1").isEmpty():
+        out = out.unionByName(stay(kept.filter("n_rows > 1")).dropDuplicates([id_col]))
+    return out
