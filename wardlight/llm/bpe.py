@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from wardlight.llm.parts import PartTable, cut_at_spaces
 
 
+ROWS_AT_ONCE = 256
+
+
 def byte_symbols() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -52,7 +56,12 @@ class BytePairs:
             self.merge[vocab[left], vocab[right]] = rank, vocab[left + right]
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words, self.parts = PartTable(), PartTable()
+        #: Parts between spaces and the pieces they are cut into share one table: many are both.
+        self.parts = PartTable()
+
+    def forget(self) -> None:
+        """Empty the table: a worker that lives on should not hold it for other work."""
+        self.parts = PartTable()
 
     def merge_word(self, word: bytes) -> list[int]:
         """Ids of one word by merging the lowest-ranked neighbours first."""
@@ -90,7 +99,7 @@ class BytePairs:
 
     def piecewise(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that are cut into pieces first."""
-        return [b"".join(self.words.look_up(self.pieces.findall(t), self.words_ids)) for t in texts]
+        return [b"".join(self.parts.look_up(self.pieces.findall(t), self.words_ids)) for t in texts]
 
     def run_ids(self, run: str) -> bytes:
         """Ids of text between special tokens."""
@@ -156,15 +165,22 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     Null counts as the empty text. Repeated rows each keep a row; other columns are not read.
     """
 
-    @F.pandas_udf("n_tokens long, ids binary, round_trip boolean")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = loaded(path)
-        for texts in batches:
-            ids = [pairs.encode(t) for t in texts]
-            same = [pairs.decode(i) == (t or "") for i, t in zip(ids, texts)]
-            yield pd.DataFrame({"n_tokens": [len(i) // 4 for i in ids], "ids": ids, "round_trip": same})
-
-    return docs.select(id_col, encode(F.col(text_col)).alias("d")).select(id_col, "d.*")
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                texts = batch.column(1).to_pylist()
+                ids = [pairs.encode(t) for t in texts]
+                same = [pairs.decode(i) == (t or "") for i, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())],
+                    names=[id_col, "n_tokens", "ids", "round_trip"],
+                )
+        pairs.forget()
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, n_tokens long, ids binary, round_trip boolean")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

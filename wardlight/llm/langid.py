@@ -28,6 +28,8 @@ BLOCK, LEAD, LANES = 192, 12, 2048
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 400, 4, 64
 STEPS, BATCH, RATE = 300, 128, 0.02
 PAD = 256
+#: Texts whose bytes are laid out together.
+TEXTS_AT_ONCE = 500
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -230,9 +232,11 @@ def predict_column(text: Column, model: Model | None) -> Column:
             names, scores = [UNKNOWN] * len(series), np.zeros(len(series))
             if reader is not None:
                 rows = [i for i, t in enumerate(series) if t is not None and LETTER.search(t)]
-                found = reader.probabilities([series.iloc[i].encode() for i in rows])
-                for i, p in zip(rows, found):
-                    names[i], scores[i] = model.labels[int(p.argmax())], min(float(p.max()), 1.0)
+                for at in range(0, len(rows), TEXTS_AT_ONCE):
+                    some = rows[at : at + TEXTS_AT_ONCE]
+                    found = reader.probabilities([series.iloc[i].encode() for i in some])
+                    for i, p in zip(some, found):
+                        names[i], scores[i] = model.labels[int(p.argmax())], min(float(p.max()), 1.0)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     return language.asNondeterministic()(text)

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 #: Parts kept by each of the two generations of a task's table.
-TABLE_PARTS = 700_000
+TABLE_PARTS = 150_000
 #: Longer parts are encoded each time, so the table stays small.
 PART_LENGTH = 64
 LOOSE_SPACE = re.compile(r" (?:\s|\Z)|\0")
