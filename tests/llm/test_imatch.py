@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardlight.llm import imatch
 from wardlight.llm.queries import LLM_QUERIES
@@ -84,3 +85,16 @@ def test_subsets_part_the_lexicon_by_their_sizes(spark):
     counts = {r.mark: r["count"] for r in words.groupBy(imatch.subset_mark(words.word).alias("mark")).count().collect()}
     assert len(counts) == len(imatch.SUBSETS)
     assert abs(counts[chr(imatch.FIRST_MARK)] - 40000 * imatch.SUBSETS[0] / imatch.HASH_RANGE) < 300
+
+
+def test_lexicon_keeps_the_whole_band(spark):
+    """90,000 words of two documents each, and one of half of them: only the latter is outside the band."""
+    docs = spark.range(300).selectExpr(
+        "id AS doc_id", "array_join(transform(sequence(0, 599), k -> concat('w', id div 2 * 600 + k)), ' ') || if(id < 150, ' often', '') AS text"
+    )
+    words = imatch.lexicon(docs, "text")
+    assert words.count() == 90_000 and words.filter("word = 'often'").isEmpty()
+    table = imatch.lexicon_table(words)
+    asked = words.limit(1000).union(spark.range(1000).selectExpr("concat('other', id)"))
+    found = {r.word: r.held for r in asked.select("word", imatch.in_lexicon(table, F.xxhash64("word")).alias("held")).collect()}
+    assert all(held == w.startswith("w") for w, held in found.items()) and len(found) == 2000

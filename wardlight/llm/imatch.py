@@ -8,9 +8,9 @@
    fingerprint is the row of these hashes; two fingerprints are alike by the share of equal
    hashes among the subsets that hold a word of either document.
 
-The lexicon goes to the tasks as one value. Its size is bounded: the sum of document frequencies is known, so
-fewer than ``lexicon_bound`` words can each have more than that share of it, and the
-band's lower edge is never below that.
+The lexicon goes to the tasks as one value, sized to hold all words of the band. The band bounds it: a word in a
+share of at least ``s`` of the documents takes that share of the sum of document frequencies, so there are
+at most ``mean distinct words of a document / s`` of them, however many documents there are.
 """
 
 from __future__ import annotations
@@ -27,14 +27,12 @@ from wardlight.operators.ordered import value_cuts, with_ranges
 
 #: Inverse document frequencies ln(N / df) of the band: from 10 % down to 0.1 % of documents.
 IDF_BAND = (2.3, 6.91)
-LEXICON_BOUND = 65_536
 #: Sizes of the subsets in 1024ths of the lexicon; together they cover it and do not overlap.
 SUBSETS = (64,) * 2 + (16,) * 16 + (8,) * 32 + (4,) * 64 + (1,) * 128
 HASH_RANGE = sum(SUBSETS)
 DOCS_PER_RANGE = 1000
-#: Cells of the lexicon's hash table, the bits of a hash that name its cells, and the first subset's mark.
-TABLE_CELLS = 1 << 17
-CELL_SHIFTS = (0, 17, 34)
+#: The lowest bits of a hash that name its cells in the lexicon's table, and the first subset's mark.
+CELL_SHIFTS = (0, 21, 42)
 FIRST_MARK = 0xE000
 
 
@@ -50,32 +48,32 @@ def subset_mark(word: Column) -> Column:
     return F.element_at(marks, F.pmod(F.xxhash64(F.lit("lexicon subset"), word), F.lit(HASH_RANGE)).cast("int") + 1)
 
 
-def lexicon(texts: DataFrame, text_col: str, band: tuple[float, float] = IDF_BAND, bound: int = LEXICON_BOUND) -> DataFrame:
-    """Words of the band (column ``word``). Frequencies cover all documents."""
+def lexicon(texts: DataFrame, text_col: str, band: tuple[float, float] = IDF_BAND) -> DataFrame:
+    """All words of the band that two documents hold (column ``word``). Frequencies cover all documents."""
     counts = texts.select(F.explode(distinct_words(F.col(text_col))).alias("word")).groupBy("word").count().filter("count > 1")
     counts = written(counts, "frequencies")
-    total = counts.agg(F.sum("count")).first()[0] or 0
     documents = texts.count()
     idf = F.log(F.lit(float(max(documents, 1))) / F.col("count"))
-    return counts.filter((idf >= band[0]) & (idf <= band[1]) & (F.col("count") * bound >= total)).select("word")
+    return counts.filter((idf >= band[0]) & (idf <= band[1])).select("word")
 
 
-def cells_of(number: int) -> list[int]:
+def cells_of(number: int, cells: int) -> list[int]:
     """The cells of a table in which a hash may stand."""
-    return [(number >> shift) & (TABLE_CELLS - 1) for shift in CELL_SHIFTS]
+    return [(number >> shift) & (cells - 1) for shift in CELL_SHIFTS]
 
 
-def lexicon_table(words: DataFrame) -> Column:
-    """The words' hashes as a constant array in which each stands in one of its three cells.
+def lexicon_table(words: DataFrame) -> tuple[Column, int]:
+    """The words' hashes as a constant array in which each stands in one of its three cells, and its size.
 
-    At most ``LEXICON_BOUND`` hashes come to the driver. A new hash pushes out whatever stands in
-    its cell, which then moves on to another of its own cells.
+    All hashes come to the driver; at least half of the cells stay empty. A new hash pushes out whatever
+    stands in its cell, which then moves on to another of its own cells.
     """
-    table, order = [0] * TABLE_CELLS, random.Random(0)
-    for row in words.select(F.xxhash64("word").alias("hash")).collect():
-        held = row.hash & (2**64 - 1)
+    hashes = [row.hash & (2**64 - 1) for row in words.select(F.xxhash64("word").alias("hash")).collect()]
+    size = 1 << max(2 * len(hashes) - 1, 1023).bit_length()
+    table, order = [0] * size, random.Random(0)
+    for held in hashes:
         for _ in range(500):
-            cells = cells_of(held)
+            cells = cells_of(held, size)
             cell = next((c for c in cells if not table[c]), None)
             if cell is None:
                 cell = order.choice(cells)
@@ -85,13 +83,14 @@ def lexicon_table(words: DataFrame) -> Column:
         else:
             raise RuntimeError("the lexicon's table is too full")
     signed = ",".join(str(h - 2**64 if h >> 63 else h) for h in table)
-    return F.split(F.lit(signed), ",").cast("array<long>")
+    return F.split(F.lit(signed), ",").cast("array<long>"), size
 
 
-def in_lexicon(table: Column, number: Column) -> Column:
+def in_lexicon(table: tuple[Column, int], number: Column) -> Column:
     """Whether a word with this hash is in the lexicon."""
-    cells = [F.shiftrightunsigned(number, shift).bitwiseAND(TABLE_CELLS - 1).cast("int") + 1 for shift in CELL_SHIFTS]
-    return F.exists(F.array(*cells), lambda cell: F.element_at(table, cell) == number)
+    held, size = table
+    cells = [F.shiftrightunsigned(number, shift).bitwiseAND(size - 1).cast("int") + 1 for shift in CELL_SHIFTS]
+    return F.exists(F.array(*cells), lambda cell: F.element_at(held, cell) == number)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,7 +130,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def prints_of(text: Column, table: Column) -> Column:
+def prints_of(text: Column, table: tuple[Column, int]) -> Column:
     """Subset number and hash of its sorted words, in one long for each subset with words, in order.
 
     The sorted lexicon words, each behind its subset's mark, are sorted again by mark and joined;
