@@ -46,6 +46,17 @@ def test_same_string_in_different_company(model):
     assert judge("plain words only") == [] and judge("") == [] and judge(None) == []
 
 
+def test_statistics_cover_the_whole_token():
+    """Both halves of 12,000 characters count alike, and twice the text has the same shares."""
+    logs = secrets.transition_logs(np.ones((secrets.CLASSES, secrets.CLASSES)))
+    judged = lambda token: secrets.features(token, secrets.Candidate(0, len(token), "long string"), logs)
+    row = judged("ab" * 3000 + "1/" * 2995 + "your_key-Z")
+    want = {4: 2995 / 12000, 5: 1 / 12000, 6: 6007 / 12000, 11: 2995 / 12000, 18: 1.0, 22: 2 / 12000}
+    assert all(np.isclose(row[i], x) for i, x in want.items())
+    assert judged("0" * 5000 + "z")[9] == 0.0 and judged("0" * 5000 + "f")[9] == 1.0
+    assert np.allclose(judged("the1/x-" * 400)[4:7], judged("the1/x-" * 4000)[4:7]) and np.isclose(judged("1/x-" * 4000)[11], 0.25)
+
+
 def test_documents_tokens_are_found(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text").collect()}
     rows = LLM_QUERIES["op3_secrets"](spark, MEDIUM).collect()

@@ -137,24 +137,23 @@ KNOWN = frozenset(WORDS)
 
 def features(text: str, c: Candidate, logs: np.ndarray) -> list[float]:
     token = text[c.start : c.end]
-    short = token[:4096]  # statistics of one string, not of the text: key blocks and data can be long
     before, after = text[max(0, c.start - CONTEXT) : c.start], text[c.end : c.end + CONTEXT]
-    size = len(short)
-    counts = Counter(short)
+    size = len(token)
+    counts = Counter(token)
     entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
-    codes = char_class(short)
+    codes = char_class(token)
     likely = float(logs[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
-    digits, upper, lower = (sum(map(f, short)) / size for f in (str.isdigit, str.isupper, str.islower))
-    kinds = [26 if x.isdigit() else 1 if x.isupper() else 2 if x.islower() else 3 for x in short]
+    digits, upper, lower = (sum(map(f, token)) / size for f in (str.isdigit, str.isupper, str.islower))
+    kinds = [26 if x.isdigit() else 1 if x.isupper() else 2 if x.islower() else 3 for x in token]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / size
     name = NAME_BEFORE.search(before)
     near = before[-24:] + " " + after[:12]
     return [
-        math.log(len(token)), entropy, likely, coverage(short), digits, upper, lower, changes, len(counts) / size,
-        float(all(x in string.hexdigits for x in short)), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", short))),
+        math.log(len(token)), entropy, likely, coverage(token), digits, upper, lower, changes, len(counts) / size,
+        float(all(x in string.hexdigits for x in token)), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", token))),
         (token.count("/") + token.count("\\") + token.count(".")) / size, float("://" in token or before.endswith("://") or "www." in token or "@" in token),
         float(bool(SECRET_NAMES.search(before))), float(bool(name and SECRET_NAMES.search(name[1]))), float(bool(OTHER_NAMES.search(before[-32:]))),
-        float(bool(name)), float(before[-1:] in "\"'`" and bool(before)), float(bool(PLACEHOLDER.search(short))), float(bool(PLACEHOLDER.search(near))),
+        float(bool(name)), float(before[-1:] in "\"'`" and bool(before)), float(bool(PLACEHOLDER.search(token))), float(bool(PLACEHOLDER.search(near))),
         float(token.startswith(PREFIXES)), float(c.kind == "key block"), (token.count("-") + token.count("_")) / size,
     ]
 
