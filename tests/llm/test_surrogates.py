@@ -68,6 +68,15 @@ def test_people_keep_title_gender_script_and_identity(make):
     assert (got[1][1], got[2][1]) == (3, 3)
 
 
+def test_all_names_after_a_title_and_no_possessive(make):
+    text = "Mr. Jan Peter Berg saw Frau Anna von Berg, Mr. Berg's car, Mrs. O'Neil-Stein, Prof. Dr. J. Berg. Dr Berg Mrs Stein"
+    new, count = out_of(make([(1, text)]))[1]
+    pattern = r"Mr\. (\S+) (\S+) (\S+) saw Frau (\S+) von (\S+), Mr\. (\S+)'s car, Mrs\. (\S+), Prof\. Dr\. (\S+) (\S+)\. Dr (\S+) Mrs (\S+)"
+    jan, peter, berg, anna, berg2, berg3, oneil, j, berg4, berg5, stein = re.fullmatch(pattern, new).groups()
+    assert berg == berg2 == berg3 == berg4 == berg5 != "Berg" and count == 7
+    assert not {jan, peter, anna, oneil, j, stein} & {"Jan", "Peter", "Anna", "O'Neil-Stein", "J.", "Stein"}
+
+
 def test_collisions_are_drawn_again(make):
     # More one-letter names at one host than letters: later draws must find room.
     names = [f"{c}@h.org" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]

@@ -35,7 +35,10 @@ ENDINGS = {
 }
 
 BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-NAME = "\\p{Lu}[\\p{L}'-]++"
+ANY_TITLE = f"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})(?![\\p{{L}}\\p{{N}}])\\.?"
+#: A capitalised word that is no title, without a possessive ending, or an initial with its dot.
+NAME = f"(?!{ANY_TITLE})(?:\\p{{Lu}}\\.(?= \\p{{L}})|\\p{{Lu}}(?:\\p{{L}}|['’-](?![sS](?!\\p{{L}}))(?=\\p{{L}}))*+)"
+PARTICLE = "(?:von|vom|van|zu|zum|zur|und|der|den|dem|de|del|della|di|da|dos|das|du|des|la|le|ter|ten|af|av|y|e|bin|ibn|al|el)(?!\\p{L})"
 PATTERNS = {
     "email": "(?<![\\p{L}\\p{N}._+-])[\\p{L}\\p{N}._+-]++@[\\p{L}\\p{N}-]++\\.[\\p{L}\\p{N}.-]*[\\p{L}\\p{N}]",
     "ip": f"(?<![0-9.]){BYTE}\\.{BYTE}\\.{BYTE}\\.{BYTE}(?![0-9]|\\.[0-9])",
@@ -43,7 +46,7 @@ PATTERNS = {
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": "(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{5}|[0-9]{13,19})(?![0-9])",
     "phone": "(?<![\\p{L}\\p{N}+])\\+[0-9]{1,3}(?:[ .-]?\\(?[0-9]{1,4}\\)?){2,5}(?![0-9]|[.-][0-9])|(?<![\\p{N}])\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "person": f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\\.? {NAME}(?: {NAME})?",
+    "person": f"(?<![\\p{{L}}\\p{{N}}]){ANY_TITLE}(?: {ANY_TITLE})*+(?: {PARTICLE})*+ {NAME}(?:(?: {PARTICLE})* {NAME})*",
 }
 # Groups are numbered anew in the joint pattern: the card's separators are its first two.
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -64,6 +67,11 @@ def script_of(text: Column) -> Column:
     return F.when(text.rlike("\\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
 
 
+def is_name(word: Column) -> Column:
+    """Whether a word of a person is a name: neither a title nor a particle."""
+    return ~word.rlike(f"^(?:{ANY_TITLE}|{PARTICLE})$")
+
+
 def atoms_of(entity: Column, kind: Column) -> Column:
     """Atoms ``(kind, form)`` of an entity: one, or the names of a person."""
     plain = F.when(kind == "email", F.lower(entity)).when(kind == "ip", entity).otherwise(
@@ -71,10 +79,10 @@ def atoms_of(entity: Column, kind: Column) -> Column:
     )
     title = F.regexp_extract(entity, "^(\\p{L}+)", 1)
     gender = F.when(title.isin(TITLES["m"]), F.lit("m")).when(title.isin(TITLES["f"]), F.lit("f")).otherwise(F.lit("n"))
-    names = F.slice(F.split(entity, " "), 2, 2)
-    last = F.struct(F.lit("last").alias("kind"), F.lower(F.element_at(names, -1)).alias("form"))
-    first = F.struct(F.concat(F.lit("first_"), gender).alias("kind"), F.lower(F.element_at(names, 1)).alias("form"))
-    person = F.when(F.size(names) == 2, F.array(first, last)).otherwise(F.array(last))
+    names = F.filter(F.split(entity, " "), is_name)
+    first = F.concat(F.lit("first_"), gender)
+    part = lambda name, i: F.struct(F.when(i < F.size(names) - 1, first).otherwise(F.lit("last")).alias("kind"), F.lower(name).alias("form"))
+    person = F.transform(names, part)
     return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("kind"), plain.alias("form"))))
 
 
@@ -211,8 +219,10 @@ def in_format(entity: Column, surrogates: Column) -> Column:
         "",
     )
     upper = (entity == F.upper(entity)) & (entity != F.lower(entity))
-    names = F.transform(surrogates, lambda s: F.when(upper, F.upper(s)).otherwise(F.initcap(s)))
-    person = F.concat_ws(" ", F.split_part(entity, F.lit(" "), F.lit(1)), F.array_join(names, " "))
+    made = F.transform(surrogates, lambda s: F.when(upper, F.upper(s)).otherwise(F.initcap(s)))
+    words = F.split(entity, " ")
+    before = lambda i: F.size(F.filter(F.slice(words, 1, i), is_name))
+    person = F.array_join(F.transform(words, lambda w, i: F.when(is_name(w), F.get(made, before(i))).otherwise(w)), " ")
     return (
         F.when(kind == "person", person)
         .when(kind == "email", F.when(upper, F.upper(one)).otherwise(one))
