@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import bpe, contamination, imatch, langid, secrets, simhash, substrings, surrogates, token_files, toxicity
+from wardlight.llm import bpe, contamination, imatch, langid, mixing, oracles, secrets, simhash, substrings, surrogates, token_files, toxicity
 from wardlight.llm.common import read_table
 
 LLM_QUERIES = {}
@@ -16,12 +16,18 @@ END_ID = 2
 SURROGATE_KEY = "corpus release 1"
 
 
-def llm_query(fn):
-    """Register ``(spark, folder) -> DataFrame`` under the function's name."""
+def llm_query(fn, sql: str | None = None):
+    """Register ``(spark, folder) -> DataFrame`` under the function's name, with the SQL that checks it."""
     LLM_QUERIES[fn.__name__] = fn
+    if sql:
+        LLM_ORACLES[fn.__name__] = sql
     return fn
 
 
+def checked_by(sql: str):
+    return lambda fn: llm_query(fn, sql)
+
+
 @llm_query
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(read_table(spark, folder, "documents"))
@@ -71,3 +77,8 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @llm_query
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
+
+
+@checked_by(oracles.MIXING)
+def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(read_table(spark, folder, "documents"))
