@@ -30,3 +30,62 @@ SELECT doc_id, size, source_size, target,
    + greatest(0, least(2 * source_size + start + size, quota) - 2 * source_size - start))::BIGINT AS taken
 FROM placed
 """
+
+
+# CRC-32 of a text's bytes, bit by bit (reflected polynomial 0xEDB88320).
+CRC32 = """
+xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, step: CASE WHEN (x & 1) = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))
+"""
+
+
+def merkle(levels: int = 7) -> str:
+    """Manifest with proofs, written out for ``levels`` levels below the subroots and as many above: 8 ** levels rows a language."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen({0}::VARCHAR), ':', {0}::VARCHAR) END".format
+    fields = [field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""leaves AS (
+  SELECT doc_id, lang, sha256(concat({', '.join(fields)}, {field('text')})) AS leaf,
+    CASE WHEN {CRC32.format('doc_id::VARCHAR')} % 3 = 0 THEN sha256(concat({', '.join(fields)}, {field(f'({lower})')})) END AS other
+  FROM documents
+), inner0 AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS total, leaf AS node, doc_id, leaf, other
+  FROM leaves
+), walk0 AS (
+  SELECT lang, place, total, doc_id, leaf, coalesce(other, leaf) AS folded, '' AS proof FROM inner0
+)"""]
+
+    def level(k: int, name: str, walk: str, key: str) -> list[str]:
+        same = f"a.{key} IS NOT DISTINCT FROM b.{key}"
+        beside = "string_agg(CASE WHEN a.place <> b.place THEN b.node END, '' ORDER BY b.place)"
+        with_own = "string_agg(CASE WHEN a.place = b.place THEN a.folded ELSE b.node END, '' ORDER BY b.place)"
+        kept = f"a.{key}, a.total, a.doc_id, a.leaf, a.place, a.folded, a.proof{', a.subroot' if walk == 'climb' else ''}"
+        out = f"{key}, place // 8 AS place, (total + 7) // 8 AS total, doc_id, leaf{', subroot' if walk == 'climb' else ''}"
+        return [
+            f"""{walk}{k + 1} AS (
+  SELECT {out}, CASE WHEN total > 1 THEN sha256(joined) ELSE folded END AS folded, proof || CASE WHEN total > 1 THEN coalesce(others, '') ELSE '' END AS proof
+  FROM (SELECT {kept}, {with_own} AS joined, {beside} AS others
+    FROM {walk}{k} a JOIN {name}{k} b ON {same} AND a.place // 8 = b.place // 8 GROUP BY ALL)
+)""",
+            f"""{name}{k + 1} AS (
+  SELECT {key}, place // 8 AS place, (any_value(total) + 7) // 8 AS total,
+    CASE WHEN any_value(total) > 1 THEN sha256(string_agg(node, '' ORDER BY place)) ELSE any_value(node) END AS node
+  FROM {name}{k} GROUP BY {key}, place // 8
+)""",
+        ]
+
+    for k in range(levels):
+        parts += level(k, "inner", "walk", "lang")
+    parts.append(f"""outer0 AS (
+  SELECT 0 AS tree, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS total, node, lang FROM inner{levels}
+), climb0 AS (
+  SELECT 0 AS tree, o.place, o.total, w.doc_id, w.leaf, o.node AS subroot, w.folded, w.proof FROM walk{levels} w JOIN outer0 o ON w.lang IS NOT DISTINCT FROM o.lang
+)""")
+    for k in range(levels):
+        parts += level(k, "outer", "climb", "tree")
+    return f"""WITH {', '.join(parts)}
+SELECT doc_id, leaf, subroot, o.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = o.node AS verified
+FROM climb{levels} JOIN outer{levels} o USING (tree)
+"""
