@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import bpe, contamination, imatch, langid, merkle, mixing, oracles, secrets, simhash, substrings, surrogates, token_files, toxicity
+from wardlight.llm import bpe, collocations, contamination, imatch, langid, merkle, mixing, oracles, secrets, simhash, substrings, surrogates, token_files, toxicity
 from wardlight.llm.common import read_table
 
 LLM_QUERIES = {}
@@ -84,6 +84,11 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.tampering(read_table(spark, folder, "documents"))
 
 
+@checked_by(oracles.COLLOCATIONS)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
 @checked_by(oracles.MIXING)
 def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(read_table(spark, folder, "documents"))
