@@ -20,8 +20,8 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -312,9 +312,13 @@ def narrowed(rows: DataFrame, bits: int) -> DataFrame:
     return rows.repartition("bucket").mapInArrow(lambda batches: _rows(deal(batches)), PACKED)
 
 
+PLACES = "block long, words int, n int, new int, prints binary, data binary"
+
+
 def frequent(staged: DataFrame, sizes: Sequence[int], bits: int, least: int, passes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """``(words, print, block, place, count)``: all entries of fingerprints that occur ``least`` times altogether.
+    """The entries of all fingerprints that occur ``least`` times altogether, packed for each block they came from.
 
+    ``new`` of a row's fingerprints are in no other row before it, so their sum counts distinct ones.
     Ranges of fingerprints are as many as the text asks for; each shuffle tells apart
     ``SHUFFLE_BITS`` bits more, so rows stay large however many ranges there are.
     """
@@ -323,20 +327,32 @@ def frequent(staged: DataFrame, sizes: Sequence[int], bits: int, least: int, pas
     for more in steps[1:]:
         rows = narrowed(rows, more)
 
-    def kept(group: pd.DataFrame) -> pd.DataFrame:
+    def kept(group: pa.Table) -> pa.Table:
         out = []
-        for words, part in group.groupby("words"):
-            prints, counts, places, numbers = (np.concatenate(f) for f in zip(*(unpacked(n, d) for n, d in zip(part["n"], part["data"]))))
+        for words in pc.unique(group["words"]).to_pylist():
+            part = group.filter(pc.equal(group["words"], words))
+            prints, counts, places, numbers = (np.concatenate(f) for f in zip(*map(unpacked, part["n"].to_pylist(), part["data"].to_pylist())))
             order = np.argsort(prints)
             first = np.flatnonzero(np.diff(prints[order], prepend=~prints[order[:1]]))
             sums = np.add.reduceat(counts[order].astype(np.int64), first)
-            chosen = order[np.repeat(sums >= least, np.diff(first, append=len(order)))]
-            out.append(pd.DataFrame(
-                {"words": np.int32(words), "print": prints[chosen].view(np.int64), "block": numbers[chosen], "place": places[chosen].astype(np.int64), "count": counts[chosen].astype(np.int64)}
-            ))
-        return pd.concat(out)
-
-    return rows.groupBy("bucket").applyInPandas(kept, "words int, print long, block long, place long, count long")
+            size = np.diff(first, append=len(order))
+            chosen = np.repeat(sums >= least, size)
+            once = np.zeros(len(order), bool)
+            once[first] = True
+            order, once = order[chosen], once[chosen]
+            by_block = np.argsort(numbers[order], kind="stable")
+            order, once = order[by_block], once[by_block]
+            cuts = np.flatnonzero(np.diff(numbers[order])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
+                if b > a:
+                    at = order[a:b]
+                    data = planes(counts[at], FIELDS[1]) + planes(places[at], FIELDS[2])
+                    out.append((int(numbers[at[0]]), words, b - a, int(once[a:b].sum()), planes(prints[at], FIELDS[0]), data))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        columns = list(zip(*out)) or [()] * 6
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "words", "n", "new", "prints", "data"])
+
+    return rows.groupBy("bucket").applyInArrow(kept, PLACES)
 
 
 # ---- the filter of frequent fingerprints ----
@@ -353,13 +369,20 @@ def frequent_filter(found: DataFrame, words: int) -> Callable[[np.ndarray], np.n
     The bit table goes through the driver and to all tasks: 16 bits for each fingerprint, 32 MB
     at most; a fuller table lets more through, which costs shuffled rows and changes no result.
     """
-    prints = found.filter(F.col("words") == words).select("print").distinct()
-    count = max(prints.count(), 1)
+    rows = found.filter(F.col("words") == words).select("n", "new", "prints")
+    count = max(rows.agg(F.sum("new")).first()[0] or 0, 1)
     bits = min(max(math.ceil(math.log2(16 * count)), FILTER_BITS[0]), FILTER_BITS[1])
-    mask = (1 << bits) - 1
-    places = F.array(F.col("print").bitwiseAND(mask), F.shiftrightunsigned("print", 32).bitwiseAND(mask))
-    marks = prints.select(F.explode(places).alias("at")).select(F.shiftright("at", 6).alias("cell"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("mark"))
-    cells = marks.groupBy("cell").agg(F.bit_or("mark").alias("mark")).toPandas()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bits that the rows set, as cells of 64."""
+        for batch in batches:
+            prints = [unplaned(p, 0, n, FIELDS[0])[0].astype("u8") for n, p in zip(batch.column("n").to_pylist(), batch.column("prints").to_pylist())]
+            at = np.unique(np.concatenate(filter_places(np.concatenate(prints), bits))) if prints else np.zeros(0, np.uint64)
+            cell, run = np.unique(at >> np.uint64(6), return_index=True)
+            marks = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), run) if len(run) else at
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(marks.view(np.int64))], names=["cell", "mark"])
+
+    cells = rows.mapInArrow(mark, "cell long, mark long").groupBy("cell").agg(F.bit_or("mark").alias("mark")).toPandas()
     table = np.zeros(1 << (bits - 6), np.int64)
     table[cells["cell"].to_numpy()] = cells["mark"].to_numpy()
     shared = found.sparkSession.sparkContext.broadcast(table.view(np.uint64))
@@ -379,27 +402,30 @@ def frequent_filter(found: DataFrame, words: int) -> Callable[[np.ndarray], np.n
 def phrases(staged: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """``(lang, words, phrase, count)``: the texts at the places, with their counts summed by text."""
     word = rb"[^ \t.,;:!?\n-\r]+"
+    names = ["lang", "words", "phrase", "count"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
 
-    def result(lang: Sequence, words: Sequence, phrase: Sequence, count: Sequence) -> pd.DataFrame:
-        columns = (pd.Series(lang, dtype=object), np.asarray(words, np.int32), pd.Series(phrase, dtype=object), np.asarray(count, np.int64))
-        return pd.DataFrame(dict(zip(("lang", "words", "phrase", "count"), columns)))
-
-    def read(texts: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-        if texts.empty or places.empty:
-            return result([], [], [], [])
-        texts = texts.sort_values("at")
-        data = b"\n".join(t.encode() for t in texts["text"]).lower()
-        row = np.searchsorted(texts["at"].to_numpy(), places["place"].to_numpy(), "right") - 1
-        out = np.empty(len(places), object)
-        for n in places["words"].unique():
-            match = re.compile(word + rb"(?:[ \t]+%b){%d}" % (word, n - 1)).match
-            at = np.flatnonzero(places["words"] == n)
-            spans = [match(data, p).group() for p in places["place"].to_numpy()[at].tolist()]
-            out[at] = [b" ".join(s.split()).decode() for s in spans] if n > 1 else [s.decode() for s in spans]
-        return result(texts["lang"].to_numpy()[row], places["words"], out, places["count"])
-
-    pairs = staged.groupBy("block").cogroup(found.select("block", "place", "words", "count").groupBy("block"))
-    rows = pairs.applyInPandas(read, "lang string, words int, phrase string, count long")
+    def read(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        if len(texts) and len(rows):
+            texts = texts.sort_by("at")
+            at = texts["at"].to_numpy()
+            data = b"\n".join(texts["text"].cast(pa.binary()).to_pylist()).lower()
+            langs = texts["lang"].combine_chunks().dictionary_encode()
+            for words, n, packed_places in zip(*(rows[c].to_pylist() for c in ("words", "n", "data"))):
+                counts, after = unplaned(packed_places, 0, n, FIELDS[1])
+                places, _ = unplaned(packed_places, after, n, FIELDS[2])
+                match = re.compile(word + rb"(?:[ \t]+%b){%d}" % (word, words - 1)).match
+                spans = [match(data, p).group() for p in places.tolist()]
+                if words > 1:
+                    spans = [b" ".join(s.split()) for s in spans]
+                lang = langs.take(pa.array(np.searchsorted(at, places, "right") - 1)).cast(pa.string())
+                columns = [lang, pa.repeat(pa.scalar(words, pa.int32()), n), pa.array(spans, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))]
+                out.append(pa.table(columns, names=names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names=names)
+
+    pairs = staged.groupBy("block").cogroup(found.select("block", "words", "n", "data").groupBy("block"))
+    rows = pairs.applyInArrow(read, "lang string, words int, phrase string, count long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("count").alias("count")).filter(F.col("count") >= least)
 
 
