@@ -73,9 +73,9 @@ def test_blocks_ranges_and_shuffles(spark, monkeypatch):
     staged = collocations.written(collocations.blocks(frame, "text", "lang", 500), "small").repartition(2, "block").sortWithinPartitions("block", "at")
     assert staged.select("block").distinct().count() > 20
     monkeypatch.setattr(collocations, "SHUFFLE_BITS", 2)
-    found = [collocations.written(collocations.frequent(staged, [1, 2], 5, 10), "p")]
-    found.append(collocations.frequent(staged, [3], 5, 10, collocations.frequent_filter(found[0], 2)))
-    rows = collocations.phrases(staged, found[0].unionByName(found[1]), 10).collect()
+    found = [collocations.written(collocations.frequent(staged, [1, 2], 5, 3, 10), "p")]
+    found.append(collocations.frequent(staged, [3], 5, 3, 10, collocations.frequent_filter(found[0], 2)))
+    rows = collocations.phrases(staged, found[0].unionByName(found[1]), 3, 10).collect()
     assert {(r.lang, r.phrase): r["count"] for r in rows} == {k: n for k, n in plain_counts(docs)[0].items() if n >= 10}
 
 

@@ -42,6 +42,8 @@ TOP = 2000
 BLOCK_BYTES = 8 << 20
 #: Text whose entries one range of fingerprints holds about.
 RANGE_BYTES = 8 << 20
+#: Text whose entries, or places, one task gathers about.
+TASK_BYTES = 16 << 20
 #: Bits of a range number that one shuffle adds.
 SHUFFLE_BITS = 12
 ENTRIES_AT_ONCE = 2_000_000
@@ -315,7 +317,9 @@ def narrowed(rows: DataFrame, bits: int) -> DataFrame:
 PLACES = "block long, words int, n int, new int, prints binary, data binary"
 
 
-def frequent(staged: DataFrame, sizes: Sequence[int], bits: int, least: int, passes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def frequent(
+    staged: DataFrame, sizes: Sequence[int], bits: int, tasks: int, least: int, passes: Callable[[np.ndarray], np.ndarray] | None = None
+) -> DataFrame:
     """The entries of all fingerprints that occur ``least`` times altogether, packed for each block they came from.
 
     ``new`` of a row's fingerprints are in no other row before it, so their sum counts distinct ones.
@@ -352,7 +356,7 @@ def frequent(staged: DataFrame, sizes: Sequence[int], bits: int, least: int, pas
         columns = list(zip(*out)) or [()] * 6
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "words", "n", "new", "prints", "data"])
 
-    return rows.groupBy("bucket").applyInArrow(kept, PLACES)
+    return rows.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(kept, PLACES)
 
 
 # ---- the filter of frequent fingerprints ----
@@ -399,7 +403,7 @@ def frequent_filter(found: DataFrame, words: int) -> Callable[[np.ndarray], np.n
 # ---- phrases from places ----
 
 
-def phrases(staged: DataFrame, found: DataFrame, least: int) -> DataFrame:
+def phrases(staged: DataFrame, found: DataFrame, tasks: int, least: int) -> DataFrame:
     """``(lang, words, phrase, count)``: the texts at the places, with their counts summed by text."""
     word = rb"[^ \t.,;:!?\n-\r]+"
     names = ["lang", "words", "phrase", "count"]
@@ -424,7 +428,8 @@ def phrases(staged: DataFrame, found: DataFrame, least: int) -> DataFrame:
                 out.append(pa.table(columns, names=names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names=names)
 
-    pairs = staged.groupBy("block").cogroup(found.select("block", "words", "n", "data").groupBy("block"))
+    places = found.select("block", "words", "n", "data").repartition(tasks, "block")
+    pairs = staged.repartition(tasks, "block").groupBy("block").cogroup(places.groupBy("block"))
     rows = pairs.applyInArrow(read, "lang string, words int, phrase string, count long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("count").alias("count")).filter(F.col("count") >= least)
 
@@ -441,11 +446,12 @@ def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, least: int = M
     totals = staged.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(WORD))).cast("long").alias("n"))
     size = staged.groupBy("block").agg(F.max("at").alias("at")).agg(F.sum("at")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(size, 1) / RANGE_BYTES)))
-    found = [written(frequent(staged, range(1, min(2, max_words) + 1), bits, least), "phrase-places")]
+    tasks = math.ceil(max(size, 1) / TASK_BYTES)
+    found = [written(frequent(staged, range(1, min(2, max_words) + 1), bits, tasks, least), "phrase-places")]
     for n in range(3, max_words + 1):
-        found.append(written(frequent(staged, [n], bits, least, frequent_filter(found[-1], n - 1)), "phrase-places"))
+        found.append(written(frequent(staged, [n], bits, tasks, least, frequent_filter(found[-1], n - 1)), "phrase-places"))
     places = reduce(DataFrame.unionByName, found)
-    return written(phrases(staged, places, least), "phrases"), totals
+    return written(phrases(staged, places, tasks, least), "phrases"), totals
 
 
 # ---- scores ----
@@ -492,7 +498,7 @@ def collocations(
     found, totals = frequent_phrases(docs, max_words, least, lang_col, text_col)
     rows = without_parts(scored(found, max_words), found, percent)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # thinned inside slices first: a language's phrases do not meet in one task
+    # thinned inside 64 slices first: at most 64 * top phrases of a language meet in one task
     sliced = rows.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     thin = sliced.withColumn("rank", F.row_number().over(W.partitionBy("lang", "slice").orderBy(*order))).filter(F.col("rank") <= top)
     ranked = thin.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
