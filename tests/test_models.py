@@ -264,7 +264,7 @@ def test_pruning_alpha_is_searched_without_refitting(spark, rows):
     sizes = {r["alpha"]: r["k"] for r in scored.groupBy("alpha").agg(F.count_distinct("score").alias("k")).collect()}
     assert sizes[0.0] >= sizes[0.01] >= sizes[10.0] == 1
     f2 = {r["alpha"]: r["f2"] for r in evaluate.f2_by(scored, ("alpha",)).collect()}
-    assert f2[0.0] == pytest.approx(train.F2Evaluator().evaluate(model.transform(rows)))
+    assert f2[0.0] == pytest.approx(evaluate.F2Evaluator().evaluate(model.transform(rows)))
     assert len(train.expand(train.with_alphas(train.TREE_SPACE, 0.1))) == 288
     drawn = train.draw(train.FOREST_TIGHT_SPACE, 20, 1)
     assert all(d["feature_share"] == "sqrt" or 0.15 <= d["feature_share"] <= 0.65 for d in drawn)

@@ -1,15 +1,139 @@
-"""A minimum split size forbids splits of smaller nodes and nothing else."""
+"""Grown trees against exhaustive search, on both ways of growing them, and cut against grown ones."""
+
+import math
 
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from wardlight.models import explain, grow, train, trees
+from wardlight.operators import importance
+
+
+def labelled(spark, x, y, fold=None):
+    rows = [(float(b), Vectors.dense([float(v) for v in np.atleast_1d(a)]), int(f)) for a, b, f in zip(x, y, np.zeros(len(y)) if fold is None else fold)]
+    return spark.createDataFrame(rows, ["label", "features", "fold"])
+
+
+def impurity(criterion, a, b):
+    total = a + b
+    shares = [v / total for v in (a, b) if v > 0]
+    return 1 - sum(s * s for s in shares) if criterion == "gini" else -sum(s * math.log2(s) for s in shares)
+
+
+def exhaustive(x, y, criterion="gini", depth=None, min_leaf=1, min_split=2, weights=(1.0, 1.0)):
+    """Nested ``(feature, threshold, left, right)`` or a probability, trying every midpoint of every feature."""
+    a, b = weights[0] * (y == 0).sum(), weights[1] * (y == 1).sum()
+    if not a or not b or len(y) < min_split or depth == 0:
+        return b / (a + b)
+    best = None
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        for low, high in zip(values, values[1:]):
+            left = x[:, f] <= (low / 2 + high / 2)
+            if min(left.sum(), (~left).sum()) < min_leaf:
+                continue
+            cost = 0.0
+            for side in (left, ~left):
+                p, q = weights[0] * (y[side] == 0).sum(), weights[1] * (y[side] == 1).sum()
+                cost += (p + q) * impurity(criterion, p, q)
+            if best is None or cost < best[0] - 1e-9:
+                best = (cost, f, low / 2 + high / 2, left)
+    if best is None:
+        return b / (a + b)
+    _, f, threshold, left = best
+    below = None if depth is None else depth - 1
+    return f, threshold, *(exhaustive(x[s], y[s], criterion, below, min_leaf, min_split, weights) for s in (left, ~left))
+
+
+def nested(tree, node=0):
+    if tree.left[node] < 0:
+        return float(tree.value[node])
+    return int(tree.feature[node]), float(tree.threshold[node]), nested(tree, tree.left[node]), nested(tree, tree.right[node])
 
-from wardlight.models import explain, train
 
+def same(a, b):
+    if isinstance(a, tuple) != isinstance(b, tuple):
+        return False
+    if not isinstance(a, tuple):
+        return a == pytest.approx(b)
+    return a[0] == b[0] and a[1] == pytest.approx(b[1]) and same(a[2], b[2]) and same(a[3], b[3])
+
+
+def some_rows(n=150, seed=2):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 5, n), np.zeros(n), rng.normal(size=n).round(1)])
+    return x, (x[:, 0] + x[:, 1] / 3 + rng.normal(size=n) > 0.5).astype(int)
+
+
+LIMITS = [
+    {}, {"criterion": "entropy"}, {"depth": 3}, {"min_leaf": 7}, {"min_split": 20, "criterion": "entropy"},
+    {"weights": (1.0, 3.5), "depth": 4, "min_leaf": 3}, {"weights": (2.0, 0.5), "min_split": 11},
+]
+
+
+@pytest.mark.parametrize("limits", LIMITS, ids=str)
+def test_numpy_trees_are_exhaustive(limits):
+    x, y = some_rows()
+    options = {("max_depth" if k == "depth" else k): v for k, v in limits.items()}
+    nodes = grow.grow_node(x, y, np.ones(len(y), int), grow.TreeSpec(0, **options))
+    assert same(nested(trees.Tree(**nodes)), exhaustive(x, y, **limits))
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    x, y = some_rows(500, 4)
+    return labelled(spark, x, y, np.arange(500) % 3)
 
-def labelled(spark, x, y):
-    rows = [(float(b), Vectors.dense([float(v) for v in np.atleast_1d(a)])) for a, b in zip(x, y)]
-    return spark.createDataFrame(rows, ["label", "features"])
+
+def tables(spark, noisy, specs):
+    """The same trees by the numpy way, by levels of Spark down to small nodes, and by levels only."""
+    base = grow.prepared(noisy)
+    ways = [{}, {"table_bytes": 0, "node_rows": 60}, {"table_bytes": 0, "node_rows": 0}, {"table_bytes": 0}]
+    return [{r.tree: trees.tree_of(r) for r in grow.grown(base, specs, **w).collect()} for w in ways]
+
+
+def test_levels_of_spark_grow_the_same_trees(spark, noisy, tiny_ranges):
+    specs = [
+        grow.TreeSpec(0, max_depth=4), grow.TreeSpec(3, "entropy", min_leaf=4, max_depth=5, weights=(1.0, 2.0)), grow.TreeSpec(5, min_split=90, without=1, max_depth=6),
+        *[grow.TreeSpec(10 + i, tries=2, sampled=True, seed=i, max_depth=4, min_leaf=2) for i in range(3)],
+    ]
+    whole, *others = tables(spark, noisy, specs)
+    assert sorted(whole) == [s.tree for s in specs]
+    for other in others:
+        for number, tree in whole.items():
+            assert same(nested(tree), nested(other[number]))
+            again = other[number]
+            assert (again.left[again.left >= 0] > np.flatnonzero(again.left >= 0)).all()
+            assert sorted(zip(tree.rows, tree.cover, tree.impurity.round(9))) == sorted(zip(again.rows, again.cover, again.impurity.round(9)))
+    assert whole[5].rows[0] == 500 - 167 and len({str(nested(whole[10 + i])) for i in range(3)}) == 3
+
+
+def test_unlimited_trees_separate_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.arange(3000.0)
+    y = rng.integers(0, 2, 3000)
+    df = labelled(spark, x, y)
+    model = train.fit_tree(df, class_weight=None)
+    assert train.tree_shape(spark, model).first()["depth"] > 10
+    assert model.transform(df).filter("prediction <> label").count() == 0
+    chain = np.tile([0, 1], 100)  # one row splits off at every level
+    deep = train.fit_tree(labelled(spark, 1.5 ** np.arange(200), chain), class_weight=None, min_leaf=1)
+    assert deep.numNodes == 399
+
+
+def test_samples_hold_each_row_once_on_average():
+    spec = grow.TreeSpec(0, sampled=True, seed=5)
+    counts = grow.draws(np.arange(100_000), spec)
+    assert abs(counts.mean() - 1) < 0.02 and abs(counts.var() - 1) < 0.05 and abs((counts == 0).mean() - math.exp(-1)) < 0.01
+    assert not np.array_equal(counts, grow.draws(np.arange(100_000), grow.TreeSpec(0, sampled=True, seed=6)))
+
+
+def test_drawn_features_vary_and_number_as_asked():
+    varied = np.array([[True, True, False, True], [False, False, True, False], [False] * 4])
+    marks = grow.drawn_features(np.array([1, 2, 3], np.uint64), varied, 2)
+    assert marks.sum(axis=1).tolist() == [2, 1, 0] and not (marks & ~varied).any()
 
 
 @pytest.mark.parametrize("size", [19, 20])
@@ -21,32 +145,68 @@ def test_lone_row_is_split_off_only_from_twenty(spark, size):
     assert scores[0.0] == (1.0 if size == 20 else 0.0) and scores[1.0] == 0.0
 
 
-@pytest.fixture(scope="module")
-def noisy(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 3))
-    return labelled(spark, x, (x[:, 0] + rng.normal(size=400) > 0).astype(float))
-
-
-def test_cut_model_scores_as_its_cut_nodes(spark, noisy):
-    for fit in (train.fit_tree, lambda df, **o: train.fit_forest(df, trees=4, **o)):
-        whole, cut = fit(noisy, max_depth=8), fit(noisy, max_depth=8, min_split=60)
-        kept = [explain.without_small_splits(t, 60) for t in explain.load_trees(whole)]
-        trees = explain.load_trees(cut)
-        assert len(trees) == len(kept) and sum(len(t.left) for t in trees) < sum(len(t.left) for t in explain.load_trees(whole))
-        x = np.array([r["features"].toArray() for r in noisy.collect()])
-        for a, b in zip(trees, kept):
-            assert np.allclose(a.value[a.leaves_of(x)], b.value[b.leaves_of(x)])
-            assert (a.rows[a.left >= 0] >= 60).all()
-        mean = np.mean([t.value[t.leaves_of(x)] for t in trees], axis=0)
-        assert np.allclose([r["probability"][1] for r in cut.transform(noisy).collect()], mean)
-
-
-def test_search_shares_fits_between_minimum_splits(spark, noisy):
-    from pyspark.sql import functions as F
-
-    rows = noisy.withColumn("fold", F.pmod(F.xxhash64("features"), F.lit(3)).cast("int"))
-    found = train.grid_search(rows, "tree", {"max_depth": [6], "min_split": [2, 40, 400], "class_weight": ["balanced"]})
-    for s in found.scores:
-        params = {k: v for k, v in s["params"].items()}
-        assert s["score"] == pytest.approx(np.mean(train.fold_scores(rows, "tree", params)), abs=1e-9)
+def test_cut_trees_are_the_grown_ones(spark, noisy):
+    space = {"max_depth": [2, 4, None], "min_split": [2, 40, 400], "class_weight": ["balanced", None], "criterion": ["gini", "entropy"], "alpha": [0.0, 0.01]}
+    for metric in ("roc_auc", "f2"):
+        found = train.grid_search(noisy, "tree", space, metric)
+        assert len(found.scores) == 72
+        for s in found.scores[:: 7 if metric == "f2" else 5]:
+            params = dict(s["params"])
+            alpha = params.pop("alpha")
+            if not alpha:
+                assert s["score"] == pytest.approx(np.mean(train.fold_scores(noisy, "tree", params, metric)), abs=1e-9)
+                continue
+            direct = []
+            for fold in range(3):
+                model = train.fit_params(noisy.filter(F.col("fold") != fold), "tree", {k: v for k, v in params.items()})
+                held = explain.pruned_scores(model, noisy.filter(F.col("fold") == fold), [alpha])
+                direct.append((train.roc_auc(held) if metric == "roc_auc" else train.f2_by(held, ("alpha",))).first()[metric])
+            if params["class_weight"] is None:  # balanced weights are those of all folds in a search
+                assert s["score"] == pytest.approx(np.mean(direct), abs=1e-9)
+
+
+def test_first_trees_are_the_smaller_forest(spark, noisy):
+    params = [{"trees": k, "max_depth": 4, "feature_share": 0.5, "class_weight": "balanced"} for k in (3, 8, 20)]
+    together = train.search(noisy, "forest", params, "roc_auc")
+    for p, s in zip(params, together.scores):
+        assert s["score"] == pytest.approx(np.mean(train.fold_scores(noisy, "forest", p)), abs=1e-12)
+    small, large = (explain.load_trees(train.fit_forest(noisy, trees=k, max_depth=3)) for k in (2, 5))
+    assert [nested(t) for t in small] == [nested(t) for t in large[:2]]
+
+
+def test_blocks_of_trees_add_up(spark, noisy, monkeypatch):
+    model = train.fit_forest(noisy, trees=7, max_depth=4)
+    x = np.array([r["features"].toArray() for r in noisy.collect()])
+    mean = np.mean([t.value[t.leaves_of(x)] for t in explain.load_trees(model)], axis=0)
+    keyed = noisy.withColumn("id", F.monotonically_increasing_id())
+    whole = [explain.tree_contributions(model, keyed, "id"), explain.tree_disagreement(model, noisy), model.transform(keyed).select("id", "probability")]
+    want = [sorted(map(str, df.collect())) for df in whole[1:2]]
+    parts = {r["id"]: r for r in whole[0].collect()}
+    monkeypatch.setattr(trees, "BLOCK_NODES", 40)
+    assert len(list(model.blocks())) > 2
+    assert sorted(float(r["probability"][1]) for r in model.transform(noisy).collect()) == pytest.approx(sorted(mean))
+    assert [sorted(map(str, explain.tree_disagreement(model, noisy).collect()))] == want
+    for r in explain.tree_contributions(model, keyed, "id").collect():
+        assert r["probability"] == pytest.approx(parts[r["id"]]["probability"]) and r["contributions"] == pytest.approx(parts[r["id"]]["contributions"])
+
+
+def test_pruning_intervals_are_the_levels(spark, noisy):
+    model = train.fit_tree(noisy, max_depth=6)
+    tree = explain.load_trees(model)[0]
+    alphas, closed = explain.pruning_order(tree)
+    intervals = explain.leaf_intervals(tree, alphas, closed)
+    assert len(intervals) <= (tree.left < 0).sum() * (tree.depth.max() + 1)
+    for level, alpha in enumerate(alphas):
+        cut = trees.cut_tree(tree, closed <= alpha)
+        owner = trees.stands_for(tree, cut)
+        now = {leaf: (score, depth) for leaf, low, high, score, depth, _ in intervals if low <= level < high}
+        assert now == {int(n): (float(tree.value[owner[n]]), int(tree.depth[owner[n]])) for n in np.flatnonzero(tree.left < 0)}
+        assert sum(counts for _, low, high, _, _, counts in intervals if low <= level < high) == ((cut.left < 0) & np.isin(np.arange(len(cut.left)), owner)).sum()
+
+
+def test_importance_finds_the_feature(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=2000), rng.normal(size=2000)
+    df = spark.createDataFrame([(float(p), float(q), int(p > 0.3)) for p, q in zip(a, b)], "a double, b double, y int")
+    found = {r["feature"]: r["importance"] for r in importance.forest_importance(df, ["a", "b"], "y", trees=10).collect()}
+    assert found["a"] > 0.7 and sum(found.values()) == pytest.approx(1)

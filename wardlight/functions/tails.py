@@ -130,6 +130,68 @@ def kolmogorov_sf(x: float) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
+#: Samples up to this size have an exact distance test.
+EXACT_DISTANCE = 10_000
+
+
+def smirnov_sf(d: float, n1: int, n2: int) -> float:
+    """Exact chance of a two-sample distance of ``d`` or more.
+
+    Every order of the two samples is a lattice path from (0, 0) to (n1, n2), and the distance
+    reaches ``d`` where the path comes far enough from the diagonal. Of the paths to a point with
+    i of the first and j of the second sample a share i / (i + j) comes from the left, so the
+    share of paths that have been far out follows diagonal by diagonal.
+    """
+    far = round(d * n1 * n2)
+    if not far:
+        return 1.0
+    low = 0  # the first i on the diagonal
+    share = np.zeros(1)
+    for total in range(1, n1 + n2 + 1):
+        first, last = max(0, total - n2), min(n1, total)
+        i = np.arange(first, last + 1)
+        here = np.zeros(len(i))
+        # from the left: (i - 1, j), from below: (i, j - 1)
+        left, below = i - 1 - low, i - low
+        ok = (left >= 0) & (left < len(share))
+        here[ok] += i[ok] / total * share[left[ok]]
+        ok = (below >= 0) & (below < len(share)) & (total - i > 0)
+        here[ok] += (total - i[ok]) / total * share[below[ok]]
+        here[np.abs(i * n2 - (total - i) * n1) >= far] = 1.0
+        share, low = here, first
+    return float(share[0])
+
+
+#: Samples up to this size without ties have an exact rank correlation test.
+EXACT_INVERSIONS = 33
+
+
+def inversions_at_most(n: int, k: int) -> float:
+    """Share of the orders of ``n`` values that have ``k`` inversions or fewer.
+
+    The ``m``-th value adds 0 to m - 1 inversions to those of the values before it, each as likely.
+    """
+    share = np.zeros(k + 1)
+    share[0] = 1.0
+    for m in range(2, n + 1):
+        sums = np.cumsum(share)
+        share = sums.copy()
+        share[m:] -= sums[:-m] if m <= k else 0.0
+        share /= m
+        if m > k + 1 and share.sum() == 0:
+            return 0.0
+    return float(min(share.sum(), 1.0))
+
+
+def kendall_sf(n: float, swaps: float, net: float, variance: float, ties: float) -> float:
+    """Two-sided p of Kendall's tau: exact for small samples without ties, else normal with the variance of the ties."""
+    most = n * (n - 1) / 2
+    fewer = min(swaps, most - swaps)
+    if ties == 0 and (n <= EXACT_INVERSIONS or fewer <= 1):
+        return min(1.0, 2 * inversions_at_most(int(n), int(fewer)))
+    return 2 * normal_sf(abs(net) / math.sqrt(variance)) if variance > 0 else math.nan
+
+
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
 
 
@@ -211,6 +273,19 @@ def kolmogorov_p(x: pd.Series) -> pd.Series:
     return _rowwise(kolmogorov_sf, x)
 
 
+@F.pandas_udf(T.DoubleType())
+def distance_p(d: pd.Series, n1: pd.Series, n2: pd.Series, exact_up_to: pd.Series) -> pd.Series:
+    def one(d: float, n1: float, n2: float, most: float) -> float:
+        return smirnov_sf(d, int(n1), int(n2)) if max(n1, n2) <= most else kolmogorov_sf(d * math.sqrt(n1 * n2 / (n1 + n2)))
+
+    return _rowwise(one, d, n1, n2, exact_up_to)
+
+
+@F.pandas_udf(T.DoubleType())
+def kendall_p(n: pd.Series, swaps: pd.Series, net: pd.Series, variance: pd.Series, ties: pd.Series) -> pd.Series:
+    return _rowwise(kendall_sf, n, swaps, net, variance, ties)
+
+
 @F.pandas_udf(T.DoubleType())
 def tukey_p(q: pd.Series, k: pd.Series, dof: pd.Series) -> pd.Series:
     return _rowwise(lambda a, b, c: studentized_range_sf(a, int(b), c), q, k, dof)

@@ -1,33 +1,33 @@
-"""Fitting and searching classifiers with ``pyspark.ml``.
+"""Fitting and searching classifiers.
 
-Frames are ``label`` (0/1), ``features`` (vector) and, where folds are used, ``fold``.
+Frames are ``label`` (0/1), ``features`` (vector) and, where folds are used, ``fold``. Logistic
+models are those of ``pyspark.ml``; trees and forests are grown by :mod:`wardlight.models.grow`.
 """
 
 from __future__ import annotations
 
 import math
 import random
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from itertools import product
-from multiprocessing.pool import ThreadPool
 from statistics import fmean
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.models.evaluate import F2Evaluator, f2_by, roc_auc
-from wardlight.models.explain import pruned_scores, remove_saved
-from wardlight.models.prep import with_class_weight
-from wardlight.session import scratch_path
-
-MAX_DEPTH = 30
+from wardlight.models.evaluate import f2_by, roc_auc
+from wardlight.models.explain import level_metrics, pruning_order
+from wardlight.models.grow import TreeSpec, grown, prepared
+from wardlight.models.lasso import LassoSpec, fit_many, held_out_scores
+from wardlight.models.prep import class_weights, with_class_weight
+from wardlight.models.trees import TreeModel, cut_tree, leaf_counts, prefix_scores, stands_for, tree_of
+from wardlight.session import stage
 
 # The searched spaces. Lists are choices; (low, high) of integers excludes high.
 CLASS_WEIGHTS = ["balanced", {0: 1.0, 1: 1.5}, {0: 1.0, 1: 2.0}, {0: 1.0, 1: 5.0}, {0: 1.0, 1: 6.0}, {0: 1.5, 1: 1.0}, {0: 2.0, 1: 1.0}]
@@ -49,15 +49,8 @@ def with_alphas(space: Mapping[str, object], best: float) -> dict:
 ClassWeight = str | Mapping[int, float]
 
 
-def auc_evaluator() -> Evaluator:
-    """ROC-AUC of the probabilities over all distinct scores (no binning).
-
-    The raw prediction of a tree is a class count, which does not rank rows.
-    """
-    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
-
-
-EVALUATORS: dict[str, Callable[[], Evaluator]] = {"roc_auc": auc_evaluator, "f2": F2Evaluator}
+#: Scores of groups of ``(label, score)`` rows.
+METRICS: dict[str, Callable] = {"roc_auc": roc_auc, "f2": f2_by}
 
 
 def l1_strength(c: float, weight_sum: float) -> float:
@@ -87,96 +80,66 @@ def fit_l1_logistic(df: DataFrame, c: float = 0.1, class_weight: ClassWeight | N
     return l1_logistic(c, weight_sum(rows)).fit(rows)
 
 
-def depth_of(max_depth: int | None) -> int:
-    """The asked depth, or Spark's limit where none is asked."""
-    if max_depth is not None and max_depth > MAX_DEPTH:
-        raise ValueError(f"max_depth is {max_depth}; trees go down to {MAX_DEPTH} levels")
-    return MAX_DEPTH if max_depth is None else max_depth
+def tried_features(share: float | str | None, n: int) -> int | None:
+    """Features drawn for a node: ``sqrt`` or a share of all ``n``, at least one; ``all`` or None for no draw."""
+    if share in (None, "all"):
+        return None
+    return max(1, int(math.sqrt(n) if share == "sqrt" else share * n))
 
 
-def tree(criterion: str = "gini", max_depth: int | None = None, min_leaf: int = 1, min_split: int = 2, seed: int = 42, max_bins: int = 64) -> DecisionTreeClassifier:
-    """Decision tree estimator. A depth above 30, Spark's limit, is an error.
+# What a tree or forest is grown with, and the values where none are given.
+TREE_OPTIONS = {"criterion": "gini", "max_depth": None, "min_leaf": 1, "min_split": 2, "seed": 42}
+FOREST_OPTIONS = {**TREE_OPTIONS, "trees": 100, "feature_share": "sqrt"}
 
-    ``min_split`` is no parameter of the growth: splits of smaller nodes are taken back on the
-    fitted model (:func:`split_from`), which gives the same tree.
-    """
-    return DecisionTreeClassifier(
-        labelCol="label", weightCol="weight", impurity=criterion, maxDepth=depth_of(max_depth),
-        minInstancesPerNode=max(min_leaf, 1), seed=seed, maxBins=max_bins, cacheNodeIds=False,
-    )
 
+def specs_of(kind: str, params: Mapping[str, object], weights: tuple[float, float], n_features: int, first: int = 0, fold: int | None = None) -> list[TreeSpec]:
+    """Specifications of the trees of one model, numbered from ``first``."""
+    known = TREE_OPTIONS if kind == "tree" else FOREST_OPTIONS
+    if unknown := set(params) - set(known):
+        raise ValueError(f"unknown options of a {kind}: {sorted(unknown)}")
+    o = {**known, **params}
+    common = {"criterion": o["criterion"], "max_depth": o["max_depth"], "min_leaf": o["min_leaf"], "min_split": o["min_split"], "weights": weights, "without": fold}
+    if kind == "tree":
+        return [TreeSpec(first, seed=o["seed"], **common)]
+    tries = tried_features(o["feature_share"], n_features)
+    return [TreeSpec(first + i, seed=o["seed"] * 1_000_003 + i, tries=tries, sampled=True, **common) for i in range(o["trees"])]
 
-def fit_tree(df: DataFrame, class_weight: ClassWeight | None = "balanced", **options) -> Model:
-    return split_from(tree(**options).fit(weighted(df, class_weight)), options.get("min_split", 2))
 
+def both_weights(df: DataFrame, spec: ClassWeight | None) -> tuple[float, float]:
+    weights = class_weights(df, "label", spec) if spec is not None else {}
+    return float(weights.get(0, 1.0)), float(weights.get(1, 1.0))
 
-def forest(trees: int = 100, max_depth: int | None = 10, feature_share: float | str = "sqrt", min_leaf: int = 1, min_split: int = 2, seed: int = 42, max_bins: int = 64) -> RandomForestClassifier:
-    """Random forest estimator; ``feature_share`` is a name or a fraction of the features."""
-    return RandomForestClassifier(
-        labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth_of(max_depth),
-        featureSubsetStrategy=str(feature_share), minInstancesPerNode=max(min_leaf, 1), seed=seed, maxBins=max_bins,
-    )
+
+def width_of(df: DataFrame) -> int:
+    return len(df.select("features").first()["features"])
 
 
-def fit_forest(df: DataFrame, class_weight: ClassWeight | None = "balanced", **options) -> Model:
-    return split_from(forest(**options).fit(weighted(df, class_weight)), options.get("min_split", 2))
+def _fit(kind: str, df: DataFrame, class_weight: ClassWeight | None, options: Mapping[str, object]) -> TreeModel:
+    n = width_of(df)
+    return TreeModel(grown(prepared(df), specs_of(kind, options, both_weights(df, class_weight), n)), n)
 
 
-def split_from(model: Model, min_split: int) -> Model:
-    """The fitted tree or forest without the splits of nodes that held fewer than ``min_split`` rows.
+def fit_tree(df: DataFrame, class_weight: ClassWeight | None = "balanced", **options) -> TreeModel:
+    """Decision tree with splits at exact midpoints; without ``max_depth`` it grows until its leaves are pure or too small.
 
-    The nodes, which the driver holds anyway, are read from the saved model, cut and numbered
-    anew, and saved again for Spark to load.
+    ``min_split`` and ``min_leaf`` count rows, whatever their weights.
     """
-    if min_split <= 2:
-        return model
-    spark = SparkSession.builder.getOrCreate()  # also from a thread of a search
-    old, new = (f"{scratch_path(spark)}/model-{uuid.uuid4().hex}" for _ in range(2))
-    for path in (old, new):
-        model.write().save(path)
-    data = spark.read.parquet(f"{old}/data")
-    in_forest = "nodeData" in data.columns
-    trees: dict[int, dict[int, dict]] = {}
-    for row in data.collect():
-        node = (row["nodeData"] if in_forest else row).asDict(recursive=True)
-        trees.setdefault(row["treeID"] if in_forest else 0, {})[node["id"]] = node
-    rows = []
-    for number, nodes in trees.items():
-        root = _cut(nodes, min_split)
-        rows += [{"treeID": number, "nodeData": n} if in_forest else n for n in root]
-    spark.createDataFrame(rows, data.schema).repartition(1).write.mode("overwrite").parquet(f"{new}/data")
-    cut = type(model).load(new)
-    for path in (old, new):
-        remove_saved(spark, path)
-    return cut
-
-
-def _cut(nodes: dict[int, dict], min_split: int) -> list[dict]:
-    """Nodes left of one tree, numbered in the order Spark saves them: parent, left side, right side."""
-    out, stack = [], [(0, None, "")]
-    while stack:
-        at, parent, side = stack.pop()
-        node = dict(nodes[at])
-        node["id"] = len(out)
-        if parent is not None:
-            parent[side] = node["id"]
-        out.append(node)
-        if nodes[at]["leftChild"] >= 0 and nodes[at]["rawCount"] >= min_split:
-            stack += [(nodes[at]["rightChild"], node, "rightChild"), (nodes[at]["leftChild"], node, "leftChild")]
-        else:
-            node.update(leftChild=-1, rightChild=-1, gain=-1.0, split=LEAF_SPLIT)
-    return out
+    return _fit("tree", df, class_weight, options)
 
 
-# Fixed value: what Spark saves as the split of a leaf.
-LEAF_SPLIT = {"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1}
+def fit_forest(df: DataFrame, class_weight: ClassWeight | None = "balanced", **options) -> TreeModel:
+    """Random forest: each tree on a sample with replacement, ``feature_share`` of the features tried at a node."""
+    return _fit("forest", df, class_weight, options)
 
 
-def tree_shape(spark: SparkSession, model: Model) -> DataFrame:
+def tree_shape(spark: SparkSession, model: TreeModel) -> DataFrame:
     """Depth, nodes and leaves of every tree of a fitted tree or forest."""
-    trees = getattr(model, "trees", [model])
-    rows = [(i, t.depth, t.numNodes, (t.numNodes + 1) // 2) for i, t in enumerate(trees)]
-    return spark.createDataFrame(rows, "tree int, depth int, nodes int, leaves int")
+    def shape(batches):
+        for batch in batches:
+            trees = [(r.tree, tree_of(r)) for r in batch.itertuples()]
+            yield pd.DataFrame([(n, int(t.depth.max()), len(t.left), int((t.left < 0).sum())) for n, t in trees], columns=["tree", "depth", "nodes", "leaves"])
+
+    return model.table.mapInPandas(shape, "tree int, depth int, nodes int, leaves int")
 
 
 # ---- searches ----
@@ -209,29 +172,9 @@ def expand(space: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(space, values)) for values in product(*space.values())]
 
 
-MAKERS: dict[str, Callable] = {"tree": tree, "forest": forest}
-
-
-def _estimator(kind: str, params: Mapping[str, object], weight_total: float):
-    if kind == "logistic":
-        return l1_logistic(params["c"], weight_total)
-    return MAKERS[kind](**params)
-
-
-def fold_scores(df: DataFrame, kind: str, params: Mapping[str, object], metric: str = "roc_auc", parallelism: int = 2) -> list[float]:
-    """Metric on each held-out fold. ``params`` may hold ``class_weight``."""
-    params = dict(params)
-    spec = params.pop("class_weight", None)
-    rows = weighted(df, spec)
-    folds = sorted(r["fold"] for r in df.select("fold").distinct().collect())
-    total = weight_sum(rows) * (len(folds) - 1) / len(folds) if kind == "logistic" else 1.0
-    estimator = _estimator(kind, params, total)
-    evaluator = EVALUATORS[metric]()
-    scores = []
-    for fold in folds:
-        model = split_from(estimator.fit(rows.filter(F.col("fold") != fold)), params.get("min_split", 2))
-        scores.append(evaluator.evaluate(model.transform(rows.filter(F.col("fold") == fold))))
-    return scores
+def fold_scores(df: DataFrame, kind: str, params: Mapping[str, object], metric: str = "roc_auc") -> list[float]:
+    """Metric on each held-out fold, in the order of the folds. ``params`` may hold ``class_weight``."""
+    return SEARCHES[kind](df, [params], metric)[0]
 
 
 def cv_score(df: DataFrame, kind: str, params: Mapping[str, object], metric: str = "roc_auc") -> tuple[float, float]:
@@ -241,85 +184,129 @@ def cv_score(df: DataFrame, kind: str, params: Mapping[str, object], metric: str
     return mean, 2 * math.sqrt(fmean([(s - mean) ** 2 for s in scores]))
 
 
-def search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]], metric: str = "roc_auc", parallelism: int = 4) -> Search:
+def search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]], metric: str = "roc_auc") -> Search:
     """Cross-validated score of every candidate; candidates may differ in ``class_weight``.
 
-    ``CrossValidator`` runs the fits of all candidates side by side on the given folds.
-    Class weights become weight columns, so they are ordinary parameters of the grid.
-    Candidates with a pruning ``alpha`` or a ``min_split`` are scored by :func:`pruned_search` instead.
+    The models of all candidates and folds are fitted together and share what they can
+    (:func:`tree_search`, :func:`logistic_search`).
     """
-    if any("alpha" in c or c.get("min_split", 2) > 2 for c in candidates):
-        return pruned_search(df, kind, candidates, metric, parallelism)
-    specs: list[ClassWeight | None] = []
-    for params in candidates:
-        if params.get("class_weight") not in specs:
-            specs.append(params.get("class_weight"))
-    rows = df
-    for i, spec in enumerate(specs):
-        rows = with_class_weight(rows, "label", spec, f"weight_{i}") if spec is not None else rows.withColumn(f"weight_{i}", F.lit(1.0))
-    folds = rows.select("fold").distinct().count()
-    sums = rows.agg(*[F.sum(f"weight_{i}") for i in range(len(specs))]).first()
-    maps = []
-    base = _estimator(kind, {"c": 1.0} if kind == "logistic" else {}, 1.0)
-    for params in candidates:
-        params = dict(params)
-        which = specs.index(params.pop("class_weight", None))
-        made = _estimator(kind, params, sums[which] * (folds - 1) / folds)
-        settings = {base.getParam(p.name): v for p, v in made.extractParamMap().items() if made.isSet(p)}
-        settings[base.weightCol] = f"weight_{which}"
-        maps.append(settings)
-    cv = CrossValidator(
-        estimator=base, estimatorParamMaps=maps, evaluator=EVALUATORS[metric](), numFolds=folds, foldCol="fold", parallelism=parallelism
-    )
-    fitted = cv.fit(rows)
     found = Search()
-    for params, score in zip(candidates, fitted.avgMetrics):
-        found.add(params, score)
+    for params, folds in zip(candidates, SEARCHES[kind](df, candidates, metric)):
+        found.add(params, fmean(folds))
     return found
 
 
-#: Parameters that work on a fitted model.
-AFTER_FIT = ("alpha", "min_split")
+def logistic_search(df: DataFrame, candidates: Sequence[Mapping[str, object]], metric: str) -> list[list[float]]:
+    """Score of each candidate on each fold: one set of passes fits all models, one pass scores them."""
+    base = prepared(df)
+    folds = sorted(r["fold"] for r in base.select("fold").distinct().collect())
+    by_weight = weights_of(df, candidates)
+    specs = [LassoSpec(p["c"], by_weight[repr(p.get("class_weight"))], fold) for p in candidates for fold in folds]
+    scored = stage(held_out_scores(base, specs, fit_many(base, specs, width_of(df))))
+    values = {r["model"]: r[metric] for r in METRICS[metric](scored, ("model",)).collect()}
+    return [[values[i * len(folds) + j] for j in range(len(folds))] for i in range(len(candidates))]
+
+
+def weights_of(df: DataFrame, candidates: Sequence[Mapping[str, object]]) -> dict[str, tuple[float, float]]:
+    """Weights of both classes by the text of each class weight among the candidates."""
+    specs = {repr(p.get("class_weight")): p.get("class_weight") for p in candidates}
+    return {name: both_weights(df, spec) for name, spec in specs.items()}
 
 
-def pruned_search(df: DataFrame, kind: str, candidates: Sequence[Mapping[str, object]], metric: str = "roc_auc", parallelism: int = 4) -> Search:
-    """Cross-validated scores of tree or forest candidates with pruning ``alpha`` or ``min_split``.
+#: Parameters of a tree that cut a larger one: candidates that differ in nothing else share their trees.
+CUTS = ("max_depth", "min_split", "alpha")
 
-    Candidates equal but for these share their fits: each model is fitted once per fold, and
-    all levels are scored in one pass over the held-out rows. Fits run ``parallelism`` at a time.
+
+def tree_search(df: DataFrame, candidates: Sequence[Mapping[str, object]], metric: str, kind: str = "tree") -> list[list[float]]:
+    """Score of each candidate on each fold.
+
+    A split depends on its node alone. So of trees that differ in depth, minimum split or pruning
+    ``alpha``, one is grown, to the largest depth and smallest split asked for, and cut; and
+    of forests that differ in the number of trees, the largest one is grown, and its first trees
+    are the others. All trees of all folds are grown by one set of jobs, and rows pass through them once.
     """
+    base = prepared(df)
+    folds = sorted(r["fold"] for r in base.select("fold").distinct().collect())
+    n = width_of(df)
+    by_weight = weights_of(df, candidates)
+    shared = CUTS if kind == "tree" else ("trees",)
     groups: dict[str, list[int]] = {}
     for i, params in enumerate(candidates):
-        groups.setdefault(repr(sorted((k, repr(v)) for k, v in params.items() if k not in AFTER_FIT)), []).append(i)
-    folds = sorted(r["fold"] for r in df.select("fold").distinct().collect())
-    level = lambda i: (float(candidates[i].get("alpha", 0.0)), int(candidates[i].get("min_split", 2)))
-
-    def one(job: tuple[list[int], object]) -> dict[int, float]:
-        members, fold = job
-        params = {k: v for k, v in candidates[members[0]].items() if k not in AFTER_FIT}
-        rows = weighted(df, params.pop("class_weight", None))
-        model = MAKERS[kind](**params).fit(rows.filter(F.col("fold") != fold))
-        alphas, splits = (sorted({level(i)[k] for i in members}) for k in (0, 1))
-        scored = pruned_scores(model, rows.filter(F.col("fold") == fold), alphas, splits)
-        keys = ("alpha", "min_split")
-        by_level = roc_auc(scored, keys) if metric == "roc_auc" else f2_by(scored, keys)
-        values = {(r["alpha"], r["min_split"]): r[metric] for r in by_level.collect()}
-        return {i: values[level(i)] for i in members}
-
-    totals = [0.0] * len(candidates)
-    with ThreadPool(parallelism) as pool:
-        for scores in pool.map(inheritable_thread_target(df.sparkSession)(one), [(m, fold) for m in groups.values() for fold in folds]):
-            for i, score in scores.items():
-                totals[i] += score / len(folds)
-    found = Search()
-    for params, score in zip(candidates, totals):
-        found.add(params, score)
-    return found
-
-
-def grid_search(df: DataFrame, kind: str, space: Mapping[str, Sequence], metric: str = "roc_auc", parallelism: int = 4) -> Search:
+        if kind != "tree" and "alpha" in params:
+            raise ValueError("alpha prunes single trees")
+        groups.setdefault(repr(sorted((k, repr(v)) for k, v in params.items() if k not in shared)), []).append(i)
+    specs, places = [], {}
+    for g, members in enumerate(groups.values()):
+        first = dict(candidates[members[0]])
+        weights = by_weight[repr(first.pop("class_weight", None))]
+        if kind == "tree":
+            depths = [candidates[i].get("max_depth") for i in members]
+            first["max_depth"] = None if None in depths else max(depths)
+            first["min_split"] = min(candidates[i].get("min_split", 2) for i in members)
+            first.pop("alpha", None)
+        else:
+            first["trees"] = max(candidates[i].get("trees", FOREST_OPTIONS["trees"]) for i in members)
+        for fold in folds:
+            made = specs_of(kind, first, weights, n, len(specs), fold)
+            places |= {s.tree: (g, fold, j) for j, s in enumerate(made)}
+            specs += made
+    model = TreeModel(grown(base, specs), n)
+    score = _cut_scores if kind == "tree" else _forest_scores
+    values = score(base, model, list(groups.values()), candidates, places, metric)
+    return [[values[i, fold] for fold in folds] for i in range(len(candidates))]
+
+
+def _forest_scores(
+    base: DataFrame, model: TreeModel, groups: list[list[int]], candidates: Sequence[Mapping], places: dict[int, tuple[int, int, int]], metric: str
+) -> dict[tuple[int, int], float]:
+    size = lambda i: int(candidates[i].get("trees", FOREST_OPTIONS["trees"]))
+    scored = stage(prefix_scores(base, model, places, {g: sorted({size(i) for i in members}) for g, members in enumerate(groups)}))
+    keys = ("candidate", "size", "fold")
+    rows = METRICS[metric](scored, keys).collect()
+    found = {(r["candidate"], r["size"], r["fold"]): r[metric] for r in rows}
+    return {(i, fold): found[g, size(i), fold] for g, members in enumerate(groups) for i in members for fold in {f for _, f, _ in places.values()}}
+
+
+def _cut_scores(
+    base: DataFrame, model: TreeModel, groups: list[list[int]], candidates: Sequence[Mapping], places: dict[int, tuple[int, int, int]], metric: str
+) -> dict[tuple[int, int], float]:
+    """Scores of trees cut at every level asked for, from the counts of rows in the leaves of the whole trees."""
+    levels = {
+        g: [(i, candidates[i].get("max_depth"), candidates[i].get("min_split", 2), float(candidates[i].get("alpha", 0.0))) for i in members]
+        for g, members in enumerate(groups)
+    }
+    group_of = {t: g for t, (g, _, _) in places.items()}
+    shared = base.sparkSession.sparkContext.broadcast((levels, group_of))
+
+    def standing(batches):
+        """The score that each leaf's rows have at each level."""
+        levels, group_of = shared.value
+        for batch in batches:
+            for row in batch.itertuples():
+                tree, known = tree_of(row), {}
+                for candidate, depth, split, alpha in levels[group_of[row.tree]]:
+                    if (depth, split) not in known:
+                        deep = np.zeros(len(tree.left), bool) if depth is None else tree.depth >= depth
+                        cut = cut_tree(tree, deep | (tree.rows < split))
+                        known[depth, split] = cut, pruning_order(cut)[1]
+                    cut, closed = known[depth, split]
+                    owner = stands_for(tree, cut_tree(cut, closed <= alpha) if alpha > 0 else cut)
+                    leaf = np.flatnonzero(owner >= 0)
+                    yield pd.DataFrame({"tree": row.tree, "candidate": candidate, "leaf": leaf, "score": tree.value[owner[leaf]]})
+
+    fold_of = {t: fold for t, (_, fold, _) in places.items()}
+    counts = leaf_counts(base, model, fold_of)
+    rows = counts.join(model.table.mapInPandas(standing, "tree int, candidate int, leaf long, score double"), ["tree", "leaf"])
+    scored = rows.groupBy("candidate", "tree", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return {(r["candidate"], fold_of[r["tree"]]): r[metric] for r in level_metrics(scored, ["candidate", "tree"]).collect()}
+
+
+SEARCHES: dict[str, Callable] = {"logistic": logistic_search, "tree": tree_search, "forest": partial(tree_search, kind="forest")}
+
+
+def grid_search(df: DataFrame, kind: str, space: Mapping[str, Sequence], metric: str = "roc_auc") -> Search:
     """Every combination of the listed values."""
-    return search(df, kind, expand(space), metric, parallelism)
+    return search(df, kind, expand(space), metric)
 
 
 def draw(space: Mapping[str, object], n: int, seed: int) -> list[dict]:
@@ -338,14 +325,14 @@ def draw(space: Mapping[str, object], n: int, seed: int) -> list[dict]:
     return [{name: one(values) for name, values in space.items()} for _ in range(n)]
 
 
-def random_search(df: DataFrame, kind: str, space: Mapping[str, object], n: int = 20, metric: str = "roc_auc", seed: int = 42, parallelism: int = 4) -> Search:
+def random_search(df: DataFrame, kind: str, space: Mapping[str, object], n: int = 20, metric: str = "roc_auc", seed: int = 42) -> Search:
     """Cross-validated scores of random draws from the space."""
-    return search(df, kind, draw(space, n, seed), metric, parallelism)
+    return search(df, kind, draw(space, n, seed), metric)
 
 
 def halving_search(
     df: DataFrame, space: Mapping[str, object], n: int | None = None, low: int = 50, high: int = 500, factor: int = 2,
-    metric: str = "f2", seed: int = 42, parallelism: int = 4,
+    metric: str = "f2", seed: int = 42,
 ) -> Search:
     """Forests with a growing number of trees; each round keeps the best ``1/factor``.
 
@@ -356,7 +343,7 @@ def halving_search(
     found = Search()
     trees = low
     for step in range(rounds):
-        scored = search(df, "forest", [{**c, "trees": trees} for c in candidates], metric, parallelism)
+        scored = search(df, "forest", [{**c, "trees": trees} for c in candidates], metric)
         # the winner must come from the last round, the one with the most trees
         found = scored
         order = sorted(range(len(candidates)), key=lambda i: -scored.scores[i]["score"])
@@ -368,10 +355,15 @@ def halving_search(
     return found
 
 
-def best_fit(df: DataFrame, kind: str, found: Search) -> Model:
+def fit_params(df: DataFrame, kind: str, params: Mapping[str, object]) -> Model | TreeModel:
+    """A model of the kind with the parameters of a candidate, ``class_weight`` among them."""
+    params = dict(params)
+    spec = params.pop("class_weight", None)
+    if kind == "logistic":
+        return fit_l1_logistic(df, class_weight=spec, **params)
+    return _fit(kind, df, spec, params)
+
+
+def best_fit(df: DataFrame, kind: str, found: Search) -> Model | TreeModel:
     """Refit the best candidate on all rows, unpruned; score it with ``pruned_scores`` at its alpha."""
-    params = dict(found.best["params"])
-    params.pop("alpha", None)
-    rows = weighted(df, params.pop("class_weight", None))
-    total = weight_sum(rows) if kind == "logistic" else 1.0
-    return split_from(_estimator(kind, params, total).fit(rows), params.get("min_split", 2))
+    return fit_params(df, kind, {k: v for k, v in found.best["params"].items() if k != "alpha"})

@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.functions.tails import chi2_p, f_p, kolmogorov_p, normal_p, t_p, tukey_critical, tukey_p
+from wardlight.functions.tails import EXACT_DISTANCE, chi2_p, distance_p, f_p, kendall_p, t_p, tukey_critical, tukey_p
 from wardlight.operators.distributions import QUARTILES, numeric_cells
 from wardlight.operators.gram import pair_moments
-from wardlight.operators.ordered import average_ranks, long_values, quantiles, running_totals, value_counts
+from wardlight.operators.ordered import OFFSET_BITS, average_ranks, long_values, quantiles, range_offsets, running_totals, value_counts
 from wardlight.operators.outcomes import union_rows
 from wardlight.operators.quality import null_counts, top_per_group
 from wardlight.session import stage
 
 DIGIT_BITS = 3
+#: Dense ranks in one range of Kendall's running totals.
+RANGE_VALUES = 4096
 #: Pairs that one aggregate still holds well.
 NATIVE_PAIRS = 300
 COHORT_PAIRS = (("all", "first"), ("all", "repeated"), ("first", "repeated"))
@@ -121,7 +123,26 @@ def with_dense_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def corr_kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Kendall's tau-b of every pair, exact and pairwise complete.
+    """Kendall's tau-b of every pair, exact and pairwise complete."""
+    return _kendall_counts(df, cols).select("feature_a", "feature_b", "n", "correlation")
+
+
+def kendall_test(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Kendall's tau-b with its two-sided p: exact from the inversions of small samples without
+    ties, else normal with the variance that the ties leave."""
+    counts = _kendall_counts(df, cols)
+    n, m = F.col("n").cast("double"), F.col("n").cast("double") * (F.col("n") - 1)
+    variance = (
+        (m * (2 * n + 5) - F.col("tx_five") - F.col("ty_five")) / 18 + F.try_divide(2 * F.col("tx") * F.col("ty"), m)
+        + F.coalesce(F.try_divide(F.col("tx_three") * F.col("ty_three"), 9 * m * (n - 2)), F.lit(0.0))
+    )
+    swaps = (m / 2 - F.col("tx") - F.col("ty") + F.col("txy") - F.col("net")) / 2
+    p = F.when(F.col("correlation").isNotNull(), kendall_p(n, swaps, "net", variance, F.col("tx") + F.col("ty")))
+    return counts.select("feature_a", "feature_b", "n", "correlation", p.alias("p")).withColumn("significant", F.col("p") < 0.05)
+
+
+def _kendall_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Kendall's tau-b of every pair with ``net`` (concordant less discordant pairs) and sums over its ties.
 
     Rows are collapsed to counts of distinct (x, y) cells. Concordant pairs are counted
     level by level over the octal digits of x's dense rank: two cells belong to the level
@@ -153,14 +174,18 @@ def corr_kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     leveled = counts.select("pair", "x", "y", "w", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
     sides = leveled.select(
         "pair", "level", F.expr(f"shiftright(x, {DIGIT_BITS} * (level + 1))").alias("prefix"),
-        F.expr("shiftright(y, 12)").alias("range"), F.col("y").alias("value"), "w",
+        F.floor(F.col("y") / RANGE_VALUES).cast("long").alias("range"), F.col("y").alias("value"), "w",
         F.expr(f"shiftright(x, {DIGIT_BITS} * level) & {2**DIGIT_BITS - 1}").alias("digit"),
     )
     weights = [f"w{d}" for d in range(2**DIGIT_BITS)]
     merged = sides.groupBy("pair", "level", "prefix", "range", "value").agg(
         *[F.coalesce(F.sum(F.when(F.col("digit") == d, F.col("w"))), F.lit(0)).alias(name) for d, name in enumerate(weights)]
     )
-    running = running_totals(merged, ["pair", "level", "prefix"], weights[:-1])
+    keys = ["pair", "level", "prefix"]
+    # the ranges of the largest rank, in digits: no window of offsets has more rows than one digit has values
+    ranges = max(int(largest[c] or 0) for c in cols) // RANGE_VALUES + 1
+    depth = max(1, ceil(ranges.bit_length() / OFFSET_BITS))
+    running = running_totals(merged, keys, weights[:-1], offsets=range_offsets(merged, keys, weights[:-1], depth=depth))
     smaller = F.lit(0)
     product = F.lit(0.0)
     for low, high in zip(weights, weights[1:]):
@@ -170,7 +195,8 @@ def corr_kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     def ties(grouped: DataFrame, name: str) -> DataFrame:
         w = F.col("w").cast("double")
-        return grouped.groupBy("pair").agg(F.sum(w * (w - 1) / 2).alias(name))
+        sums = {name: w * (w - 1) / 2, f"{name}_three": w * (w - 1) * (w - 2), f"{name}_five": w * (w - 1) * (2 * w + 5)}
+        return grouped.groupBy("pair").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
 
     totals = counts.groupBy("pair").agg(F.sum("w").alias("n"))
     tx = ties(counts.groupBy("pair", "x").agg(F.sum("w").alias("w")), "tx")
@@ -181,7 +207,8 @@ def corr_kendall(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     net = 2 * F.col("c") - (n0 - F.col("tx") - F.col("ty") + F.col("txy"))
     tau = F.try_divide(net, F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))))
     names = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for _, a, b, *_ in pairs])
-    return joined.select(names[F.col("pair")].alias("name"), "n", tau.alias("correlation")).select("name.*", "n", "correlation")
+    kept = [f"{t}{s}" for t in ("tx", "ty") for s in ("", "_three", "_five")]
+    return joined.select(names[F.col("pair")].alias("name"), "n", tau.alias("correlation"), net.alias("net"), "txy", *kept).select("name.*", "*").drop("name")
 
 
 METHODS = {"pearson": corr_pearson, "spearman": corr_spearman, "kendall": corr_kendall}
@@ -215,13 +242,11 @@ def strong_pairs(pairs: DataFrame, threshold: float = 0.3, first: int | None = N
     return ordered.filter(F.abs("correlation") > threshold)
 
 
-def correlation_test(pairs: DataFrame, method: str = "pearson") -> DataFrame:
-    """p-value and significance of each pair, from its own number of complete rows."""
+def correlation_test(pairs: DataFrame) -> DataFrame:
+    """p-value and significance of each pair of Pearson or Spearman, from its own number of complete
+    rows; :func:`kendall_test` is that of Kendall."""
     r, n = F.col("correlation"), F.col("n").cast("double")
-    if method == "kendall":
-        p = normal_p(r / F.sqrt((4 * n + 10) / (9 * n * (n - 1))))
-    else:
-        p = t_p(F.try_divide(r * F.sqrt(n - 2), F.sqrt(1 - r * r)), n - 2)
+    p = t_p(F.try_divide(r * F.sqrt(n - 2), F.sqrt(1 - r * r)), n - 2)
     return pairs.withColumn("p", p).withColumn("significant", F.col("p") < 0.05)
 
 
@@ -463,9 +488,9 @@ def cohort_value_counts(rows: DataFrame, features: Sequence[str], cohorts: Seque
 
 
 def ks_two_sample(
-    rows: DataFrame, features: Sequence[str], pairs: Sequence[tuple[str, str]] = COHORT_PAIRS
+    rows: DataFrame, features: Sequence[str], pairs: Sequence[tuple[str, str]] = COHORT_PAIRS, exact_up_to: int = EXACT_DISTANCE
 ) -> DataFrame:
-    """Largest distance of two cohorts' distribution functions, asymptotic p-value."""
+    """Largest distance of two cohorts' distribution functions; p is exact where neither has more than ``exact_up_to`` rows, else asymptotic."""
     cohorts = sorted({c for p in pairs for c in p})
     running = running_totals(cohort_value_counts(rows, features, cohorts), ["feature"], cohorts)
 
@@ -479,12 +504,12 @@ def ks_two_sample(
     cells = [
         F.struct(
             F.lit(a).alias("cohort_a"), F.lit(b).alias("cohort_b"), F.col(f"d{i}").alias("statistic"),
-            F.sqrt(F.col(a) * F.col(b) / (F.col(a) + F.col(b))).alias("scale"),
+            F.col(a).alias("n_a"), F.col(b).alias("n_b"),
         )
         for i, (a, b) in enumerate(pairs)
     ]
     tests = one.select("feature", F.inline(F.array(*cells)))
-    tested = tests.withColumn("p", kolmogorov_p(F.col("statistic") * F.col("scale"))).drop("scale")
+    tested = tests.withColumn("p", distance_p("statistic", "n_a", "n_b", F.lit(float(exact_up_to)))).drop("n_a", "n_b")
     return tested.withColumn("significant", F.col("p") < 0.05)
 
 

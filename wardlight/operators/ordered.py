@@ -136,11 +136,30 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     return long_values(df, columns, by).groupBy(*by, "feature", "range", "value").agg(F.count("*").alias("n"))
 
 
+#: Ranges that one window of offsets adds up, as a power of two.
+OFFSET_BITS = 12
+
+
 def range_offsets(
-    counts: DataFrame, keys: Sequence[str], measures: Sequence[str], range_col: str = "range"
+    counts: DataFrame, keys: Sequence[str], measures: Sequence[str], range_col: str = "range", depth: int = 1
 ) -> DataFrame:
-    """Per key and range: the sum of each measure in earlier ranges, here, and over all."""
+    """Per key and range: the sum of each measure in earlier ranges, here, and over all.
+
+    With a ``depth`` above 1 the ranges, whole numbers from 0, are added up in that many digits of
+    ``OFFSET_BITS`` bits, so that no window holds more rows than a digit has values.
+    """
     totals = counts.groupBy(*keys, range_col).agg(*[F.sum(m).alias(m) for m in measures])
+    if depth > 1:
+        group = f"{range_col}__group"
+        grouped = totals.withColumn(group, F.floor(F.col(range_col) / (1 << OFFSET_BITS)).cast("long"))
+        upper = range_offsets(grouped, keys, measures, group, depth - 1).drop(*[f"inside_{m}" for m in measures])
+        before = W.partitionBy(*keys, group).orderBy(range_col).rowsBetween(W.unboundedPreceding, -1)
+        inside = grouped.withColumns({f"__before_{m}": F.coalesce(F.sum(m).over(before), F.lit(0)) for m in measures})
+        joined = null_safe_join(inside, upper, [*keys, group])
+        return joined.select(
+            *keys, range_col, *[(F.col(f"offset_{m}") + F.col(f"__before_{m}")).alias(f"offset_{m}") for m in measures],
+            *[F.col(m).alias(f"inside_{m}") for m in measures], *[f"total_{m}" for m in measures],
+        )
     ordered = W.partitionBy(*keys).orderBy(range_col)
     earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)

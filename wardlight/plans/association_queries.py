@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from wardlight.operators import association, cohorts
 from wardlight.plans.registry import query
 from wardlight.plans.tables import rounded
-from wardlight.plans.views import e1, e2, with_views
+from wardlight.plans.views import e1, e2, table, with_views
 
 COLS = ["quantity", "price", "discount", "tax"]
 RANKS = ", ".join(
@@ -88,6 +90,67 @@ def corr_pairs_test(spark, folder):
     return rounded(association.correlation_test(pairs))
 
 
+# The normal tail is integrated on an even grid (Simpson's rule).
+NORMAL_TAIL = ("1 - 2 * abs(z) / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(2001), lambda i: "
+               "(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (z * i / 2000) ** 2)))")
+
+
+def _tie_sums(c: str) -> str:
+    return f"SELECT sum(w * (w - 1) / 2) AS one, sum(w * (w - 1) * (w - 2)) AS three, sum(w * (w - 1) * (2 * w + 5)) AS five FROM (SELECT CAST(count(*) AS DOUBLE) AS w FROM e2 GROUP BY {c})"
+
+
+def _kendall_test_sql(a: str, b: str) -> str:
+    return f"""
+SELECT k.feature_a, k.feature_b, k.n, k.correlation, round({NORMAL_TAIL}, 6) AS p, {NORMAL_TAIL} < 0.05 AS significant
+FROM (SELECT k.*, raw * sqrt((n0 - x.one) * (n0 - y.one))
+        / sqrt((2 * n0 * (2 * n + 5) - x.five - y.five) / 18 + x.one * y.one / n0 + x.three * y.three / (18 * n0 * (n - 2))) AS z
+      FROM (SELECT *, round(raw, 6) AS correlation, n::DOUBLE * (n - 1) / 2 AS n0 FROM ({_kendall_sql(a, b).replace(', 6) AS correlation', ', 15) AS raw')})) k,
+        ({_tie_sums(a)}) x, ({_tie_sums(b)}) y) k"""
+
+
+@query("corr_kendall_test", with_views("e2", " UNION ALL ".join(_kendall_test_sql(a, b) for a, b in combinations(KCOLS, 2))))
+def corr_kendall_test(spark, folder):
+    return rounded(association.kendall_test(e2(spark, folder), KCOLS))
+
+
+# Mean balances by nation: 25 rows without ties. The orders with few inversions are counted value by value.
+@query("kendall_exact", """
+WITH RECURSIVE means AS (
+  SELECT n_nationkey, avg(c_acctbal) AS customers, (SELECT avg(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers
+  FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey
+), kept AS (SELECT * FROM means WHERE customers IS NOT NULL AND suppliers IS NOT NULL
+), pairs AS (
+  SELECT count(*) FILTER ((p.customers - q.customers) * (p.suppliers - q.suppliers) < 0) // 2 AS swaps, count(DISTINCT p.n_nationkey) AS n FROM kept p, kept q
+), few AS (SELECT n, swaps, least(swaps, n * (n - 1) // 2 - swaps) AS few FROM pairs
+), orders AS (
+  SELECT n, swaps, few, 1 AS m, list_transform(range(0, few + 1), lambda j: CASE WHEN j = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS share FROM few
+  UNION ALL
+  SELECT n, swaps, few, m + 1, list_transform(range(0, few + 1), lambda j: list_sum(share[greatest(j - m, 0) + 1 : j + 1]) / (m + 1)) FROM orders WHERE m < n
+)
+SELECT 'customers' AS feature_a, 'suppliers' AS feature_b, n, round(1 - 4.0 * swaps / (n * (n - 1)), 6) AS correlation,
+       round(least(1.0, 2 * list_sum(share)), 6) AS p, least(1.0, 2 * list_sum(share)) < 0.05 AS significant FROM orders WHERE m = n""")
+def kendall_exact(spark, folder):
+    """Mean balances of customers and suppliers by nation: exact p."""
+    means = [
+        table(spark, folder, t).groupBy(F.col(f"{t[0]}_nationkey").alias("nation")).agg(F.avg(f"{t[0]}_acctbal").alias(f"{t}s")) for t in ("customer", "supplier")
+    ]
+    return rounded(association.kendall_test(means[0].join(means[1], "nation"), ["customers", "suppliers"]))
+
+
+@query("corr_spearman_test", with_views("e1", """
+, k AS (SELECT rank() OVER (ORDER BY amount) + (count(*) OVER (PARTITION BY amount) - 1) / 2.0 AS a, rank() OVER (ORDER BY balance) + (count(*) OVER (PARTITION BY balance) - 1) / 2.0 AS b
+        FROM e1 WHERE amount IS NOT NULL AND balance IS NOT NULL),
+c AS (SELECT 'amount' AS feature_a, 'balance' AS feature_b, count(*) AS n, corr(a, b) AS r FROM k),
+t AS (SELECT *, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM c),
+g AS (SELECT unnest(range(2001)) AS i),
+s AS (SELECT feature_a, feature_b, n, r, sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+        * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi())
+        * (1 + (t * i / 2000.0) ** 2 / (n - 2)) ** (-(n - 1) / 2.0)) * t / 6000.0 AS half FROM t, g GROUP BY feature_a, feature_b, n, r, t)
+SELECT feature_a, feature_b, n, round(r, 6) AS correlation, round(1 - 2 * half, 6) AS p, 1 - 2 * half < 0.05 AS significant FROM s"""))
+def corr_spearman_test(spark, folder):
+    return rounded(association.correlation_test(association.corr_spearman(e1(spark, folder), ["amount", "balance"])))
+
+
 @query("linear_fit", with_views("e2", " UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, 0.0 + round(regr_slope({b}, {a}), 6) AS slope, 0.0 + round(regr_intercept({b}, {a}), 6) AS intercept, "
     f"min({a}) AS from_x, max({a}) AS to_x FROM e2" for a, b in combinations(COLS, 2))))
@@ -218,7 +281,39 @@ z AS (SELECT *, d * scale AS z FROM d)
 SELECT feature, cohort_a, cohort_b, round(d, 6) AS statistic, CASE WHEN z <= 0.1 THEN 1.0 ELSE round({KS_TAIL}, 6) END AS p,
        CASE WHEN z <= 0.1 THEN false ELSE {KS_TAIL} < 0.05 END AS significant FROM z"""))
 def ks_two_sample(spark, folder):
-    return rounded(association.ks_two_sample(flagged(spark, folder), ["amount", "balance"]))
+    return rounded(association.ks_two_sample(flagged(spark, folder), ["amount", "balance"], exact_up_to=0))
+
+
+REGION_PAIRS = list(combinations(["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], 2))
+
+
+# The exact p: shares of the lattice paths that have been far out, one diagonal after the other.
+@query("ks_exact", f"""
+WITH RECURSIVE v AS (
+  SELECT r_name AS cohort, s_acctbal AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+), pairs(cohort_a, cohort_b) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in REGION_PAIRS)}
+), steps AS (
+  SELECT cohort_a, cohort_b, v, sum(a) OVER w AS fa, sum(b) OVER w AS fb, sum(a) OVER (PARTITION BY cohort_a, cohort_b) AS na, sum(b) OVER (PARTITION BY cohort_a, cohort_b) AS nb
+  FROM (SELECT cohort_a, cohort_b, v, count(*) FILTER (cohort = cohort_a) AS a, count(*) FILTER (cohort = cohort_b) AS b FROM v, pairs WHERE cohort IN (cohort_a, cohort_b) GROUP BY 1, 2, 3)
+  WINDOW w AS (PARTITION BY cohort_a, cohort_b ORDER BY v)
+), d AS (
+  SELECT cohort_a, cohort_b, max(na)::INT AS na, max(nb)::INT AS nb, max(abs(fa * nb - fb * na))::BIGINT AS far FROM steps GROUP BY 1, 2
+), walk AS (
+  SELECT cohort_a, cohort_b, na, nb, far, 0 AS s, [0.0::DOUBLE] AS share FROM d
+  UNION ALL
+  SELECT cohort_a, cohort_b, na, nb, far, s + 1, list_transform(range(0, na + 1), lambda i:
+    CASE WHEN i > s + 1 OR s + 1 - i > nb THEN 0.0
+         WHEN abs(i * nb - (s + 1 - i) * na) >= far THEN 1.0
+         ELSE i::DOUBLE / (s + 1) * coalesce(CASE WHEN i > 0 THEN share[i] END, 0.0) + (s + 1 - i)::DOUBLE / (s + 1) * coalesce(share[i + 1], 0.0) END)
+  FROM walk WHERE s < na + nb
+)
+SELECT 'balance' AS feature, cohort_a, cohort_b, round(far / (na * nb), 6) AS statistic, round(share[na + 1], 6) AS p, share[na + 1] < 0.05 AS significant
+FROM walk WHERE s = na + nb""")
+def ks_exact(spark, folder):
+    """Supplier balances of every two regions: small samples, exact p."""
+    supplier, nation, region = (table(spark, folder, t) for t in ("supplier", "nation", "region"))
+    rows = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
+    return rounded(association.ks_two_sample(rows.selectExpr("r_name AS cohort", "s_acctbal AS balance"), ["balance"], REGION_PAIRS))
 
 
 # Three cohorts: two degrees of freedom, so the tail is exp(-H / 2).

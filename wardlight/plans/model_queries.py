@@ -1,4 +1,4 @@
-"""Queries: fitted models over five folds. Searches run parts of the spaces of ``train``; the whole spaces are arguments."""
+"""Queries: fitted models, and searches of the whole spaces of ``train``, over five folds."""
 
 from __future__ import annotations
 
@@ -61,14 +61,18 @@ def logistic_l1(spark, folder):
 
 @query("logistic_grid")
 def logistic_grid(spark, folder):
-    space = {"c": train.LOGISTIC_SPACE["c"], "class_weight": ["balanced", {0: 1.0, 1: 2.0}]}
-    return train.grid_search(training(parts(spark, folder)), "logistic", space, "roc_auc").table(spark)
+    return train.grid_search(training(parts(spark, folder)), "logistic", train.LOGISTIC_SPACE, "roc_auc").table(spark)
+
+
+@query("logistic_grid_f2")
+def logistic_grid_f2(spark, folder):
+    return train.grid_search(training(parts(spark, folder)), "logistic", train.LOGISTIC_SPACE, "f2").table(spark)
 
 
 @query("tree_fit")
 def tree_fit(spark, folder):
     rows = parts(spark, folder)
-    return evaluate.classification_report(scored(train.fit_tree(training(rows), max_depth=6), holdout(rows)))
+    return evaluate.classification_report(scored(train.fit_tree(training(rows)), holdout(rows)))
 
 
 @query("prune_path")
@@ -80,32 +84,39 @@ def prune_path(spark, folder):
 
 @query("tree_grid")
 def tree_grid(spark, folder):
-    space = {**train.TREE_SPACE, "max_depth": [5], "min_leaf": [4], "class_weight": ["balanced"]}
+    """Every tree of the space at every class weight and pruning level."""
+    space = train.with_alphas({**train.TREE_SPACE, "class_weight": train.CLASS_WEIGHTS}, 0.001)
     return train.grid_search(training(parts(spark, folder)), "tree", space, "f2").table(spark)
 
 
 @query("tree_alpha_grid")
 def tree_alpha_grid(spark, folder):
-    space = train.with_alphas({"max_depth": [5], "class_weight": ["balanced"]}, 0.001)
+    space = {**train.with_alphas(train.TREE_SPACE, 0.001), "class_weight": ["balanced"]}
     return train.grid_search(training(parts(spark, folder)), "tree", space, "roc_auc").table(spark)
 
 
 @query("forest_fit")
 def forest_fit(spark, folder):
-    model = train.fit_forest(training(parts(spark, folder)), trees=100, max_depth=6, feature_share=0.5)
+    model = train.fit_forest(training(parts(spark, folder)), trees=100)
     return train.tree_shape(spark, model)
 
 
 @query("random_search")
 def random_search(spark, folder):
-    space = {**train.FOREST_SPACE, "trees": (10, 20), "max_depth": (4, 7), "class_weight": ["balanced"]}
-    return train.random_search(training(parts(spark, folder)), "forest", space, 3, "f2").table(spark)
+    space = {**train.FOREST_SPACE, "class_weight": ["balanced"]}
+    return train.random_search(training(parts(spark, folder)), "forest", space, 20, "f2").table(spark)
+
+
+@query("random_search_tight")
+def random_search_tight(spark, folder):
+    space = {**train.FOREST_TIGHT_SPACE, "trees": (100, 500)}
+    return train.random_search(training(parts(spark, folder)), "forest", space, 30, "f2").table(spark)
 
 
 @query("halving_search")
 def halving_search(spark, folder):
-    space = {**train.FOREST_HALVING_SPACE, "max_depth": (4, 7), "class_weight": ["balanced"]}
-    return train.halving_search(training(parts(spark, folder)), space, 4, low=3, high=12).table(spark)
+    space = {**train.FOREST_HALVING_SPACE, "class_weight": ["balanced"]}
+    return train.halving_search(training(parts(spark, folder)), space, low=50, high=500).table(spark)
 
 
 @query("cv_score")
@@ -126,7 +137,7 @@ def drop_weakest(spark, folder):
 def rfe_cv(spark, folder):
     rows = training(parts(spark, folder))
     params = {"max_depth": 3, "class_weight": "balanced"}
-    _, history = select.rfe_cv(rows, "tree", params, FEATURES, step=0.34, min_features=2)
+    _, history = select.rfe_cv(rows, "tree", params, FEATURES, step=0.05)
     return select.rfe_table(spark, history)
 
 
@@ -144,7 +155,7 @@ def coefficient_summary(spark, folder):
 
 @query("importance_table")
 def importance_table(spark, folder):
-    model = train.fit_forest(training(parts(spark, folder)), trees=10, max_depth=5)
+    model = train.fit_forest(training(parts(spark, folder)), trees=100, max_depth=10)
     return select.importance_table(spark, model, FEATURES)
 
 
@@ -152,7 +163,7 @@ def importance_table(spark, folder):
 def model_threshold(spark, folder):
     """Threshold chosen on validation rows, reported on test rows."""
     rows = parts(spark, folder)
-    model = train.fit_forest(training(rows), trees=10, max_depth=5)
+    model = train.fit_forest(training(rows), trees=100, max_depth=10)
     sweep = evaluate.threshold_sweep(scored(model, holdout(rows, "validation")))
     chosen = evaluate.pick_threshold(sweep, "combined", weights=(0.7, 0.3)).first()["threshold"]
     return evaluate.compare_models({"default": (scored(model, holdout(rows)), 0.5), "chosen": (scored(model, holdout(rows)), chosen)})
@@ -186,5 +197,5 @@ def lowess_trend(spark, folder):
 @query("representative_tree")
 def representative_tree(spark, folder):
     rows = parts(spark, folder)
-    model = train.fit_forest(training(rows), trees=10, max_depth=4)
+    model = train.fit_forest(training(rows), trees=100, max_depth=10)
     return explain.representative_tree(model, training(rows))
