@@ -83,7 +83,7 @@ def test_colliding_fingerprints_are_told_apart():
     block = collocations.Block([0, 12], ["en", "fr"], [b"a b a c a b", b"a b"])
     block.hashes[:] = 7  # all words collide
     entries = dict(collocations.gram_entries(block, [1, 2]))
-    starts = {int(s): i for i, s in enumerate(block.places)}
+    starts = {int(s): i for i, s in enumerate(block.starts)}
     text = block.data.tobytes()
     word = lambda i: text[block.starts[i] : block.ends[i]].decode()
     for n, want in ((1, {("a", 0): 3, ("b", 0): 2, ("c", 0): 1, ("a", 1): 1, ("b", 1): 1}), (2, {("a b", 0): 2, ("b a", 0): 1, ("a c", 0): 1, ("c a", 0): 1, ("a b", 1): 1})):

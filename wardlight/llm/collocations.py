@@ -47,7 +47,7 @@ TASK_BYTES = 16 << 20
 #: Bits of a range number that one shuffle adds.
 SHUFFLE_BITS = 12
 ENTRIES_AT_ONCE = 2_000_000
-HASH_WORDS, CHECK_WORDS = 100_000, 200_000
+HASH_WORDS, CHECK_WORDS = 100_000, 100_000
 #: The filter has 16 bits for each fingerprint, within these numbers of bits (as powers of two).
 FILTER_BITS = (16, 28)
 
@@ -139,16 +139,21 @@ class Block:
         self.at = np.array(at, np.int64)
         first = int(self.at[0])
         self.data = _lower[np.frombuffer(b"\n".join(texts), np.uint8)]
+        # numbers of 32 bits throughout: a block has some bytes for each of its words, times a few arrays
         kind = _kind[self.data]
-        edges = np.flatnonzero(np.diff(np.concatenate([[1], kind, [1]]) == 0))  # from or to a word
-        self.starts, self.ends = edges[::2], edges[1::2]
-        piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts] if len(self.starts) else np.zeros(0, np.int32)
+        edge = np.zeros(len(kind) + 1, bool)  # from or to a word
+        edge[1:-1] = (kind[1:] == 0) != (kind[:-1] == 0)
+        edge[0], edge[-1] = kind[:1].tolist() == [0], kind[-1:].tolist() == [0]
+        edges = np.flatnonzero(edge).astype(np.int32)
+        del edge
+        self.starts, self.ends = edges[::2].copy(), edges[1::2].copy()
+        piece = np.searchsorted(np.flatnonzero(kind == 2).astype(np.int32), self.starts).astype(np.int32)
+        del kind, edges
         self.follows = piece[1:] == piece[:-1]  # word i + 1 is in the piece of word i
         names, codes = np.unique(np.array(langs, object).astype(str), return_inverse=True)
-        row = np.searchsorted(self.at - first, self.starts, "right") - 1
-        self.lang = codes[row].astype(np.int32)
+        self.lang = codes.astype(np.int16 if len(names) < 1 << 15 else np.int32)[np.searchsorted((self.at - first).astype(np.int32), self.starts, "right") - 1]
         self.seed = np.array([xxhash.xxh64_intdigest(n) for n in names.tolist()], np.uint64)
-        self.places = (self.starts + first).astype(np.int64)
+        self.first_place = first
         self.hashes = np.zeros(len(self.starts), np.uint64)
         for a in range(0, len(self.starts), HASH_WORDS):
             s, e = self.starts[a : a + HASH_WORDS], self.ends[a : a + HASH_WORDS]
@@ -160,7 +165,7 @@ class Block:
         inside = np.ones(max(len(self.starts) - n + 1, 0), bool)
         for k in range(n - 1):
             inside &= self.follows[k : k + len(inside)]
-        first = np.flatnonzero(inside)
+        first = np.flatnonzero(inside).astype(np.int32)
         return first, stirred(stretches(self.hashes, first, first + n) + self.seed[self.lang[first]] + np.uint64(n))
 
     def same_words(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,13 +182,23 @@ class Block:
         return same
 
 
+def by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(first, member)``: one place of each key, and the number of each place's key."""
+    order = np.argsort(keys).astype(np.int32)
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[order[1:]], keys[order[:-1]], out=new[1:])
+    member = np.empty(len(keys), np.int32)
+    member[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], member
+
+
 def classes(keys: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """``(first, member)``: one place of each class, and the class of each place. Equal keys that are not the ``same`` part."""
-    _, first, member = np.unique(keys, return_index=True, return_inverse=True)
-    places = np.arange(len(keys))
+    first, member = by_key(keys)
+    places = np.arange(len(keys), dtype=np.int32)
     left = places[~same(places, first[member])]
     while len(left):  # collisions: what differs from the first of its key is classed anew
-        _, again, inside = np.unique(keys[left], return_index=True, return_inverse=True)
+        again, inside = by_key(keys[left])
         member[left] = len(first) + inside
         first = np.concatenate([first, left[again]])
         left = left[~same(left, left[again][inside])]
@@ -213,7 +228,7 @@ def gram_entries(block: Block, sizes: Sequence[int], passes: Callable[[np.ndarra
             return reduce(np.logical_and, [word[first[a] + k] == word[first[b] + k] for k in range(n)])
 
         one, member = (first_word, word) if n == 1 else classes(prints, same)
-        yield n, (prints[one], np.bincount(member, minlength=len(one)), block.places[first[one]])
+        yield n, (prints[one], np.bincount(member, minlength=len(one)).astype(np.int32), block.starts[first[one]] + block.first_place)
 
 
 # ---- packed entries ----
@@ -285,8 +300,10 @@ def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list,
     """``(block, at, langs, texts as bytes)`` of rows that follow each other in one block."""
     number, held = None, ([], [], [])
     for batch in batches:
-        columns = [batch.column("block").to_pylist(), batch.column("at").to_pylist(), batch.column("lang").to_pylist()]
-        for block, at, lang, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist()):
+        # row by row: a batch may hold many blocks
+        columns = [batch.column(c) for c in ("block", "at", "lang")] + [batch.column("text").cast(pa.binary())]
+        for i in range(batch.num_rows):
+            block, at, lang, text = (c[i].as_py() for c in columns)
             # rows of a block that do not join on begin a part of their own
             if held[0] and (block != number or at != held[0][-1] + len(held[2][-1]) + 1):
                 yield number, *held
