@@ -76,3 +76,13 @@ def test_empty_tables_and_kept_columns(make):
     kept = contamination.without_contaminated(docs.drop("n_words", "items"), make([(1, "a b")], "item_id long, text string"))
     assert [r.doc_id for r in kept.collect()] == [2]
     assert contamination.without_contaminated(docs, none).columns == docs.columns
+
+
+def test_columns_named_like_results_are_kept(spark, make):
+    docs = make(
+        [(1, "a b c", "mine", ["q"], 7, [1.5]), (2, "x y", None, None, None, None), (3, None, "m", [], 0, [])],
+        "doc_id long, text string, N_words string, items array<string>, n_hit int, Hit_Spans array<double>",
+    )
+    kept = contamination.without_contaminated(docs, make([(1, "x y")], "item_id long, text string"))
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id != 2)

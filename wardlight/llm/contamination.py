@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import written
+
 WINDOW = 13
 BLOCK = 2
 TABLE_BITS = 16
@@ -211,15 +213,17 @@ def benchmark_hits(
 
     Null texts have no words. Items without words match nothing; a null item id counts as
     an item named ``""``. Repeated rows each keep a row; items with equal ids are one item.
-    Empty tables give an empty table, or no hits. Columns of ``docs`` named like a result are
-    replaced.
+    Empty tables give an empty table, or no hits. A text of any length is searched whole. Columns
+    of ``docs`` named like a result are replaced. Items beyond one block are searched in further
+    passes, each written before the next, so a task holds the searchers of one block.
     """
     context = docs.sparkSession.sparkContext
     names = {"n_words", "hit_spans", "items"}
     out = docs.drop(*[c for c in docs.columns if c.lower() in names])
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast("array<long>"), "items": F.lit(None).cast("array<string>")})
     blocks = list(item_blocks_broadcast(context, items, item_id, item_text)) or [context.broadcast([])]
-    for block in blocks:
+    for i, block in enumerate(blocks):
+        out = written(out, "contamination-pass") if i else out
         out = out.mapInArrow(block_pass(block, text_col, window), out.schema)
     return out
 
@@ -276,6 +280,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, whose text is not contaminated."""
-    hits = benchmark_hits(docs, items, text_col).withColumn("n_hit", n_hit())
-    return hits.filter(~is_contaminated()).select(*docs.columns)
+    """Rows of ``docs``, all columns as they are whatever their names, whose text is not contaminated.
+
+    Null and empty texts have no words and stay; repeated rows are judged each; an empty table or
+    empty ``items`` leave all rows; a text of any length is judged whole.
+    """
+    numbered = docs.toDF(*[f"column_{i}" for i in range(len(docs.columns))])
+    hits = benchmark_hits(numbered, items, f"column_{docs.columns.index(text_col)}").withColumn("n_hit", n_hit())
+    return hits.filter(~is_contaminated()).select(*numbered.columns).toDF(*docs.columns)
