@@ -57,11 +57,43 @@ def tangle(seed):
 def test_shared_passages_and_edges(make, seed):
     docs = tangle(seed)
     # Blocks, pieces and batches of a few units: nothing may be lost at their edges.
-    limits = substrings.Limits(300, 120, 20) if seed >= 2 else substrings.Limits()
+    limits = substrings.Limits(300, 120, 20, hot=[10_000, 3][seed % 2]) if seed >= 2 else substrings.Limits(hot=[10_000, 0][seed % 2])
     got = sorted(map(tuple, substrings.repeated_passages(make(docs), limits=limits).collect()), key=str)
     assert got == brute(docs)
 
 
+def test_one_phrase_in_ever_new_surroundings_is_dealt_out(make):
+    """No task gathers the units of a hot anchor, and the result is that of all windows."""
+    rng = random.Random(7)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrase = line(20)
+    docs = [(i, line(rng.randint(40, 90)) + phrase + line(rng.randint(40, 90))) for i in range(300)]
+    docs += [(300 + i, docs[i][1][20:130]) for i in range(0, 300, 9)]
+    for hot in (20, 10_000):
+        limits = substrings.Limits(block_bytes=4000, hot=hot)
+        got = substrings.repeated_passages(make(docs), limits=limits)
+        assert sorted(map(tuple, got.collect()), key=str) == brute(docs)
+    base = make([(i, i, t) for i, t in docs], "row long, id long, text string")
+    entries = base.coalesce(1).mapInArrow(substrings.anchor_entries(1, limits), substrings.ENTRIES).coalesce(1)
+    sizes = []
+    for hot in (20, 10_000):
+        limits = substrings.Limits(block_bytes=4000, hot=hot)
+        answers = entries.mapInArrow(substrings.shared_anchors(limits), "block long, count long, body binary")
+        codes = substrings.by_block(answers).mapInArrow(substrings.codes_by_row, "row long, codes binary").groupBy("row").agg(substrings.F.collect_list("codes").alias("codes"))
+        units = base.join(codes, "row").coalesce(1).mapInArrow(substrings.unit_entries(1, limits), f"{substrings.ENTRIES}, text binary")
+        codes = [substrings.unpacked(r.body, r["count"], "<i8", "<i8", "<i8", "<u8", "u1")[3] for r in units.filter("not known").collect()]
+        sizes.append(int(np.unique(np.concatenate(codes), return_counts=True)[1].max()))
+    assert sizes[0] <= 30 < 100 < sizes[1]
+
+
+def test_a_long_text(make):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcd ") for _ in range(60_000))
+    docs = [(1, long), (2, "x" + long[1000:50_000] + "y"), (3, None)]
+    limits = substrings.Limits(block_bytes=20_000, piece_bytes=9_000)
+    assert sorted(map(tuple, substrings.repeated_passages(make(docs), limits=limits).collect()), key=str) == brute(docs)
+
+
 def test_empty_table(make):
     assert substrings.repeated_passages(make([])).count() == 0
 

@@ -13,6 +13,11 @@ have equal anchors, so only windows of anchors that occur in two texts can repea
 Anchors that many texts of a block share are settled within the block: one entry stands for all in
 step 1, and in step 2 units that equal a unit of a smaller document of the block are decided there.
 So what a task gets for one passage grows with the number of blocks, not of documents.
+
+An anchor that more texts share than ``Limits.hot`` may stand in ever different surroundings, and
+its units are then as many as the texts. Its windows go out one by one instead, each to the task of
+its own hash, after those that a smaller document of the block holds too are decided there: equal
+windows still meet, and the rest of the anchor's windows is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -42,7 +47,10 @@ class Limits:
 
     block_bytes: int = 2 << 20  # text of a block
     piece_bytes: int = 4 << 20  # the longest piece of one text; with a block below 2 ** PLACE_BITS
-    units: int = 30_000  # units resolved together (one anchor's units are never parted)
+    units: int = 30_000  # units resolved together
+    hot: int = 10_000  # texts that share an anchor, from which its windows are dealt out one by one
+    part_bytes: int = 16 << 20  # text whose anchors and units one task gathers
+    most_parts: int = 4096  # a block's entries are cut into so many at most
 
 
 CHUNK = 1 << 18
@@ -144,6 +152,8 @@ def by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 MANY = -1
+#: Marks the code of a hot anchor; codes have 48 bits.
+HOT = np.uint64(1 << 63)
 ENTRIES = "key int, block long, count long, known boolean, body binary"
 
 
@@ -168,38 +178,49 @@ def anchor_entries(parts: int, limits: Limits):
             for part, at in by_value(sent_code % np.uint64(parts)):
                 at = at[np.argsort(sent_row[at], kind="stable")]
                 keys.append(int(part)), counts.append(len(at)), known.append(False)
-                bodies.append(packed(steps(sent_row[at]), sent_code[at]))
+                bodies.append(packed(steps(sent_row[at]), sent_code[at], times[at].astype("<i4")))
             yield batch_of(key=keys, block=[name] * len(keys), count=counts, known=known, body=bodies)
 
     return run
 
 
-def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, reduce: for each block the ``(row, code)`` of anchors that occur in two texts."""
-    names, all_rows, all_codes = [], [], []
-    for batch in batches:
-        for name, count, known, body in zip(*(batch.column(c).to_pylist() for c in ("block", "count", "known", "body"))):
-            if known:
-                yield batch_of(block=[name], count=[count], body=[body])
-                continue
-            rows, codes = unpacked(body, count, "<i8", "<u8")
-            names.append(np.full(count, name, np.int64))
-            all_rows.append(np.cumsum(rows))
-            all_codes.append(codes)
-    if not names:
-        return
-    names, rows, codes = np.concatenate(names), np.concatenate(all_rows), np.concatenate(all_codes)
-    order = np.argsort(codes, kind="stable")
-    names, rows, codes = names[order], rows[order], codes[order]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    size = np.diff(np.concatenate([first, [len(codes)]]))
-    # A code is sent once for each block and row, so two entries, or one for many, are two texts
-    # (or two blocks that hold pieces of one long text: a harmless candidate).
-    many = np.minimum.reduceat(rows, first) == MANY
-    keep = np.repeat(many | (size > 1), size) & (rows != MANY)
-    for name, at in by_value(names[keep]):
-        at = np.flatnonzero(keep)[at]
-        yield batch_of(block=[int(name)], count=[len(at)], body=[packed(rows[at], codes[at])])
+def shared_anchors(limits: Limits):
+    """Step 1, reduce: for each block the ``(row, code)`` of anchors that occur in two texts.
+
+    A hot anchor's code is marked; to texts that share it with others of their block, which know it
+    as shared already, the mark is sent with the row ``MANY``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, all_rows, all_codes, all_times = [], [], [], []
+        for batch in batches:
+            for name, count, known, body in zip(*(batch.column(c).to_pylist() for c in ("block", "count", "known", "body"))):
+                if known:
+                    yield batch_of(block=[name], count=[count], body=[body])
+                    continue
+                rows, codes, times = unpacked(body, count, "<i8", "<u8", "<i4")
+                names.append(np.full(count, name, np.int64))
+                all_rows.append(np.cumsum(rows))
+                all_codes.append(codes)
+                all_times.append(times.astype(np.int64))
+        if not names:
+            return
+        names, rows, codes, times = (np.concatenate(x) for x in (names, all_rows, all_codes, all_times))
+        order = np.argsort(codes, kind="stable")
+        names, rows, codes, times = names[order], rows[order], codes[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        size = np.diff(np.concatenate([first, [len(codes)]]))
+        # A code is sent once for each block and row, so two entries, or one for many, are two texts
+        # (or two blocks that hold pieces of one long text: a harmless candidate).
+        many = np.minimum.reduceat(rows, first) == MANY
+        hot = np.repeat(np.add.reduceat(times, first) > limits.hot, size)
+        keep = np.repeat(many | (size > 1), size) & ((rows != MANY) | hot)
+        codes = np.where(hot, codes | HOT, codes)
+        for name, at in by_value(names[keep]):
+            at = np.flatnonzero(keep)[at]
+            yield batch_of(block=[int(name)], count=[len(at)], body=[packed(rows[at], codes[at])])
+
+    return run
 
 
 def codes_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +229,11 @@ def codes_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for answers in batch.column("answers").to_pylist():
             found = [unpacked(a["body"], a["count"], "<i8", "<u8") for a in answers]
             rows, codes = (np.concatenate(x) for x in zip(*found))
+            # marks for many texts of the block: each of them that has the code gets the marked one too
+            marked = np.unique(codes[rows == MANY])
+            mine = rows != MANY
+            rows, codes = rows[mine], codes[mine]
+            codes = np.where(np.isin(codes, marked ^ HOT), codes | HOT, codes)
             out = [(int(row), codes[at].tobytes()) for row, at in by_value(rows)]
             yield batch_of(row=[r for r, _ in out], codes=[c for _, c in out])
 
@@ -235,32 +261,42 @@ def unit_entries(parts: int, limits: Limits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, block in blocks(batches, limits, ("codes",)):
-            wanted = np.zeros(len(block.code), bool)
+            wanted, hot = np.zeros(len(block.code), bool), np.zeros(len(block.code), bool)
             bounds = np.searchsorted(block.owner, np.arange(len(held) + 1))
             for i, h in enumerate(held):
                 a, b = bounds[i], bounds[i + 1]
                 mine = np.concatenate([np.frombuffer(c, "<u8") for c in h[3]])
-                wanted[a:b] = np.isin(block.code[a:b], mine)
+                wanted[a:b] = np.isin(block.code[a:b], mine & ~HOT)
+                hot[a:b] = np.isin(block.code[a:b], mine[mine >= HOT] ^ HOT)
             unit = np.flatnonzero(wanted)
             if not len(unit):
                 continue
             owner, first, length = block.owner[unit], block.first[unit], block.last[unit] - block.first[unit] + SIZE
-            rows = np.array([h[0] for h in held], np.int64)[owner]
-            ids = np.array([h[1] for h in held], np.int64)[owner]
-            place = first - block.begin[owner] + np.array([h[2] for h in held], np.int64)[owner]
-            group = equal_groups(block.data, first, length)
-            least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, group, ids)
-            gone = ids > least[group]
+            row_of, id_of, offset_of = (np.array([h[k] for h in held], np.int64) for k in range(3))
+            gone = taken_in_block(block.data, first, length, id_of[owner])
+            removed = [(owner[gone], first[gone], length[gone])]
+            # what is left of hot anchors goes on as windows, whose codes are their own
+            on, apart = np.flatnonzero(~gone & ~hot[unit]), np.flatnonzero(~gone & hot[unit])
+            sent = [(owner[on], first[on], length[on], block.code[unit[on]])]
+            if len(apart):
+                runs = length[apart] - SIZE + 1
+                window, holder = stretches(first[apart], runs), np.repeat(owner[apart], runs)
+                whole = np.full(len(window), SIZE)
+                gone = taken_in_block(block.data, window, whole, id_of[holder])
+                removed.append((holder[gone], window[gone], whole[gone]))
+                window, holder = window[~gone], holder[~gone]
+                sent.append((holder, window, whole[~gone], mixed(PrefixHashes(block.data).of(window, SIZE)) >> np.uint64(16)))
             name = held[0][0]
             keys, bodies, counts, known, texts = [], [], [], [], []
-            if gone.any():
-                keys.append(name % parts), counts.append(int(gone.sum())), known.append(True), texts.append(b"")
-                bodies.append(packed(rows[gone], place[gone], (place + length)[gone]))
-            left = np.flatnonzero(~gone)
-            for part, at in by_value(block.code[unit[left]] % np.uint64(parts)):
-                at = left[at]
-                meta = (steps(rows[at]), steps(ids[at]), place[at], block.code[unit[at]], length[at].astype(np.uint8))
+            owner, first, length = (np.concatenate(x) for x in zip(*removed))
+            if len(owner):
+                place = first - block.begin[owner] + offset_of[owner]
+                keys.append(name % parts), counts.append(len(owner)), known.append(True), texts.append(b"")
+                bodies.append(packed(row_of[owner], place, place + length))
+            owner, first, length, code = (np.concatenate(x) for x in zip(*sent))
+            rows, ids, place = row_of[owner], id_of[owner], first - block.begin[owner] + offset_of[owner]
+            for part, at in by_value(code % np.uint64(parts)):
+                meta = (steps(rows[at]), steps(ids[at]), place[at], code[at], length[at].astype(np.uint8))
                 keys.append(int(part)), counts.append(len(at)), known.append(False), bodies.append(packed(*meta))
                 texts.append(zstandard.ZstdCompressor(level=1).compress(block.data[stretches(first[at], length[at])].tobytes()))
             yield batch_of(key=keys, block=[name] * len(keys), count=counts, known=known, body=bodies, text=texts)
@@ -268,6 +304,14 @@ def unit_entries(parts: int, limits: Limits):
     return run
 
 
+def taken_in_block(data: np.ndarray, first: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which stretches equal one of a smaller document of the block."""
+    group = equal_groups(data, first, length)
+    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    return ids > least[group]
+
+
 def stretches(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """All places of the stretches, one after the other."""
     before = np.cumsum(length) - length
@@ -382,23 +426,26 @@ def repeated_passages(
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null texts are empty. Repeated rows have the same result each (an id is not smaller than
-    itself). Rows with a null id lose nothing and take nothing from others. Other columns are
-    not read. An empty table gives an empty table.
+    itself). Rows with a null id lose nothing and take nothing from others. Ids are whole numbers, or
+    text that reads as one. A very long text is worked on in overlapping pieces. Other columns are not
+    read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("text_key", F.unhex(F.sha2("text", 256)))
     keys = written(base.select("id", "text_key", F.octet_length("text").cast("long").alias("n_bytes")), "keys")
+    total = keys.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = min(max(buckets, -(-total // limits.part_bytes)), max(buckets, limits.most_parts))
     # Each text once, in files by its key: joins on the key read them without a shuffle.
     texts = base.filter(F.col("id").isNotNull() & (F.octet_length("text") >= SIZE)).groupBy("text_key")
     texts = texts.agg(F.min("id").cast("long").alias("id"), F.first("text").alias("text")).withColumn("row", F.monotonically_increasing_id())
     table, folder = f"passages_{uuid.uuid4().hex}", shared_folder(spark, "passages")
-    texts.write.bucketBy(parts, "text_key").option("path", folder).option("compression", "zstd").saveAsTable(table)
+    texts.write.bucketBy(buckets, "text_key").option("path", folder).option("compression", "zstd").saveAsTable(table)
     texts = spark.table(table)
 
     entries = texts.select("row", "id", "text").mapInArrow(anchor_entries(parts, limits), ENTRIES)
-    answers = entries.repartition(parts, "key").mapInArrow(shared_anchors, "block long, count long, body binary")
+    answers = entries.repartition(parts, "key").mapInArrow(shared_anchors(limits), "block long, count long, body binary")
     shared = by_block(answers).mapInArrow(codes_by_row, "row long, codes binary")
     shared = shared.groupBy("row").agg(F.collect_list("codes").alias("codes"))
     numbers = written(texts.select("row", "text_key"), "numbers")
