@@ -126,8 +126,8 @@ def grow_node(x: np.ndarray, y: np.ndarray, count: np.ndarray, spec: TreeSpec, k
     """Arrays of the tree below a node that holds the given rows; children come after their parents."""
     kept = count > 0
     x, y, count = x[kept], y[kept], count[kept]
-    d = x.shape[1]
-    orders = [np.argsort(x[:, f], kind="stable") for f in range(d)]
+    columns = np.ascontiguousarray(x.T)
+    orders = [np.argsort(c, kind="stable").astype(np.int32) for c in columns]
     ones = (count * y).astype(np.int64)
     zeros = (count - ones).astype(np.int64)
     keys = root_key(spec.seed) if key is None else key
@@ -136,15 +136,18 @@ def grow_node(x: np.ndarray, y: np.ndarray, count: np.ndarray, spec: TreeSpec, k
     out: dict[str, list[np.ndarray]] = {f: [] for f in NODE_FIELDS}
     n_nodes, total = 0, 1
     while total:
-        rows = np.bincount(slot[slot >= 0], minlength=total)
-        n0, n1 = (np.bincount(slot[slot >= 0], c[slot >= 0], total) for c in (zeros, ones))
+        here = np.flatnonzero(slot >= 0)
+        node = slot[here]
+        rows = np.bincount(node, minlength=total)
+        n0, n1 = (np.bincount(node, c[here], total) for c in (zeros, ones))
         value, cover, impurity = node_stats(spec.criterion, spec.weights, n0, n1)
         is_open = (n0 > 0) & (n1 > 0) & (rows >= max(spec.min_split, 2 * spec.min_leaf)) & (depth < limit)
         feature, threshold = np.full(total, -1), np.zeros(total)
         if is_open.any():
             mine = (slot >= 0) & is_open[slot]
-            orders = [o[mine[o]] for o in orders]
-            feature, threshold = best_splits(x, slot, orders, zeros, ones, rows, n0, n1, keys, spec, total)
+            if len(orders[0]) > mine.sum():
+                orders = [o[mine[o]] for o in orders]
+            feature, threshold = best_splits(columns, slot, orders, zeros, ones, rows, n0, n1, keys, spec, total)
         split = feature >= 0
         first = n_nodes + total + 2 * (np.cumsum(split) - 1)
         for name, values in (
@@ -154,10 +157,9 @@ def grow_node(x: np.ndarray, y: np.ndarray, count: np.ndarray, spec: TreeSpec, k
             out[name].append(values)
         n_nodes += total
         # rows move to the children of their node, or out of the frontier
-        at = np.flatnonzero(slot >= 0)
-        at, gone = at[split[slot[at]]], at[~split[slot[at]]]
-        slot[gone] = -1
-        node = slot[at]
+        stays = split[node]
+        slot[here[~stays]] = -1
+        at, node = here[stays], node[stays]
         right = x[at, feature[node]] > threshold[node]
         slot[at] = 2 * (np.cumsum(split) - 1)[node] + right
         left_keys, right_keys = child_keys(keys[split])
@@ -167,37 +169,45 @@ def grow_node(x: np.ndarray, y: np.ndarray, count: np.ndarray, spec: TreeSpec, k
 
 
 def best_splits(
-    x: np.ndarray, slot: np.ndarray, orders: list[np.ndarray], zeros: np.ndarray, ones: np.ndarray,
+    columns: np.ndarray, slot: np.ndarray, orders: list[np.ndarray], zeros: np.ndarray, ones: np.ndarray,
     rows: np.ndarray, n0: np.ndarray, n1: np.ndarray, keys: np.ndarray, spec: TreeSpec, total: int,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Feature (-1 for none) and threshold of each node; ``orders`` is sorted by node and value in place."""
     small = np.int16 if total < 1 << 15 else np.int32  # numpy sorts 16 bits by radix
-    cuts, varied = [], np.zeros((total, len(orders)), bool)
+    slot = slot.astype(small)
+    inside = np.bincount(slot[orders[0]], minlength=total)
+    filled = np.flatnonzero(inside)
+    begin = (np.cumsum(inside) - inside)[filled]
+    varied = np.zeros((total, len(orders)), bool)
+    values = []
     for f, o in enumerate(orders):
-        o = o[np.argsort(slot[o].astype(small), kind="stable")]
+        o = o[np.argsort(slot[o], kind="stable")]
         orders[f] = o
-        node, v = slot[o], x[o, f]
-        last = np.flatnonzero((node[1:] == node[:-1]) & (v[1:] > v[:-1]))  # a cut stands after each of these
-        varied[node[last], f] = True
-        cuts.append((node, v, last))
+        v = columns[f][o]
+        values.append(v)
+        varied[filled, f] = v[begin] < v[begin + inside[filled] - 1]  # sorted by value in each node
     allowed = drawn_features(keys, varied, spec.tries)
-    inside = np.bincount(slot[orders[0]], minlength=total)
-    start = np.cumsum(inside) - inside
+    node = slot[orders[0]]  # the same in every order
     best = np.full(total, np.inf)
     feature, threshold = np.full(total, -1), np.zeros(total)
     w0, w1 = spec.weights
-    for f, (node, v, last) in enumerate(cuts):
-        at = node[last]
+    for f, (o, v) in enumerate(zip(orders, values)):
+        size, at = inside, node
+        if not allowed[filled, f].all():
+            on = allowed[node, f]
+            o, v, at, size = o[on], v[on], node[on], np.where(allowed[:, f], inside, 0)
+        start = np.cumsum(size) - size
+        last = np.flatnonzero((at[1:] == at[:-1]) & (v[1:] > v[:-1]))  # a cut stands after each of these
+        at = at[last]
         left_rows = last + 1 - start[at]
-        ok = allowed[at, f] & (left_rows >= spec.min_leaf) & (rows[at] - left_rows >= spec.min_leaf)
-        last, at = last[ok], at[ok]
+        if spec.min_leaf > 1:
+            ok = (left_rows >= spec.min_leaf) & (rows[at] - left_rows >= spec.min_leaf)
+            last, at = last[ok], at[ok]
         if not len(last):
             continue
-        o = orders[f]
-        sums = [np.concatenate([[0], np.cumsum(c[o])]) for c in (zeros, ones)]
-        l0, l1 = (s[last + 1] - s[start[at]] for s in sums)
+        l0, l1 = (s[last] - s[start[at]] + c[o[start[at]]] for c, s in ((c, np.cumsum(c[o])) for c in (zeros, ones)))
         cost = side_cost(spec.criterion, w0 * l0, w1 * l1) + side_cost(spec.criterion, w0 * (n0[at] - l0), w1 * (n1[at] - l1))
-        run = np.flatnonzero(np.diff(at, prepend=-1))
+        run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         least = np.minimum.reduceat(cost, run)
         lowest = np.flatnonzero(cost == np.repeat(least, np.diff(run, append=len(at))))
         place = lowest[np.searchsorted(lowest, run)]  # the first of equal costs

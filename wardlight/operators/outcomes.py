@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.scalars import bin_right_closed, half_even, join_labels, label_text, map_values, rate, share
 from wardlight.operators.cohorts import cohort_flags
-from wardlight.operators.ordered import quantiles
+from wardlight.operators.ordered import average_ranks, quantiles
+from wardlight.session import stage
 from wardlight.sources.sinks import metric_rows
 
 OUTCOMES = ("<30", ">30", "NO")
@@ -267,15 +268,19 @@ def mean_score_by_value(scored: DataFrame, features: Sequence[str], score: str =
 
 
 def average_rank(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
-    """Mean of the descending ranks (ties averaged) of several score columns.
+    """Mean of the descending ranks (ties averaged) of several numeric score columns; nulls come last.
 
-    For score tables with one row per feature.
+    Ranks are those of the distinct values, ordered range by range, so a table of any length is ranked.
     """
-    def ranked(c: str) -> Column:
-        ties = F.count(F.lit(1)).over(W.partitionBy(c))
-        return F.rank().over(W.orderBy(F.desc(c))) + (ties - 1) / 2
-
-    return df.select(key, *cols, (sum((ranked(c) for c in cols), F.lit(0.0)) / len(cols)).alias("average_rank"))
+    ranks = stage(average_ranks(df, cols))
+    sizes = df.agg(F.count(F.lit(1)).alias("all"), *[F.count(c).alias(c) for c in cols]).first()
+    out = df.select(key, *cols)
+    for i, c in enumerate(cols):
+        of_value = ranks.filter(F.col("feature") == c).select(F.col("value").alias("__value"), (F.col("total_n") + 1 - F.col("rank")).alias(f"__rank{i}"))
+        last = (sizes[c] + sizes["all"] + 1) / 2
+        out = out.join(of_value, F.col(c).cast("double") == F.col("__value"), "left").drop("__value").withColumn(f"__rank{i}", F.coalesce(f"__rank{i}", F.lit(last)))
+    mean = sum((F.col(f"__rank{i}") for i in range(len(cols))), F.lit(0.0)) / len(cols)
+    return out.select(key, *cols, mean.alias("average_rank"))
 
 
 def scale_by_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -156,12 +156,13 @@ def missing_linkage(df: DataFrame, ids: Sequence[str] = (), max_features: int |
     return df.sparkSession.createDataFrame(steps, schema)
 
 
-def missing_clusters(df: DataFrame, k: int = 5, ids: Sequence[str] = (), seed: int = 42) -> DataFrame:
+def missing_clusters(df: DataFrame, k: int = 5, ids: Sequence[str] = (), seed: int = 42, starts: int = 10) -> DataFrame:
     """k-means of columns by their null pattern: ``(column, cluster, missing_pct)``.
 
     Each column is a point with one coordinate per row. Only inner products matter for
     k-means, so the joint null counts (k x k) are factored into an equivalent embedding
-    of at most as many dimensions as there are columns.
+    of at most as many dimensions as there are columns. Of ``starts`` runs the first with the
+    smallest inertia counts; clusters are numbered by their first column in the order of names.
     """
     cols = gap_columns(df, ids)
     spark = df.sparkSession
@@ -181,8 +182,12 @@ def missing_clusters(df: DataFrame, k: int = 5, ids: Sequence[str] = (), seed: i
         [(c, points[i].tolist(), float(100.0 * gram[i, i] / rows)) for c, i in where.items()],
         "column string, point array<double>, missing_pct double",
     ).withColumn("features", array_to_vector("point"))
-    model = KMeans(k=k, seed=seed, maxIter=50).fit(table)
-    return model.transform(table).select("column", F.col("prediction").alias("cluster"), "missing_pct")
+    table = table.cache()
+    models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(table) for i in range(starts)]
+    best = min(models, key=lambda m: round(m.summary.trainingCost, 6))
+    names = {int(r["prediction"]): r["first"] for r in best.transform(table).groupBy("prediction").agg(F.min("column").alias("first")).collect()}
+    number = F.create_map(*[F.lit(v) for i, c in enumerate(sorted(names, key=names.get)) for v in (c, i)])
+    return best.transform(table).select("column", number[F.col("prediction")].alias("cluster"), "missing_pct")
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlight.models import evaluate, prep
-from wardlight.operators import importance
+from wardlight.operators import importance, lookup
 from wardlight.plans.registry import query
 from wardlight.plans.tables import rounded
 from wardlight.plans.views import e1, e2, e4, e7, table, with_views
@@ -32,17 +32,52 @@ def information_gain(spark, folder):
     return rounded(importance.information_gain(e1(spark, folder), TEXT))
 
 
-@query("mutual_info", with_views("e1", " UNION ALL ".join(f"""
-SELECT '{c}' AS feature, round(sum(n / t * ln(n * t / (v * o))), 6) AS mutual_information FROM
+def _mutual(c: str) -> str:
+    return f"""
+SELECT '{c}' AS feature, sum(n / t * ln(n * t / (v * o))) AS m FROM
   (SELECT count(*) * 1.0 AS n, sum(count(*)) OVER (PARTITION BY {c}) * 1.0 AS v, sum(count(*)) OVER (PARTITION BY readmitted) * 1.0 AS o,
-          sum(count(*)) OVER () * 1.0 AS t FROM e1 GROUP BY {c}, readmitted)""" for c in TEXT)))
+          sum(count(*)) OVER () * 1.0 AS t FROM e1 GROUP BY {c}, readmitted)"""
+
+
+@query("mutual_info", with_views("e1", f"SELECT feature, round(m, 6) AS mutual_information FROM ({' UNION ALL '.join(_mutual(c) for c in TEXT)})"))
 def mutual_info(spark, folder):
     return rounded(importance.mutual_information(e1(spark, folder), TEXT))
 
 
-@query("mutual_info_knn")
+@query("merge_scores", with_views("e1", f"""
+, gain AS ({' UNION ALL '.join(_gain(c) for c in TEXT)}), mutual AS ({' UNION ALL '.join(_mutual(c) for c in TEXT)})
+SELECT feature, round(g, 6) AS information_gain, round(m, 6) AS mutual_information FROM gain JOIN mutual USING (feature)"""))
+def merge_scores(spark, folder):
+    rows = e1(spark, folder)
+    return rounded(lookup.merge_scores(importance.information_gain(rows, TEXT), importance.mutual_information(rows, TEXT)))
+
+
+def _digamma(x: str) -> str:
+    """Recurrence up to x + 6, then the asymptotic series."""
+    y = f"(({x})::DOUBLE + 6)"
+    steps = " - ".join(f"1 / (({x})::DOUBLE + {i})" for i in range(6))
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) - {steps})"
+
+
+NEIGHBOURS = ", ".join(f"abs({side}(v, {i}) OVER w - v)" for side in ("lag", "lead") for i in (1, 2, 3))
+
+
+# Every point against all others by value; the third neighbour is among three values on each side.
+@query("mutual_info_knn", with_views("e1", f"""
+, cells AS (SELECT 'amount' AS feature, readmitted AS y, amount::DOUBLE AS v FROM e1 UNION ALL SELECT 'balance', readmitted, balance::DOUBLE FROM e1
+), kept AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS class_n FROM cells WHERE y IS NOT NULL AND v IS NOT NULL QUALIFY class_n > 1
+), near AS (
+  SELECT feature, y, v, class_n, least(3, class_n - 1) AS wanted, list_sort(list_filter([{NEIGHBOURS}], lambda g: g IS NOT NULL))[least(3, class_n - 1)] AS d
+  FROM kept WINDOW w AS (PARTITION BY feature, y ORDER BY v)
+), spans AS (SELECT DISTINCT feature, v, d, v - d AS low, v + d AS high FROM near
+), within AS (
+  SELECT s.feature, s.v, s.d, count(*) FILTER (s.d > 0 AND k.v > s.low AND k.v < s.high OR s.d = 0 AND k.v = s.v) AS m
+  FROM spans s JOIN kept k ON k.feature = s.feature AND k.v >= s.low AND k.v <= s.high GROUP BY ALL
+)
+SELECT feature, round(greatest(0, {_digamma('count(*)')} + sum({_digamma('wanted')} - {_digamma('class_n')} - {_digamma('greatest(m, 1)')}) / count(*)), 6) AS mutual_information
+FROM near JOIN within USING (feature, v, d) GROUP BY feature"""))
 def mutual_info_knn(spark, folder):
-    return importance.mutual_information(e1(spark, folder), ["amount", "balance"], method="knn")
+    return rounded(importance.mutual_information(e1(spark, folder), ["amount", "balance"], method="knn"))
 
 
 def coded(spark, folder):
@@ -170,14 +205,19 @@ def average_precision(spark, folder):
     return rounded(evaluate.average_precision(e7(spark, folder)))
 
 
-SWEEP = """
-, g AS (SELECT 0.3::DOUBLE + 0.01::DOUBLE * i AS threshold FROM (SELECT unnest(range(51)) AS i)),
-k AS (SELECT threshold, sum(CASE WHEN score >= threshold THEN label ELSE 0 END)::DOUBLE AS tp,
-             sum(CASE WHEN score >= threshold THEN 1 - label ELSE 0 END)::DOUBLE AS fp, sum(label)::DOUBLE AS p FROM g, e7 GROUP BY 1),
-r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, tp / p AS recall FROM k),
-w AS (SELECT threshold, precision, recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
+def _sweep(source: str, tag: str = "") -> str:
+    """Scores at each threshold, as tables whose names end in ``tag``."""
+    return f"""
+, g{tag} AS (SELECT 0.3::DOUBLE + 0.01::DOUBLE * i AS threshold FROM (SELECT unnest(range(51)) AS i)),
+k{tag} AS (SELECT threshold, sum(CASE WHEN score >= threshold THEN label ELSE 0 END)::DOUBLE AS tp,
+             sum(CASE WHEN score >= threshold THEN 1 - label ELSE 0 END)::DOUBLE AS fp, sum(label)::DOUBLE AS p FROM g{tag}, {source} GROUP BY 1),
+r{tag} AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, tp / p AS recall FROM k{tag}),
+w{tag} AS (SELECT threshold, precision, recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
              CASE WHEN precision + recall = 0 THEN 0 ELSE 5 * precision * recall / (4 * precision + recall) END AS f2,
-             (fp + p - tp)::BIGINT AS errors, fp::BIGINT AS false_positives FROM r)"""
+             (fp + p - tp)::BIGINT AS errors, fp::BIGINT AS false_positives FROM r{tag})"""
+
+
+SWEEP = _sweep("e7")
 ROUNDED = "round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(f2, 6) AS f2, errors, false_positives"
 
 
@@ -186,6 +226,19 @@ def threshold_sweep(spark, folder):
     return rounded(evaluate.threshold_sweep(e7(spark, folder)))
 
 
+@query("sweep_both", with_views("e7", SWEEP + """
+, t7 AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, (l_quantity + CASE WHEN l_returnflag = 'R' THEN 20 ELSE 0 END) / 70.0 AS score FROM lineitem)"""
+    + _sweep("t7", "_tr") + """
+SELECT round(w.threshold, 6) AS threshold, round(w.precision, 6) AS precision, round(w.recall, 6) AS recall, round(w.f1, 6) AS f1, round(w.f2, 6) AS f2,
+       w.errors, w.false_positives, round(w_tr.precision, 6) AS precision_tr, round(w_tr.recall, 6) AS recall_tr, round(w_tr.f1, 6) AS f1_tr, round(w_tr.f2, 6) AS f2_tr
+FROM w JOIN w_tr ON w.threshold = w_tr.threshold"""))
+def sweep_both(spark, folder):
+    """The test sweep beside that of rows scored in another way."""
+    hit = F.col("l_returnflag") == "R"
+    other = table(spark, folder, "lineitem").select(hit.cast("int").alias("label"), ((F.col("l_quantity") + F.when(hit, 20).otherwise(0)) / 70.0).alias("score"))
+    return rounded(evaluate.sweep_both(e7(spark, folder), other))
+
+
 @query("pick_threshold", with_views("e7", SWEEP + f"""
 , z AS (SELECT *, 0.7 * (f2 - min(f2) OVER ()) / (max(f2) OVER () - min(f2) OVER ())
                + 0.3 * (max(errors) OVER () - errors) / (max(errors) OVER () - min(errors) OVER ()) AS combined FROM w),

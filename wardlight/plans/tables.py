@@ -272,14 +272,35 @@ def presence_matrix(spark, folder):
     return quality.presence_matrix(e4(spark, folder), _GAPS, key="patient_nbr")
 
 
-@query("missing_linkage")
+# The pair with the smallest mean distance merges, the first one on ties; merged groups go to the end.
+@query("missing_linkage", "WITH RECURSIVE" + with_views("e4", f"""
+, gaps AS ({' UNION ALL '.join(f"SELECT '{a}|{b}' AS pair, 1 - abs(coalesce(corr(({a} IS NULL)::INT, ({b} IS NULL)::INT), 0)) AS gap FROM e4" for a in _GAPS for b in _GAPS if a != b)}
+), known AS (SELECT map(list(pair), list(gap)) AS gap FROM gaps
+), merges AS (
+  SELECT 0 AS step, [{', '.join(f"['{c}']" for c in _GAPS)}] AS groups, NULL::STRUCT(distance DOUBLE, i BIGINT, j BIGINT) AS best, NULL::VARCHAR[][] AS before FROM known
+  UNION ALL
+  SELECT step + 1, list_append(list_filter(groups, lambda g, i: i <> best.i AND i <> best.j), list_concat(groups[best.i], groups[best.j])), best, groups
+  FROM (SELECT step, groups, list_sort(flatten(list_transform(range(1, len(groups)), lambda i: list_transform(range(i + 1, len(groups) + 1), lambda j:
+          {{'distance': list_avg(flatten(list_transform(groups[i], lambda a: list_transform(groups[j], lambda b: gap[concat(a, '|', b)])))), 'i': i, 'j': j}}))))[1] AS best
+        FROM merges, known WHERE len(groups) > 1)
+)
+SELECT step, array_to_string(before[best.i], '+') AS left, array_to_string(before[best.j], '+') AS right, round(best.distance, 6) AS distance,
+       (len(before[best.i]) + len(before[best.j]))::INTEGER AS size
+FROM merges WHERE step > 0""").removeprefix("WITH"))
 def missing_linkage(spark, folder):
-    return quality.missing_linkage(e4(spark, folder), ["patient_nbr"])
+    return rounded(quality.missing_linkage(e4(spark, folder), ["patient_nbr"]))
 
 
-@query("missing_clusters")
+# Every way to part the columns in two, by its inertia from the joint null counts.
+@query("missing_clusters", with_views("e4", f"""
+, joint AS ({' UNION ALL '.join(f"SELECT {i} AS a, {j} AS b, count(*) FILTER ({a} IS NULL AND {b} IS NULL) AS n FROM e4" for i, a in enumerate(sorted(_GAPS)) for j, b in enumerate(sorted(_GAPS)))}
+), parts AS (SELECT unnest(range(1, {2 ** (len(_GAPS) - 1)})) * 2 AS part
+), sides AS (SELECT part, (part >> a) & 1 AS side, sum(n) AS n, count(DISTINCT a) AS size FROM parts, joint WHERE (part >> a) & 1 = (part >> b) & 1 GROUP BY ALL
+), best AS (SELECT arg_min(part, inertia) AS part FROM (SELECT part, -sum(n / size) AS inertia FROM sides GROUP BY part))
+SELECT [{', '.join(f"'{c}'" for c in sorted(_GAPS))}][a + 1] AS column, ((part >> a) & 1)::INTEGER AS cluster, round(100.0 * n / (SELECT count(*) FROM e4), 6) AS missing_pct
+FROM joint, best WHERE a = b"""))
 def missing_clusters(spark, folder):
-    return quality.missing_clusters(e4(spark, folder), 2, ["patient_nbr"])
+    return rounded(quality.missing_clusters(e4(spark, folder), 2, ["patient_nbr"]))
 
 
 _E4_VALUES = " UNION ALL ".join(
