@@ -47,6 +47,7 @@ TASK_BYTES = 16 << 20
 #: Bits of a range number that one shuffle adds.
 SHUFFLE_BITS = 12
 ENTRIES_AT_ONCE = 2_000_000
+ROWS_AT_ONCE = 512
 HASH_WORDS, CHECK_WORDS = 100_000, 100_000
 #: The filter has 16 bits for each fingerprint, within these numbers of bits (as powers of two).
 FILTER_BITS = (16, 28)
@@ -83,7 +84,7 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int = BLO
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             found = []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 for part in cut_text(text, block_bytes):
