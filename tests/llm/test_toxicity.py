@@ -40,6 +40,15 @@ def test_words_of_copies_count_once():
     assert b"fool" in found and b"rarity" not in found and b"here" not in found
 
 
+def test_both_dictionaries_are_trained():
+    toxic = [f"you are x{i} {w} y{i} and more" for i in range(300) for w in ("scoundrel", "nitwit", "blockhead")]
+    ordinary = [f"you are x{i} friend y{i} of number {i}" for i in range(900)]
+    model = toxicity.train(toxic + ordinary, [1] * len(toxic) + [0] * len(ordinary))
+    added = model.toxic[len(model.ordinary) :]
+    assert model.toxic.startswith(model.ordinary) and model.ordinary[:4] == added[:4] == b"\x37\xa4\x30\xec"  # zstandard's mark
+    assert b"scoundrel" in added and b"nitwit" in added and b"friend" not in added
+
+
 def test_held_out_documents(spark):
     rows = LLM_QUERIES["op7_toxicity"](spark, FOLDER).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
@@ -49,6 +58,11 @@ def test_held_out_documents(spark):
     assert auc([r.score for r in held], [labels[r.doc_id] for r in held]) > 0.85
     said = [labels[r.doc_id] for r in held if r.predicted]
     assert len(said) > 20 and sum(said) > 0.85 * len(said)
+    # much of what is labelled toxic are junk documents without a telling word
+    assert sum(said) > 0.35 * sum(labels[r.doc_id] for r in held)
+    missed = [r.doc_id for r in held if labels[r.doc_id] and not r.predicted]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(missed) == sum(labels[r.doc_id] for r in held) - sum(said) and all(texts[i] is not None for i in missed)
 
 
 def test_edge_rows(make):

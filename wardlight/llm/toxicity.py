@@ -1,11 +1,11 @@
-"""Toxic text by compression distance between two zstandard dictionaries.
-
-Windows of a few words are compressed with a dictionary of ordinary text and with one of
-toxic text; a window that the second makes shorter looks toxic. The ordinary dictionary is
-trained on windows of ordinary documents. The toxic one goes on with what toxic documents
-repeat and ordinary ones do not: the words with the largest log-likelihood ratio, counted
-once for each new pair of neighbours, so copied documents do not count again. Window savings
-of held-back training documents calibrate a logistic score.
+"""Toxic text by compression distance between two trained zstandard dictionaries.
+
+Windows of a few words are compressed with a dictionary trained on ordinary text and with that
+dictionary extended by one trained on toxic text; a window that the second makes shorter looks
+toxic. Most words of a toxic document are ordinary, so the toxic samples are weighted: they are the
+occurrences, in toxic documents, of words whose log-likelihood ratio tells them from ordinary ones
+(counted once for each new pair of neighbours, so copied documents do not count again).
+Window savings of held-back training documents calibrate a logistic score.
 """
 
 from __future__ import annotations
@@ -20,16 +20,20 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from wardlight.llm.common import written
+
 #: Bounds of the training sample, in documents.
 TOXIC_DOCS, ORDINARY_DOCS = 1500, 3000
 WINDOW = 28
 DICTIONARY_BYTES = 16_384
+#: Ordinary windows that train a dictionary, drawn from those of the sample.
 TRAINING_WINDOWS = 30_000
-MIN_RATIO, MIN_LIKELIHOOD, MAX_WORDS = 3.0, 16.0, 400
+MIN_RATIO, MIN_LIKELIHOOD = 3.0, 16.0
+#: Segment and match lengths with which zstandard picks dictionary content, for ordinary and for toxic samples.
+ORDINARY_COVER, TOXIC_COVER = (24, 6), (64, 8)
 THRESHOLDS = (4, 6, 8)
 CUT = 0.7
 EDGES = b".,;:!?*&%$#|\"'()"
@@ -96,27 +100,29 @@ def likelihood_ratio(a: int, b: int, n: int, m: int) -> float:
     return 2 * sum(k * math.log(k / (size * rate)) for k, size in ((a, n), (b, m)) if k)
 
 
-def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Words that toxic documents repeat, weakest first (matches are cheapest at the end of a dictionary)."""
+def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
+    """Words that toxic documents repeat and ordinary ones do not."""
     n, m = len(toxic), len(ordinary)
     inside = new_contexts(toxic)
     outside = new_contexts(ordinary, set(inside))
-    ranked = []
-    for word, a in inside.items():
-        b = outside[word]
-        if a * m > MIN_RATIO * b * n:
-            ratio = likelihood_ratio(a, b, n, m)
-            if ratio >= MIN_LIKELIHOOD:
-                ranked.append((ratio, word))
-    return [w for _, w in sorted(ranked)[-MAX_WORDS:]]
-
-
-def trained_content(samples: list[bytes]) -> bytes:
-    """Dictionary content trained on windows; with too few of them, the windows themselves."""
+    return {
+        word for word, a in inside.items()
+        if a * m > MIN_RATIO * outside[word] * n and likelihood_ratio(a, outside[word], n, m) >= MIN_LIKELIHOOD
+    }
+
+
+def toxic_samples(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Every occurrence of a telling word in the toxic documents, in their order."""
+    words = toxic_words(toxic, ordinary)
+    return [b" " + bare + b" " for doc in toxic for bare in (w.strip(EDGES) for w in doc) if bare in words]
+
+
+def trained_content(samples: list[bytes], cover: tuple[int, int]) -> bytes:
+    """Dictionary content trained on samples; with too few of them, the samples themselves."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=24, d=6).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=cover[0], d=cover[1]).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY_BYTES:].rjust(16, b" ")
+        return b"".join(dict.fromkeys(samples))[-DICTIONARY_BYTES:].rjust(16, b" ")
 
 
 class Scorer:
@@ -159,21 +165,24 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model | None:
     ordinary = [words_of(t) for t, y in learn if not y]
     samples = [w for words in ordinary for w in windows(words)]
     rng.shuffle(samples)
-    base = trained_content(samples[:TRAINING_WINDOWS])
-    more = toxic_words([words_of(t) for t, y in learn if y], ordinary)
-    tail = b" " + b" ".join(more) + b" "
-    scorer = Scorer(base, base + tail)
+    base = trained_content(samples[:TRAINING_WINDOWS], ORDINARY_COVER)
+    more = trained_content(toxic_samples([words_of(t) for t, y in learn if y], ordinary), TOXIC_COVER)
+    scorer = Scorer(base, base + more)
     x = np.array([scorer.features(t) for t, _ in back])
     y = np.array([t for _, t in back], float)
-    return Model(base, base + tail, *fit_logistic(x, y))
+    return Model(base, base + more, *fit_logistic(x, y))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable: Column) -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded number of labelled documents, picked by a hash of their ids."""
+    """Texts and labels of about as many labelled documents of each class as the bounds say, picked by a hash of their ids.
+
+    Each class has a threshold of the hash from its count, so no task orders a class.
+    """
     known = labels.filter(usable & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
-    place = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
-    bound = F.when(F.col("toxic") == 1, TOXIC_DOCS).otherwise(ORDINARY_DOCS)
-    picked = known.withColumn("place", place).filter(F.col("place") <= bound).select("id", "toxic")
+    known = written(known, "toxic-labels")
+    counts = {bool(r["is_toxic"]): r["count"] for r in known.groupBy((F.col("toxic") == 1).alias("is_toxic")).count().collect()}
+    share = F.when(F.col("toxic") == 1, TOXIC_DOCS / max(counts.get(True, 0), 1)).otherwise(ORDINARY_DOCS / max(counts.get(False, 0), 1))
+    picked = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < share * float(1 << 32))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     rows = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     found = sorted(rows.collect(), key=lambda r: r.id)
@@ -206,7 +215,8 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Per row: id, held_out, score, predicted. Learns from labels of ids that are not held out.
 
     Null texts count as empty. Of repeated labels the larger counts. Repeated rows each keep a
-    row; null ids teach nothing. Without labels of both classes all scores are 0.
+    row; null ids teach nothing. Without labels of both classes all scores are 0. A text of any
+    length is scored by all its windows; an empty table gives an empty table. Other columns are not read.
     """
     model = train(*training_sample(docs, labels, id_col, text_col, F.col(id_col).isNotNull() & ~held_out(id_col)))
     found = docs.select(id_col, held_out(id_col).alias("held_out"), score_column(F.col(text_col), model).alias("score"))
