@@ -205,8 +205,12 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     """Windows of at most ``SAMPLE_DOCS`` documents for each language, picked by a hash of their ids."""
     known = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.filter("id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
+    # The first hashes of each language. A bound on the hash, from the language's count, leaves some three
+    # times as many as wanted, so a language of any size is a small group when it is ordered.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    low = known.select("id", "lang").join(counts, "lang").filter(F.xxhash64("id") < -float(1 << 63) + 3.0 * SAMPLE_DOCS / F.col("n") * float(1 << 64))
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    best = known.select("id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
+    best = low.select("id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
     rows = known.join(F.broadcast(best.select("id").distinct()), "id", "left_semi")
     room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     spots = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda k: F.pmod(F.xxhash64("id", k), room).cast("int") + 1)
@@ -259,7 +263,12 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def with_known_language(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is found with at least ``min_score``."""
+    """Rows of ``docs``, all columns, whose language is found with at least ``min_score``.
+
+    Null texts, empty ones and those without a letter go; a text of any length is read whole.
+    Repeated rows are judged each; null ids and languages teach nothing. Without labelled
+    rows no language is known and no row stays; an empty table stays empty.
+    """
     model = fit(docs, F.col(id_col).isNotNull() & ~held_out(id_col), id_col, text_col, lang_col)
     name = fresh(docs, "found_language")
     found = docs.withColumn(name, predict_column(F.col(text_col), model))
