@@ -162,7 +162,8 @@ def decode_column(ids: Column, path: str) -> Column:
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids (binary, little-endian 32-bit), and whether the ids decode to the text.
 
-    Null counts as the empty text. Repeated rows each keep a row; other columns are not read.
+    Null counts as the empty text, which has no ids. Repeated rows each keep a row; a text of any length
+    is encoded whole; an empty table gives an empty table; other columns are not read.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Per row: id, n_tokens, sha256 of the ids and of the decoded text.
 
     Encoding and decoding run in one pass, so the ids never leave the task. Null counts as the
-    empty text. Repeated rows each keep a row; other columns are not read.
+    empty text. Repeated rows each keep a row; a text of any length is encoded whole; an empty table
+    gives an empty table; other columns are not read.
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

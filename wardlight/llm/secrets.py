@@ -300,8 +300,10 @@ def findings_column(text: Column, model: Model) -> Column:
 def secret_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each candidate: id, start, end (code points), kind, score, is_secret.
 
-    Null and empty texts have none. Repeated rows each give their findings. Other columns are
-    not read. The strings themselves are not returned.
+    Null and empty texts have none. Repeated rows each give their findings. Texts and strings of any
+    length are read whole; of overlapping candidates the earliest stays, of those that begin
+    together the longest. An empty table gives an empty table. Other columns are not read. The
+    strings themselves are not returned.
     """
     found = docs.select(id_col, findings_column(F.col(text_col), train(docs, text_col)).alias("found"))
     rows = found.select(id_col, F.explode("found").alias("f")).select(id_col, "f.*")
@@ -311,7 +313,9 @@ def secret_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns; confirmed secrets in the text are replaced by a mask.
 
-    A column ``n_chars`` is brought up to date where a text changed. Null texts stay null.
+    A column ``n_chars`` is brought up to date where a text changed. Null texts stay null, empty
+    texts empty; texts of any length are read whole; repeated rows are masked alike; an empty table
+    stays empty.
     """
     model = train(docs, text_col)
 

@@ -228,7 +228,12 @@ def checked_ids(tokens: DataFrame) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the token files of ``docs`` to the shared folder and read ``(doc_id, start, n_tokens, ids_crc32)`` back."""
+    """Write the token files of ``docs`` to the shared folder and read ``(doc_id, start, n_tokens, ids_crc32)`` back.
+
+    Null and empty texts hold the end id alone; null ids come first; rows with equal ids are ordered
+    by text and each keep a row; a text of any length is one row; an empty table gives an empty
+    table. Other columns are not read.
+    """
     folder = shared_folder(docs.sparkSession, "tokens")
     write_token_files(docs, folder, tokenizer_path, end_id, id_col, text_col)
     files = read_token_files(docs.sparkSession, folder)
