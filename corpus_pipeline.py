@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written and read again.
 
 Every stage works on all that its predecessor kept. All but the last return the columns of
-``documents``; the last returns each document's token ids.
+``documents``, under their own names; the last returns each document's token ids. Texts of
+any length are read whole, and an empty table passes through as an empty one.
 """
 
 from __future__ import annotations
@@ -19,27 +20,42 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network finds; those without letters or without a likely language go."""
+    """Documents whose language the network finds; those without letters or without a likely language go.
+
+    So do null and empty texts. Repeated rows are judged each; null ids and languages teach nothing.
+    """
     return langid.with_known_language(docs, MIN_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, that with the smallest id."""
+    """One document of each SimHash group, that with the smallest id.
+
+    Null, empty and wordless texts are one group. Of rows with equal ids one stays; rows without an id all stay.
+    """
     return simhash.one_per_component(docs, words=SHINGLE_WORDS, max_bits=MAX_BITS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by passages of ``benchmark``."""
+    """Documents that are not contaminated by passages of ``benchmark``.
+
+    Null and empty texts stay; repeated rows are judged each; an empty ``benchmark`` leaves all.
+    """
     return contamination.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with confirmed secrets masked in their texts."""
+    """All documents, with confirmed secrets masked in their texts.
+
+    Null texts stay null; ``n_chars`` follows a changed text; repeated rows are masked alike.
+    """
     return secrets.masked(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids, round_trip)``: token ids, and whether they decode to the text."""
+    """``(doc_id, n_tokens, ids, round_trip)``: token ids, and whether they decode to the text.
+
+    Null and empty texts have no ids; repeated rows each keep a row.
+    """
     path = public_tokenizers.path(TOKENIZER)
     return bpe.encoded(docs, path)
 
