@@ -219,14 +219,16 @@ def studentized_range_sf(q: float, k: int, dof: float) -> float:
     """Upper tail of the studentized range of ``k`` means."""
     if q <= 0:
         return 1.0
-    if dof > 25_000:
-        return max(0.0, 1.0 - _range_cdf(q, k))
     # s = chi / sqrt(dof) is close to a normal around 1
     reach = 10 / math.sqrt(2 * dof)
     s, w = _piecewise(max(1e-9, 1 - reach), 1 + reach + (1 if dof < 20 else 0), 1)
-    log_density = (
-        math.log(2) + dof / 2 * math.log(dof / 2) - math.lgamma(dof / 2) + (dof - 1) * np.log(s) - dof * s * s / 2
-    )
+    half = dof / 2
+    if dof < 2000:
+        scale = half * math.log(half) - math.lgamma(half) - half
+    else:  # Stirling's series: the terms above are large and nearly cancel
+        scale = 0.5 * math.log(half) - 0.5 * math.log(2 * math.pi) - 1 / (12 * half) + 1 / (360 * half**3)
+    shift = s - 1
+    log_density = math.log(2) + scale + dof * (np.log1p(shift) - shift - shift * shift / 2) - np.log(s)
     return max(0.0, 1.0 - float(np.sum(w * np.exp(log_density) * [_range_cdf(q * v, k) for v in s])))
 
 

@@ -214,9 +214,37 @@ def cramers_v(spark, folder):
     return rounded(association.cramers_v(e1(spark, folder), ["grp", "segment", "nation"]))
 
 
-@query("tukey_hsd")
+def _phi(x: str) -> str:
+    """Normal distribution function by its series of odd powers."""
+    return (f"CASE WHEN {x} > 8 THEN 1.0 WHEN {x} < -8 THEN 0.0 ELSE 0.5 + exp(-0.5 * ({x}) ** 2) / sqrt(2 * pi()) * sign({x}) * list_sum(list_transform(range(120), "
+            f"lambda n: exp((2 * n + 1) * ln(abs({x}) + 1e-300) - lgamma(2 * n + 2.0) + n * ln(2.0) + lgamma(n + 1.0)))) END")
+
+
+def _range_tail(q: str) -> str:
+    """Tail of the studentized range of three groups with ``d`` degrees of freedom, by even sums over the spread u and the place z."""
+    scale = "(1 + u / 4.0 / sqrt(2.0 * d))"
+    density = f"exp(d / 2.0 * ln(d) - lgamma(d / 2.0) - (d / 2.0 - 1) * ln(2.0) + (d - 1) * ln({scale}) - d * {scale} ** 2 / 2) / 4.0 / sqrt(2.0 * d)"
+    inner = f"exp(-z * z / 32.0) / sqrt(2 * pi()) * ({_phi('(z / 4.0)')} - {_phi(f'(z / 4.0 - {q} * {scale})')}) ** 2"
+    return f"(1 - list_sum(list_transform(range(-32, 33), lambda u: {density} * 0.75 * list_sum(list_transform(range(-32, 33), lambda z: {inner})))))"
+
+
+# The tail is summed for each pair; the 95 % point is halved out of 0 to 20.
+@query("tukey_hsd", "WITH RECURSIVE" + with_views("e2", MOMENTS + f"""
+, w AS (SELECT sum(n * vp) / (sum(n) - 3) AS mse, (sum(n) - 3)::DOUBLE AS d FROM m WHERE feature = 'quantity'
+), pairs AS (
+  SELECT a.readmitted AS group_a, b.readmitted AS group_b, b.mean - a.mean AS mean_diff, sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)) AS error, d
+  FROM m a JOIN m b ON a.feature = b.feature AND a.readmitted < b.readmitted, w WHERE a.feature = 'quantity'
+), tails AS (SELECT *, {_range_tail('(abs(mean_diff) / error)')} AS p FROM pairs
+), point AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS low, 20.0::DOUBLE AS high, d FROM w
+  UNION ALL SELECT step + 1, CASE WHEN tail > 0.05 THEN (low + high) / 2 ELSE low END, CASE WHEN tail > 0.05 THEN high ELSE (low + high) / 2 END, d
+  FROM (SELECT *, {_range_tail('((low + high) / 2)')} AS tail FROM point WHERE step < 40)
+)
+SELECT 'quantity' AS feature, group_a, group_b, round(mean_diff, 6) AS mean_diff, round(abs(mean_diff) / error, 6) AS q, round(p, 6) AS p,
+       round(mean_diff - low * error, 6) AS lower, round(mean_diff + low * error, 6) AS upper, p < 0.05 AS reject
+FROM tails, point WHERE step = 40""").removeprefix("WITH"))
 def tukey_hsd(spark, folder):
-    return association.tukey_hsd(e2(spark, folder), "quantity")
+    return rounded(association.tukey_hsd(e2(spark, folder), "quantity"))
 
 
 @query("tukey_differences", with_views("e2", MOMENTS + """

@@ -180,14 +180,14 @@ def tree_contributions(spark, folder):
 @query("mean_contributions")
 def mean_contributions(spark, folder):
     rows = parts(spark, folder)
-    model = train.fit_forest(training(rows), trees=5, max_depth=4)
+    model = train.fit_forest(training(rows), trees=100, max_depth=8)
     return explain.mean_contributions(explain.tree_contributions(model, holdout(rows), "o_orderkey"), FEATURES)
 
 
 @query("lowess_trend")
 def lowess_trend(spark, folder):
     rows = model_rows(spark, folder).fillna(0.0)
-    model = train.fit_forest(prep.assemble(rows, FEATURES), trees=5, max_depth=5)
+    model = train.fit_forest(prep.assemble(rows, FEATURES), trees=100, max_depth=10)
     names = FEATURES
     scaled = prep.min_max(prep.assemble(rows, FEATURES), names)
     with_score = model.transform(scaled).select(*names, evaluate.vector_to_array("probability")[1].alias("score"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wardlight.operators import clean, cohorts, lookup, quality
 from wardlight.functions import scalars
 from wardlight.plans.registry import query
 from wardlight.plans.views import e1, e2, e3, e4, e5, e6, table, with_views
-from wardlight.sources.readers import read_model_table
+from wardlight.session import scratch_path
+from wardlight.sources.readers import read_code_dictionary, read_model_table
+from wardlight.sources.sinks import write_csv
 
 
 def rounded(df, digits=6, *cols):
@@ -358,3 +362,49 @@ SELECT feature, value, n, CAST(row_number() OVER (PARTITION BY feature ORDER BY
 FROM v WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) <= 3"""))
 def top_values(spark, folder):
     return quality.top_values(e4(spark, folder), _E4_COLS[1:], 3)
+
+
+# ---- files and schemas ----
+
+
+def csv_copy(df, name: str) -> str:
+    """Path of a CSV copy in the shared folder."""
+    path = f"{scratch_path(df.sparkSession)}/{name}-{uuid.uuid4().hex}.csv"
+    write_csv(df, path)
+    return path
+
+
+@query("model_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def model_csv(spark, folder):
+    """The orders written as CSV with a saved index column, and read back as a modelling table."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    saved = orders.select(F.monotonically_increasing_id().alias("Unnamed: 0"), "*")
+    return read_model_table(spark, csv_copy(saved, "orders"), saved.schema)
+
+
+@query("code_dictionary", """
+SELECT CAST(n_nationkey AS INTEGER) AS ID, CASE WHEN r_name = 'ASIA' THEN NULL ELSE concat(' ', n_name, ', ', r_name) END AS description, 'nation' AS Type
+FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT CAST(c_custkey AS INTEGER), concat(c_mktsegment, ', ', c_custkey), 'customer' FROM customer""")
+def code_dictionary(spark, folder):
+    """A stacked dictionary with the text NULL, commas and leading blanks, through its file."""
+    nation, region, customer = (table(spark, folder, t) for t in ("nation", "region", "customer"))
+    joined = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    known = F.concat(F.lit(" "), F.col("n_name"), F.lit(", "), F.col("r_name"))
+    rows = joined.select("n_nationkey", F.when(F.col("r_name") == "ASIA", "NULL").otherwise(known), F.lit("nation")).union(
+        customer.select("c_custkey", F.concat("c_mktsegment", F.lit(", "), F.col("c_custkey").cast("string")), F.lit("customer"))
+    )
+    return read_code_dictionary(spark, csv_copy(rows.toDF("ID", "description", "Type"), "codes"))
+
+
+@query("typed_features", with_views("e2", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, '{kind}' AS kind, count(DISTINCT {c}) AS values FROM e2"
+    for c, kind in [(c, "numeric") for c in ("quantity", "price", "discount", "tax", "age")] + [(c, "other") for c in ("readmitted", "med_a", "med_b", "med_c")])))
+def typed_features(spark, folder):
+    """Feature columns by type, with their distinct values."""
+    rows = e2(spark, folder)
+    features = rows.select(clean.feature_columns(rows, [c for c in rows.columns if c.endswith(("_id", "_nbr"))]))
+    numeric, other = clean.split_by_type(features)
+    kinds = F.create_map(*[F.lit(v) for c in numeric for v in (c, "numeric")], *[F.lit(v) for c in other for v in (c, "other")])
+    counts = quality.distinct_counts(features)
+    return counts.select("feature", kinds[F.col("feature")].alias("kind"), F.col("distinct_count").alias("values"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV files with a header; one file per partition."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV files with a header; one file per partition. Blanks around values are kept."""
+    df.write.mode(mode).option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_text(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
