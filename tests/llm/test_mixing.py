@@ -88,8 +88,8 @@ def test_shards_hold_disjoint_words_of_the_quotas(spark):
 def test_tree_splits_exactly_and_as_a_shuffle_would(spark, fan):
     quotas = [0, 5, 40, 1, 12, 300, 7, 0, 90, 33, 2]
     frame = spark.createDataFrame(list(enumerate(quotas)), "number long, blocks long")
-    total, counts = sum(quotas), []
-    for seed in range(12 if fan == 256 else 3):
+    total, squares = sum(quotas), []
+    for seed in range(4 if fan == 256 else 1):
         rows = mixing.split_quotas(frame, 6, fan, seed).collect()
         table = np.zeros((len(quotas), 6), int)
         for r in rows:
@@ -97,12 +97,13 @@ def test_tree_splits_exactly_and_as_a_shuffle_would(spark, fan):
             table[r.number, r.shard] = r.n_blocks
         assert table.sum(axis=1).tolist() == quotas
         assert sorted(table.sum(axis=0)) == sorted(total // 6 + (j < total % 6) for j in range(6))
-        counts.append(table[5] - 300 / 6)
-    # the spread of a hypergeometric cell: n K/N (1 - K/N) (N - n)/(N - 1)
-    n, share = total / 6, 300 / total
-    want = n * share * (1 - share) * (total - n) / (total - 1)
+        # each cell against the spread of a hypergeometric number: n K/N (1 - K/N) (N - n)/(N - 1)
+        for number in (2, 5, 8):
+            share = quotas[number] / total
+            spread = total / 6 * share * (1 - share) * (total - total / 6) / (total - 1)
+            squares.append(np.square(table[number] - quotas[number] / 6) / spread)
     if fan == 256:
-        assert 0.5 * want < np.mean(np.square(counts)) < 1.7 * want
+        assert 0.5 < np.mean(squares) < 1.7
 
 
 def test_hypergeometric_law(spark):

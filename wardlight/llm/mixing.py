@@ -241,13 +241,14 @@ def in_stream(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """Rows with ``number``, ``source_size``, ``target``, and ``start``: the words of the source before them.
 
     The order within a source is that of a seeded digest of the id; its leading digits cut a
-    source of any size into slots that are summed on their own. Rows of equal ids are ordered by size.
+    source of any size into slots that are summed on their own, and the slots' sums are added up in
+    two digits, 4,096 in a window. Rows of equal ids are ordered by size.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
     known = null_safe_join(rows, targets.drop("weight"), ["source"]).withColumn("digest", digest)
     slotted = known.withColumn("slot", F.conv(F.substring("digest", 1, HASH_DIGITS), 16, 10).cast("int"))
     slotted = written(slotted, "mix-slots")
-    offsets = range_offsets(slotted, ["number"], ["size"], "slot").select("number", "slot", "offset_size")
+    offsets = range_offsets(slotted, ["number"], ["size"], "slot", depth=2).select("number", "slot", "offset_size")
     inside = W.partitionBy("number", "slot").orderBy("digest", "size").rowsBetween(W.unboundedPreceding, -1)
     ordinal = F.row_number().over(W.partitionBy("number", "slot").orderBy("digest", "size"))
     placed = slotted.join(offsets, ["number", "slot"]).withColumns(
