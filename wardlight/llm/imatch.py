@@ -34,6 +34,8 @@ DOCS_PER_RANGE = 1000
 #: The lowest bits of a hash that name its cells in the lexicon's table, and the first subset's mark.
 CELL_SHIFTS = (0, 21, 42)
 FIRST_MARK = 0xE000
+#: Bits of a subset's hash; the subset's number has the others.
+HASH_BITS = 56
 
 
 def distinct_words(text: Column) -> Column:
@@ -147,19 +149,19 @@ def prints_of(text: Column, table: tuple[Column, int]) -> Column:
         whole = F.array(F.concat(F.lit(high), F.array_join(words, " ")))
         return let(marked, lambda m: F.when(F.length(m) > 0, F.regexp_extract_all(m, F.lit(run), 0)).otherwise(whole))
 
-    number = lambda r: (F.ascii(r) - FIRST_MARK).cast("long") * (1 << 24) + F.xxhash64(r).bitwiseAND(0xFFFFFF)
+    number = lambda r: F.shiftleft((F.ascii(r) - FIRST_MARK).cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(r).bitwiseAND((1 << HASH_BITS) - 1))
     return F.transform(let(F.array_sort(distinct_words(text)), runs), number)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the subsets that hold words of either text."""
-    subsets = lambda x: F.transform(x, lambda h: F.shiftright(h, 24))
+    subsets = lambda x: F.transform(x, lambda h: F.shiftrightunsigned(h, HASH_BITS))
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(subsets(a), subsets(b)))
 
 
 def hex_print(hashes: Column) -> Column:
-    """Eight hex digits for each subset with words: its number and its hash."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    """16 hex digits for each subset with words: its number in two, its hash in the others."""
+    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> DataFrame:
