@@ -206,9 +206,10 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     known = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.filter("id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
     # The first hashes of each language. A bound on the hash, from the language's count, leaves some three
-    # times as many as wanted, so a language of any size is a small group when it is ordered.
+    # times as many as wanted, so a language of any size is a small group when it is ordered. The counts, one row for
+    # each language, are smaller than the model, which has a weight vector for each.
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    low = known.select("id", "lang").join(counts, "lang").filter(F.xxhash64("id") < -float(1 << 63) + 3.0 * SAMPLE_DOCS / F.col("n") * float(1 << 64))
+    low = known.select("id", "lang").join(F.broadcast(counts), "lang").filter(F.xxhash64("id") < -float(1 << 63) + 3.0 * SAMPLE_DOCS / F.col("n") * float(1 << 64))
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     best = low.select("id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
     rows = known.join(F.broadcast(best.select("id").distinct()), "id", "left_semi")
