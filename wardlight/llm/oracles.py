@@ -123,3 +123,55 @@ FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN inside i ON i.lang = b.la
 WHERE i.most IS NULL OR 100 * i.most < 50 * a
 QUALIFY rank <= 2000
 """
+
+
+LOWER_TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Windows of item words against all stretches of document words of the same length.
+DECONTAMINATION = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all({LOWER_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), windows AS (
+  SELECT item, least(len(words), 13) AS size, unnest(list_transform(range(1, greatest(len(words) - 12, 1) + 1), lambda i: array_to_string(words[i : i + least(len(words), 13) - 1], ' '))) AS stretch
+  FROM items WHERE len(words) > 0
+), places AS (
+  SELECT row, size, i, array_to_string(words[i : i + size - 1], ' ') AS stretch
+  FROM (SELECT row, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)
+), matches AS (
+  SELECT DISTINCT p.row, p.i, p.size, w.item FROM places p JOIN windows w ON w.size = p.size AND w.stretch = p.stretch
+), hits AS (
+  SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT row, i, size FROM matches)) GROUP BY row
+), named AS (
+  SELECT row, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM matches GROUP BY row
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN named USING (row)
+"""
+
+# The smallest document of every window of 50 bytes; what a later one covers with it goes.
+SUFFIX_DEDUP = """
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS data, octet_length(encode(coalesce(text, ''))) AS size FROM documents
+), windows AS (
+  SELECT row, doc_id, i, data[i : i + 49] AS stretch FROM (SELECT row, doc_id, data, unnest(range(1, size - 48)) AS i FROM docs WHERE size >= 50)
+), repeats AS (
+  SELECT row, i FROM (SELECT row, doc_id, i, min(doc_id) OVER (PARTITION BY stretch) AS least FROM windows) WHERE least < doc_id
+), marked AS (
+  SELECT row, i, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY row ORDER BY i) + 50, 0) THEN 1 ELSE 0 END AS new FROM repeats
+), spans AS (
+  SELECT row, min(i) AS low, max(i) + 49 AS high FROM (SELECT row, i, sum(new) OVER (PARTITION BY row ORDER BY i) AS span FROM marked) GROUP BY row, span
+), gaps AS (
+  SELECT row, coalesce(lag(high) OVER w, 0) + 1 AS low, low - 1 AS high FROM spans WINDOW w AS (PARTITION BY row ORDER BY low)
+  UNION ALL SELECT s.row, max(s.high) + 1, any_value(d.size) FROM spans s JOIN docs d USING (row) GROUP BY s.row
+), kept AS (
+  SELECT row, string_agg(hex(data[low : high]), '' ORDER BY low) AS data FROM gaps JOIN docs USING (row) WHERE low <= high GROUP BY row
+), counts AS (
+  SELECT row, sum(high - low + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY row
+)
+SELECT d.doc_id, d.size::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN c.row IS NULL THEN d.data ELSE unhex(coalesce(k.data, '')) END) AS kept_sha256
+FROM docs d LEFT JOIN counts c USING (row) LEFT JOIN kept k USING (row)
+"""

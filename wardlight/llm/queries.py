@@ -53,7 +53,7 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_table(read_table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), END_ID)
 
 
-@llm_query
+@checked_by(oracles.DECONTAMINATION)
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -69,7 +69,7 @@ def op8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return surrogates.pseudonymise(docs, SURROGATE_KEY)
 
 
-@llm_query
+@checked_by(oracles.SUFFIX_DEDUP)
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeated_passages(read_table(spark, folder, "documents"))
 
