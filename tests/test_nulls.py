@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from wardlight.functions.scalars import code_number
@@ -67,7 +68,12 @@ def test_no_range_is_overfull(spark, shape):
     assert max(r.n for r in ranges if r.d > 1) <= 500
 
 
-def test_depth_beyond_the_limit_is_refused():
-    with pytest.raises(ValueError, match="31"):
-        train.tree(max_depth=31)
-    assert train.forest(max_depth=None).getMaxDepth() == train.MAX_DEPTH
+def test_depths_have_no_limit(spark):
+    """Labels that switch at ever closer values: each split peels off the outermost run."""
+    x = [1 - 2.0**-i for i in range(48)]
+    rows = [(float(i % 2), Vectors.dense([v])) for i, v in enumerate(x) for _ in range(2 ** (47 - i) if i > 40 else 1)]
+    df = spark.createDataFrame(rows, ["label", "features"])
+    for limit in (31, 40, None):
+        model = train.fit_tree(df, class_weight=None, max_depth=limit)
+        assert train.tree_shape(spark, model).first()["depth"] <= (limit or 48)
+    assert model.transform(df).filter("prediction <> label").count() == 0
