@@ -210,3 +210,22 @@ def test_importance_finds_the_feature(spark):
     df = spark.createDataFrame([(float(p), float(q), int(p > 0.3)) for p, q in zip(a, b)], "a double, b double, y int")
     found = {r["feature"]: r["importance"] for r in importance.forest_importance(df, ["a", "b"], "y", trees=10).collect()}
     assert found["a"] > 0.7 and sum(found.values()) == pytest.approx(1)
+
+
+def test_no_row_is_written_while_large_nodes_are_split(spark, noisy, monkeypatch):
+    base, written, write = grow.prepared(noisy), [], grow.stage
+    monkeypatch.setattr(grow, "stage", lambda df: written.append(write(df)) or written[-1])
+    specs = [grow.TreeSpec(i, max_depth=3, sampled=True, seed=i) for i in range(4)]
+    found = grow.grown(base, specs, table_bytes=0, node_rows=60)
+    assert found.count() == 4 and sum(df.count() for df in written) == 4
+
+
+def test_ranges_are_narrowed_in_two_steps(spark, monkeypatch):
+    x, y = some_rows(400, 7)
+    base = grow.prepared(labelled(spark, x, y, np.arange(400) % 3))
+    specs = [grow.TreeSpec(0, max_depth=3), grow.TreeSpec(1, "entropy", min_leaf=9, max_depth=3, without=2), grow.TreeSpec(2, sampled=True, tries=2, max_depth=3)]
+    whole = {r.tree: nested(trees.tree_of(r)) for r in grow.grown(base, specs).collect()}
+    monkeypatch.setattr(grow, "EXACT_ROWS", 0)
+    monkeypatch.setattr(grow, "CHUNK_ROWS", 64)
+    for r in grow.grown(base, specs, table_bytes=0, node_rows=20).collect():
+        assert same(nested(trees.tree_of(r)), whole[r.tree])
