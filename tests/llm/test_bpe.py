@@ -103,3 +103,11 @@ def test_columns_encode_and_decode(make):
     out = docs.withColumn("ids", bpe.encode_column(docs.text, PATH))
     back = out.withColumn("back", bpe.decode_column(out.ids, PATH)).orderBy("doc_id").collect()
     assert back[0].back == "hello there" and back[1].back == ""
+
+
+def test_a_part_that_is_one_piece_is_looked_up_once():
+    pairs, asked = bpe.BytePairs(PATH), []
+    look_up = pairs.parts.look_up
+    pairs.parts.look_up = lambda parts, encode: asked.append(list(parts)) or look_up(parts, encode)
+    pairs.encode("plain words here, and")
+    assert asked == [["plain", " words", " here,", " and"], [" here", ","]]

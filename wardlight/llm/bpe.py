@@ -12,9 +12,10 @@ exist on every node (as an installed package does).
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -51,9 +52,14 @@ class BytePairs:
         self.text_of = {i: b for b, i in by_bytes.items()} | {i: t.encode() for t, i in self.special.items()}
         self.byte_id = [by_bytes[bytes([b])] for b in range(256)]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (left, right) in enumerate(pairs):
-            self.merge[vocab[left], vocab[right]] = rank, vocab[left + right]
+        #: Left and right symbol of each merge rank, and what they make; ranks by right symbol for each left one.
+        self.steps = [(vocab[left], vocab[right], vocab[left + right]) for left, right in pairs]
+        none: dict[int, int] = {}
+        self.ranks = [none] * (1 + max(vocab.values()))
+        for rank, (left, right, _) in enumerate(self.steps):
+            if self.ranks[left] is none:
+                self.ranks[left] = {}
+            self.ranks[left][right] = rank
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         #: Parts between spaces and the pieces they are cut into share one table: many are both.
@@ -65,17 +71,20 @@ class BytePairs:
 
     def merge_word(self, word: bytes) -> list[int]:
         """Ids of one word by merging the lowest-ranked neighbours first."""
-        ids = [self.byte_id[b] for b in word]
+        ids = list(map(self.byte_id.__getitem__, word))
         size = len(ids)
-        before, after = list(range(-1, size - 1)), list(range(1, size + 1))
-        merge, heap = self.merge, []
+        ranks, steps, heap = self.ranks, self.steps, []
         for i in range(size - 1):
-            known = merge.get((ids[i], ids[i + 1]))
-            if known:
-                heap.append((known[0], i, known[1], ids[i], ids[i + 1]))
-        heapq.heapify(heap)
+            rank = ranks[ids[i]].get(ids[i + 1])
+            if rank is not None:
+                heap.append(rank * size + i)  # rank and position in one number, in that order
+        if not heap:
+            return ids
+        before, after = list(range(-1, size - 1)), list(range(1, size + 1))
+        heapify(heap)
         while heap:
-            _, i, made, left, right = heapq.heappop(heap)
+            rank, i = divmod(heappop(heap), size)
+            left, right, made = steps[rank]
             j = after[i]
             if ids[i] != left or j >= size or ids[j] != right:
                 continue
@@ -83,23 +92,31 @@ class BytePairs:
             after[i] = k = after[j]
             if k < size:
                 before[k] = i
-                known = merge.get((made, ids[k]))
-                if known:
-                    heapq.heappush(heap, (known[0], i, known[1], made, ids[k]))
+                rank = ranks[made].get(ids[k])
+                if rank is not None:
+                    heappush(heap, rank * size + i)
             h = before[i]
             if h >= 0:
-                known = merge.get((ids[h], made))
-                if known:
-                    heapq.heappush(heap, (known[0], h, known[1], ids[h], made))
+                rank = ranks[ids[h]].get(made)
+                if rank is not None:
+                    heappush(heap, rank * size + h)
         return [i for i in ids if i >= 0]
 
+    def word_ids(self, word: str) -> bytes:
+        """Ids of a piece as little-endian 32-bit numbers."""
+        ids = self.merge_word(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def words_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces as little-endian 32-bit numbers."""
-        return [np.array(self.merge_word(w.encode()), "<u4").tobytes() for w in words]
+        return list(map(self.word_ids, words))
 
     def piecewise(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that are cut into pieces first."""
-        return [b"".join(self.parts.look_up(self.pieces.findall(t), self.words_ids)) for t in texts]
+        """Ids of texts that are cut into pieces first. A text that is one piece is not looked up as one again."""
+        out = []
+        for text in texts:
+            pieces = self.pieces.findall(text)
+            out.append(self.word_ids(text) if len(pieces) == 1 else b"".join(self.parts.look_up(pieces, self.words_ids)))
+        return out
 
     def run_ids(self, run: str) -> bytes:
         """Ids of text between special tokens."""

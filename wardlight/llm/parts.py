@@ -33,22 +33,19 @@ class PartTable:
     def look_up(self, parts: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         """Ids of each part; ``encode`` gets the distinct unknown ones."""
         found = list(map(self.young.get, parts))
-        holes = [i for i, ids in enumerate(found) if ids is None]
-        if not holes:
+        if all(found):
             return found
-        missing: dict[str, bytes | None] = {}
-        for i in holes:
-            part = parts[i]
-            if part not in missing:
-                missing[part] = self.old.get(part)
+        missing = {part: self.old.get(part) for part, ids in zip(parts, found) if ids is None}
         unknown = [p for p, ids in missing.items() if ids is None]
-        missing.update(zip(unknown, encode(unknown)))
-        for i in holes:
-            found[i] = missing[parts[i]]
+        if unknown:
+            missing.update(zip(unknown, encode(unknown)))
         self.remember(missing)
-        return found
+        return [missing[part] if ids is None else ids for part, ids in zip(parts, found)]
 
     def remember(self, known: dict[str, bytes]) -> None:
-        self.young.update((p, ids) for p, ids in known.items() if len(p) <= PART_LENGTH)
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
+        young = self.young
+        for part, ids in known.items():
+            if len(part) <= PART_LENGTH:
+                young[part] = ids
+        if len(young) >= self.size:
+            self.old, self.young = young, {}
