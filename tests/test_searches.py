@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from wardlight.functions import tails
-from wardlight.models import grow, lasso, train
+from wardlight.models import evaluate, grow, lasso, train
 from wardlight.operators import association, ordered
 
 
@@ -42,6 +42,26 @@ def test_logistic_grid_scores_are_those_of_single_folds(spark, rows):
             assert s["score"] == pytest.approx(np.mean(train.fold_scores(rows, "logistic", s["params"], metric)), abs=1e-6)
 
 
+def test_logistic_search_writes_no_scored_rows(spark, rows, monkeypatch):
+    monkeypatch.setattr(train, "stage", lambda df: pytest.fail("scores of every model were written"))
+    for metric in ("roc_auc", "f2"):
+        train.grid_search(rows, "logistic", {"c": [0.2]}, metric)
+
+
+@pytest.mark.parametrize("range_rows", [9, 1000])
+def test_area_from_packed_scores(spark, monkeypatch, range_rows):
+    for name, value in (("RANGE_ROWS", range_rows), ("POINT_ROWS", 4), ("CHUNK_ROWS", 20)):
+        monkeypatch.setattr(lasso, name, value)
+    rng = np.random.default_rng(4)
+    data = [(None if i % 11 == 0 else float(rng.integers(0, 2)), Vectors.dense([float(rng.integers(0, 9)), 1.0]), i % 2) for i in range(150)]
+    base = grow.prepared(spark.createDataFrame(data, ["label", "features", "fold"]).repartition(3))
+    specs = [lasso.LassoSpec(1.0, without=f) for f in (0, 1, 0)]
+    at = np.array([[0.3, 0.1, -1.0], [-0.2, 0.0, 0.5], [0.0, 0.0, 0.0]])
+    want = {r["model"]: r["roc_auc"] for r in evaluate.roc_auc(lasso.held_out_scores(base, specs, at), ("model",)).collect()}
+    got = {r["model"]: r["roc_auc"] for r in lasso.held_out_auc(base, specs, at).collect()}
+    assert got == pytest.approx(want, abs=1e-12) and got[2] == 0.5
+
+
 def test_separable_rows_stay_finite(spark):
     data = [(float(i > 5), Vectors.dense([float(i), 1.0]), 0) for i in range(12)]
     base = grow.prepared(spark.createDataFrame(data, ["label", "features", "fold"]))
