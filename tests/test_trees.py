@@ -1,8 +1,11 @@
 """Grown trees against exhaustive search, on both ways of growing them, and cut against grown ones."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -229,3 +232,20 @@ def test_ranges_are_narrowed_in_two_steps(spark, monkeypatch):
     monkeypatch.setattr(grow, "CHUNK_ROWS", 64)
     for r in grow.grown(base, specs, table_bytes=0, node_rows=20).collect():
         assert same(nested(trees.tree_of(r)), whole[r.tree])
+
+
+def test_dealt_rows_take_fewer_bytes_than_their_values():
+    rng = np.random.default_rng(5)
+    n = 20_000
+    columns = [rng.integers(0, 10**7, n) / 100, rng.integers(0, 5, n).astype(float), rng.choice(rng.normal(size=3000), n)]
+    rows = pd.DataFrame({f"x{i}": c for i, c in enumerate(columns)}).assign(label=rng.integers(0, 2, n), fold=-1, row=np.arange(n))
+    tops = [grow.Top(grow.TreeSpec(0, sampled=True, seed=3))]
+    shared = SimpleNamespace(value=(tops, {0: [0]}))
+    dealt = pd.concat(grow._deal(shared, 3)(iter([rows])))
+    size = sum(len(pa.compress(c, "lz4", asbytes=True)) for cells in dealt["cells"] for c in cells)
+    kept = len(dealt["marks"].iloc[0])
+    assert 0.62 * n < kept < 0.65 * n and size + 8 * sum(len(v) for vs in dealt["values"] for v in vs) < 11 * kept  # 17 as values
+    grown = grow._finish(shared, 3)(dealt).iloc[0]
+    want = grow.grow_node(np.stack(columns, axis=1), rows["label"].to_numpy(), grow.draws(np.arange(n), tops[0].spec), tops[0].spec)
+    for name in grow.NODE_FIELDS:
+        assert np.array_equal(grown[name], want[name]), name
