@@ -249,3 +249,26 @@ def test_dealt_rows_take_fewer_bytes_than_their_values():
     want = grow.grow_node(np.stack(columns, axis=1), rows["label"].to_numpy(), grow.draws(np.arange(n), tops[0].spec), tops[0].spec)
     for name in grow.NODE_FIELDS:
         assert np.array_equal(grown[name], want[name]), name
+
+
+def test_trees_grown_together_are_those_grown_alone():
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.normal(size=500), rng.integers(0, 5, 500).astype(float), rng.integers(0, 70, 500).astype(float)], axis=1)
+    y, table = (rng.random(500) < 0.4).astype(np.int32), grow.Coded.of(x.T)
+    limits = [(9, 2, 2), (4, 2, 2), (None, 1, 30), (9, 8, 2), (6, 5, 12)]
+    for seed, scale in ((1, 1), (2, 300)):  # many draws of a row take another way of counting
+        specs = [grow.TreeSpec(0, max_depth=d, min_leaf=m, min_split=s, tries=2, sampled=True, seed=seed, weights=(1.0, 1.7)) for d, m, s in limits]
+        count = scale * grow.draws(np.arange(500), specs[0])
+        together = grow.grow_variants(table, y, count, specs)
+        alone = [grow.grow_coded(table, y, count, s) for s in specs]
+        for a, b in zip(together, alone):
+            assert nested(trees.Tree(**a)) == nested(trees.Tree(**b))
+        assert len(together[0]["left"]) < sum(len(b["left"]) for b in alone)
+
+
+def test_counts_of_many_draws_stay_exact():
+    mark, key = np.array([3, 2, 255, 7], np.uint8), np.array([0, 1, 1, 0])
+    for counts in (grow.Counts.of(mark, 132), grow.Counts.of(mark, 1 << 26)):
+        zeros, ones = counts.both(counts.sums(key, mark, 3))
+        assert zeros.tolist() == [0, 1, 0] and ones.tolist() == [4, 127, 0]
+        assert counts.packed(mark).tolist() == counts.sums(np.arange(4), mark, 4).tolist()
