@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from wardlight.functions import tails
-from wardlight.models import evaluate, grow, lasso, train
+from wardlight.models import evaluate, forests, grow, lasso, train
 from wardlight.operators import association, ordered
 
 
@@ -62,6 +62,43 @@ def test_area_from_packed_scores(spark, monkeypatch, range_rows):
     assert got == pytest.approx(want, abs=1e-12) and got[2] == 0.5
 
 
+FORESTS = {"trees": (3, 9), "max_depth": (2, 7), "feature_share": (0.1, 0.9), "min_leaf": (1, 9), "min_split": (2, 12), "class_weight": ["balanced", {0: 1.0, 1: 3.0}]}
+
+
+@pytest.mark.parametrize("metric", ["f2", "roc_auc"])
+def test_forests_are_scored_where_they_grow(rows, monkeypatch, metric):
+    drawn = train.draw(FORESTS, 7, 3)
+    with monkeypatch.context() as m:
+        m.setattr(grow, "TABLE_BYTES", 0)
+        want = train.search(rows, "forest", drawn, metric)
+    monkeypatch.setattr(train, "grown", lambda *a: pytest.fail("the trees of all candidates were kept"))
+    monkeypatch.setattr(forests, "PIECE_ROWS", 70)
+    for jobs in (1, 40):
+        monkeypatch.setattr(forests, "CORE_JOBS", jobs)
+        found = train.search(rows, "forest", drawn, metric)
+        assert [s["score"] for s in found.scores] == pytest.approx([s["score"] for s in want.scores], abs=1e-4)
+    with pytest.raises(ValueError, match="alpha"):
+        train.search(rows, "forest", [{"alpha": 0.1}], metric)
+
+
+def test_halving_goes_on_from_the_trees_it_has(rows, monkeypatch):
+    grown, votes = [], forests.held_out_votes
+    space = {k: v for k, v in FORESTS.items() if k != "trees"}
+    with monkeypatch.context() as m:
+        m.setattr(grow, "TABLE_BYTES", 0)
+        want = train.halving_search(rows, space, 5, low=2, high=8)
+
+    def watched(base, more, folds):
+        grown.append([(f.first, f.size) for f in more])
+        return votes(base, more, folds)
+
+    monkeypatch.setattr(forests, "held_out_votes", watched)
+    found = train.halving_search(rows, space, 5, low=2, high=8)
+    assert grown == [[(0, 2)] * 5, [(2, 4)] * 3, [(4, 8)] * 2]
+    assert [s["params"] for s in found.scores] == [s["params"] for s in want.scores]
+    assert [s["score"] for s in found.scores] == pytest.approx([s["score"] for s in want.scores], abs=1e-9)
+
+
 def test_separable_rows_stay_finite(spark):
     data = [(float(i > 5), Vectors.dense([float(i), 1.0]), 0) for i in range(12)]
     base = grow.prepared(spark.createDataFrame(data, ["label", "features", "fold"]))
