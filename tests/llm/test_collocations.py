@@ -79,6 +79,33 @@ def test_blocks_ranges_and_shuffles(spark, monkeypatch):
     assert {(r.lang, r.phrase): r["count"] for r in rows} == {k: n for k, n in plain_counts(docs)[0].items() if n >= 10}
 
 
+def test_filter_reaches_the_driver_in_pages(spark, monkeypatch):
+    """One row for each page of the bit table, not one for each of its cells, and all bits of every fingerprint."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, kept = [], {}
+    for name in ("toPandas", "collect", "toLocalIterator"):
+        def counted(self, *args, whole=getattr(DataFrame, name), **options):
+            found = whole(self, *args, **options)
+            found = found if hasattr(found, "__len__") else list(found)
+            rows.append(len(found))
+            return found
+        monkeypatch.setattr(DataFrame, name, counted)
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    parts = [(2, len(p), len(p), bytearray(collocations.planes(p, collocations.FIELDS[0]))) for p in np.array_split(prints, 7)]
+    found = spark.createDataFrame(parts + [(1, 1, 1, parts[0][3][:8])], "words int, n int, new int, prints binary")
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda table, whole=spark.sparkContext.broadcast: kept.setdefault("table", whole(table)))
+    passes = collocations.frequent_filter(found, 2)
+    bits = 20  # 16 for each of 40,000, rounded up
+    at = np.concatenate(collocations.filter_places(prints, bits)).astype(np.int64)
+    want = np.zeros(1 << bits, bool)
+    want[at] = True
+    assert np.array_equal(np.unpackbits(kept["table"].value.view(np.uint8), bitorder="little"), want)
+    assert passes(prints).all() and passes(rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)).mean() < 0.02
+    assert max(rows) <= 8
+
+
 def test_colliding_fingerprints_are_told_apart():
     block = collocations.Block([0, 12], ["en", "fr"], [b"a b a c a b", b"a b"])
     block.hashes[:] = 7  # all words collide

@@ -51,6 +51,8 @@ ROWS_AT_ONCE = 512
 HASH_WORDS, CHECK_WORDS = 100_000, 100_000
 #: The filter has 16 bits for each fingerprint, within these numbers of bits (as powers of two).
 FILTER_BITS = (16, 28)
+#: Cells of 64 bits of the filter that reach the driver as one value, as a power of two.
+PAGE_BITS = 13
 
 BASE = 0x9E3779B97F4A7C15  # any odd number
 _bytes = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -388,7 +390,7 @@ def filter_places(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray
 def frequent_filter(found: DataFrame, words: int) -> Callable[[np.ndarray], np.ndarray]:
     """A test that every frequent fingerprint of ``words`` words passes, and few others.
 
-    The bit table goes through the driver and to all tasks: 16 bits for each fingerprint, 32 MB
+    The bit table goes through the driver, in pages of 64 KB, and to all tasks: 16 bits for each fingerprint, 32 MB
     at most; a fuller table lets more through, which costs shuffled rows and changes no result.
     """
     rows = found.filter(F.col("words") == words).select("n", "new", "prints")
@@ -404,10 +406,19 @@ def frequent_filter(found: DataFrame, words: int) -> Callable[[np.ndarray], np.n
             marks = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), run) if len(run) else at
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(marks.view(np.int64))], names=["cell", "mark"])
 
-    cells = rows.mapInArrow(mark, "cell long, mark long").groupBy("cell").agg(F.bit_or("mark").alias("mark")).toPandas()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[cells["cell"].to_numpy()] = cells["mark"].to_numpy()
-    shared = found.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    def page(group: pa.Table) -> pa.Table:
+        at = group["cell"].to_numpy()
+        table = np.zeros(min(1 << PAGE_BITS, 1 << (bits - 6)), np.int64)
+        table[at & ((1 << PAGE_BITS) - 1)] = group["mark"].to_numpy()
+        return pa.table([pa.array([at[0] >> PAGE_BITS], pa.int64()), pa.array([table.tobytes()], pa.binary())], names=["page", "bits"])
+
+    cells = rows.mapInArrow(mark, "cell long, mark long").groupBy("cell").agg(F.bit_or("mark").alias("mark"))
+    pages = written(cells.groupBy(F.shiftright("cell", PAGE_BITS)).applyInArrow(page, "page long, bits binary"), "phrase-filter")
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    for r in pages.toLocalIterator():
+        part = np.frombuffer(r["bits"], np.uint64)
+        table[r["page"] << PAGE_BITS :][: len(part)] = part
+    shared = found.sparkSession.sparkContext.broadcast(table)
 
     def passes(prints: np.ndarray) -> np.ndarray:
         both = np.ones(len(prints), bool)
