@@ -1,6 +1,7 @@
 """Grown trees against exhaustive search, on both ways of growing them, and cut against grown ones."""
 
 import math
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -272,3 +273,44 @@ def test_counts_of_many_draws_stay_exact():
         zeros, ones = counts.both(counts.sums(key, mark, 3))
         assert zeros.tolist() == [0, 1, 0] and ones.tolist() == [4, 127, 0]
         assert counts.packed(mark).tolist() == counts.sums(np.arange(4), mark, 4).tolist()
+
+
+def test_values_that_need_several_numbers_for_a_row():
+    """More bits than one number of 64 holds: every feature's cuts are still found."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 300, (400, 9)).astype(float)
+    y = (x[:, 8] + x[:, 1] / 2 + rng.normal(0, 60, 400) > 220).astype(int)
+    table = grow.Coded.of(x.T)
+    assert len(grow.Layout.of(table, np.arange(400), np.ones(400, np.int64))[1]) == 2
+    for limits in ({"max_depth": 3}, {"max_depth": 3, "min_leaf": 20, "criterion": "entropy"}):
+        nodes = grow.grow_coded(table, y, np.ones(400, int), grow.TreeSpec(0, **limits))
+        want = exhaustive(x, y, limits.get("criterion", "gini"), 3, limits.get("min_leaf", 1))
+        assert same(nested(trees.Tree(**nodes)), want)
+
+
+def test_growing_takes_few_bytes_for_each_row(monkeypatch):
+    """Rows of a node are looked at in parts: what a tree takes beside its table stays below 80 bytes a row."""
+    monkeypatch.setattr(grow, "SLICE_ROWS", 1 << 14)
+    rng = np.random.default_rng(7)
+    n = 300_000
+    values = [np.arange(k, dtype=float) for k in (n, 5, 12, n)]
+    table = grow.Coded(values, [rng.integers(0, len(v), n).astype(grow.narrow(len(v))) for v in values])
+    y = rng.integers(0, 2, n).astype(np.uint8)
+    tracemalloc.start()
+    grow.grow_coded(table, y, np.ones(n, np.uint8), grow.TreeSpec(0, max_depth=4))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 * n
+
+
+def test_rows_are_not_dealt_to_each_tree_of_a_table_that_fits_a_task(spark, noisy, monkeypatch):
+    """As many copies of the table as tasks, whatever the number of trees."""
+    base = grow.prepared(noisy)
+    specs = [grow.TreeSpec(i, "entropy" if i % 3 else "gini", sampled=i % 2 > 0, tries=2, seed=i, max_depth=4, without=i % 4) for i in range(40)]
+    whole = {r.tree: nested(trees.tree_of(r)) for r in grow.grown(base, specs).collect()}
+    monkeypatch.setattr(grow, "_deal", lambda *a: pytest.fail("rows were dealt to trees"))
+    monkeypatch.setattr(grow, "COPY_ROWS", 90)
+    model = grow.grown(base, specs, table_bytes=0)
+    assert model.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    found = {r.tree: nested(trees.tree_of(r)) for r in model.collect()}
+    assert sorted(found) == sorted(whole) and all(same(found[t], whole[t]) for t in whole)
