@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from wardlight.functions import tails
-from wardlight.models import evaluate, forests, grow, lasso, train
+from wardlight.models import evaluate, forests, grow, lasso, train, trees
 from wardlight.operators import association, ordered
 
 
@@ -81,6 +81,36 @@ def test_forests_are_scored_where_they_grow(rows, monkeypatch, metric):
         train.search(rows, "forest", [{"alpha": 0.1}], metric)
 
 
+@pytest.mark.parametrize("metric", ["f2", "roc_auc"])
+def test_forests_of_a_table_that_fits_a_task_are_scored_where_they_grow(rows, monkeypatch, metric):
+    """Also where the table is too large for every task: trees are neither kept nor shuffled, and halving goes on."""
+    drawn = train.draw(FORESTS, 7, 3)
+    want = train.search(rows, "forest", drawn, metric)
+    space = {k: v for k, v in FORESTS.items() if k != "trees"}
+    halved = train.halving_search(rows, space, 5, low=2, high=8, metric=metric)
+    monkeypatch.setattr(grow, "TABLE_BYTES", 0)
+    monkeypatch.setattr(train, "grown", lambda *a: pytest.fail("the trees of all candidates were kept"))
+    monkeypatch.setattr(forests, "PIECE_ROWS", 70)
+    monkeypatch.setattr(grow, "COPY_ROWS", 55)
+    found = train.search(rows, "forest", drawn, metric)
+    assert [s["score"] for s in found.scores] == pytest.approx([s["score"] for s in want.scores], abs=1e-9 if metric == "f2" else 1e-4)
+    again = train.halving_search(rows, space, 5, low=2, high=8, metric=metric)
+    assert [s["params"] for s in again.scores] == [s["params"] for s in halved.scores]
+
+
+def test_rows_go_once_down_what_trees_share():
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.normal(size=600), rng.integers(0, 5, 600).astype(float), rng.integers(0, 70, 600).astype(float)], axis=1)
+    y, table = (rng.random(600) < 0.4).astype(np.int32), grow.Coded.of(x.T)
+    limits = [(9, 2, 2), (4, 2, 2), (None, 1, 30), (9, 8, 2), (6, 5, 12), (0, 1, 2), (9, 40, 2)]
+    specs = [grow.TreeSpec(i, max_depth=d, min_leaf=m, min_split=s, tries=2, sampled=True, seed=4) for i, (d, m, s) in enumerate(limits)]
+    grown = [trees.Tree(**g) for g in grow.grow_variants(table, y, grow.draws(np.arange(600), specs[0]), specs)]
+    assert any((a.left >= 0).sum() and (a.left[b.left >= 0] != b.left[b.left >= 0]).any() for a in grown for b in grown)
+    other = np.concatenate([x + rng.normal(0, 0.3, x.shape), x])
+    for values, tree in zip(forests.leaf_values(other, grown), grown):
+        assert np.array_equal(values, tree.value[tree.leaves_of(other)])
+
+
 def test_halving_goes_on_from_the_trees_it_has(rows, monkeypatch):
     grown, votes = [], forests.held_out_votes
     space = {k: v for k, v in FORESTS.items() if k != "trees"}
